@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_byte_bpe
 from .quality import op1_quality
+from .simhash import op4_simhash
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_byte_bpe, op4_simhash)}
 ORACLE_SQL: dict[str, str] = {}
