@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .bpe import op3_byte_bpe
+from .chat import op7_chat
 from .quality import op1_quality
 from .simhash import op4_simhash
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_byte_bpe, op4_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_byte_bpe, op4_simhash, op7_chat)}
 ORACLE_SQL: dict[str, str] = {}
