@@ -5,8 +5,9 @@ from __future__ import annotations
 from .bpe import op3_byte_bpe
 from .chat import op7_chat
 from .licenses import op10_licenses
+from .neighbours import op2_neighbours
 from .quality import op1_quality
 from .simhash import op4_simhash
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_byte_bpe, op4_simhash, op7_chat, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_byte_bpe, op4_simhash, op7_chat, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {}
