@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, is_word, lowered, only, spans, table, utf8, written
+from .common import chunks, lowered, only, table, utf8, written
 from .components import components
+from .words import joined_words
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 SEGMENTS = (22, 21, 21)
@@ -33,19 +34,6 @@ SEGMENTS = (22, 21, 21)
 GENERATOR = 0b101011100011
 #: Groups of a key that are larger are first cut by exact blocks.
 LARGE = 2048
-_WORD = is_word()
-
-
-def joined_words(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a chunk joined by one space each; their starts and ends there, and each row's first word."""
-    inside = _WORD[data]
-    starts, ends, first = spans(inside, offsets)
-    ends_to = np.cumsum(ends - starts + 1) - 1
-    out = np.full(int(ends_to[-1]) + 1 if len(ends_to) else 0, 0x20, np.uint8)
-    letters = np.ones(len(out), bool)
-    letters[ends_to] = False
-    out[letters] = data[inside]
-    return out.tobytes(), ends_to - (ends - starts), ends_to, first
 
 
 def chunk_fingerprints(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
