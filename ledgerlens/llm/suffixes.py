@@ -5,6 +5,7 @@ windows are always in one collection. A collection's Burrows-Wheeler transform a
 rounds: each round inserts one symbol of every piece, from the last to the first (Bauer, Cox, Rosone 2013; Cox et al.
 2016). A round reads both arrays once in order and writes them anew in order, block by block, from and to files as
 soon as a collection is larger than ``IN_MEMORY``; beside the blocks it holds a few numbers for each piece and symbol.
+Collections that fit in memory take symbols of ``UNIT`` bytes, which needs that many rounds fewer.
 At the end, neighbouring suffixes with a common prefix of a whole window are repeats.
 
 Defined results: a null text counts as empty; a text shorter than a window keeps all; matches don't cross documents;
@@ -14,6 +15,7 @@ strings are judged on the input; repeated rows make each other's strings repeate
 from __future__ import annotations
 
 import hashlib
+import math
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_values, chunks, table, utf8
-from .repeats import Substrings, runs
+from .repeats import Substrings
 
-WIDTH, CORE = 200, 40
+WIDTH, CORE = 200, 64
 #: Symbols of a collection above which its arrays are files, and those of a block of them.
-IN_MEMORY, BLOCK = 16 << 20, 1 << 20
+IN_MEMORY, BLOCK = 4 << 20, 1 << 20
+#: Bytes to a symbol in memory, as far as it divides the width.
+UNIT = 8
 #: Small groups share a collection of about this many bytes.
 TOGETHER = 256 << 10
 
@@ -248,20 +252,126 @@ class Collection:
             pieces, at = pieces[going], next_[at[going]]
             hit = np.flatnonzero(same[at])
             found.append((pieces[hit], self.length[pieces[hit]] - done))
-        piece, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        order = np.lexsort((start, piece))
-        return np.split(start[order], np.searchsorted(piece[order], np.arange(1, self.pieces)))
+        return by_piece(found, self.pieces)
 
 
 def repeated_starts(pieces: list[bytes], width: int) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(pieces), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
     if len(data) <= IN_MEMORY:
-        return Collection(data, offsets, width).repeated()
+        return HeldCollection(data, offsets, width, math.gcd(width, UNIT)).repeated()
     with tempfile.TemporaryDirectory() as folder:
         return Collection(data, offsets, width, str(Path(folder))).repeated()
 
 
+class HeldCollection:
+    """The same rounds in memory, with symbols of ``unit`` bytes.
+
+    Each piece gives ``unit`` strings, one from each of its first bytes on, so every window starts at a symbol of one
+    of them; a round inserts one symbol of every string. ``order`` keeps the transform's symbols with their places,
+    sorted, so a round needs no sorting of what is there: a symbol's index in it is where its suffix goes.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, most: int, unit: int):
+        self.unit, self.most, self.count = unit, most // unit, len(offsets) - 1
+        padded = np.concatenate([data, np.zeros(unit, np.uint8)]).astype(np.uint64)
+        value = np.zeros(len(data), np.uint64)
+        for k in range(unit):
+            value = value << np.uint64(8) | padded[k : k + len(data)]
+        self.numbers = np.unique(value, return_inverse=True)[1].astype(np.int32) + np.int32(1)  # zero ends a string
+        shift = np.tile(np.arange(unit), self.count)
+        self.begin = np.repeat(offsets[:-1], unit) + shift
+        self.length = np.maximum(np.repeat(np.diff(offsets), unit) - shift, 0) // unit
+        self.shift = shift
+        self._build()
+
+    def _symbol(self, strings: np.ndarray, done: int) -> np.ndarray:
+        """The symbol before the last ``done`` of each string, zero if there is none."""
+        out = np.zeros(len(strings), np.int32)
+        have = np.flatnonzero(self.length[strings] > done)
+        some = strings[have]
+        out[have] = self.numbers[self.begin[some] + (self.length[some] - done - 1) * self.unit]
+        return out
+
+    def _build(self) -> None:
+        n = len(self.length)
+        self.symbols, self.common = self._symbol(np.arange(n), 0), np.zeros(n, np.uint8)
+        keys = self.symbols.astype(np.int64) << 32 | np.arange(n)
+        by = np.argsort(keys)
+        self.order = keys[by]
+        index = np.empty(n, np.int64)
+        index[by] = np.arange(n)
+        at = np.flatnonzero(self.symbols)
+        strings, index, done = at, index[at], 0
+        while len(strings):
+            done += 1
+            at, strings, index = self._round(at, strings, index, done)
+
+    def _round(self, at: np.ndarray, strings: np.ndarray, index: np.ndarray, done: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Insert the suffix of ``done`` symbols of each string; at: places of their last ones, index: theirs in order."""
+        n, order, minimum = len(self.symbols), self.order, RangeLeast(self.common)
+        by = np.argsort(index)
+        index, strings, at = index[by], strings[by], at[by]
+        symbol = order[index] >> 32
+        # common prefix with the suffix before: one more than the least since the symbol's last place
+        value = np.zeros(len(at), np.int64)
+        before = order[np.maximum(index - 1, 0)]
+        some = np.flatnonzero((index > 0) & (before >> 32 == symbol))
+        value[some] = minimum((before[some] & _PLACE) + 1, at[some]).astype(np.int64) + 1
+        # and of the suffix after, unless that is new too
+        after = order[np.minimum(index + 1, n - 1)]
+        is_next = (index + 1 < n) & (after >> 32 == symbol)
+        is_next[:-1] &= index[1:] != index[:-1] + 1
+        some = np.flatnonzero(is_next)
+        update = minimum(at[some] + 1, after[some] & _PLACE).astype(np.int64) + 1
+        into = len(self.length) + index - int(np.searchsorted(order, 1 << 32))
+        fresh = self._symbol(strings, done)
+        old = np.ones(n + len(into), bool)
+        old[into] = False
+        symbols, common = np.empty(len(old), np.int32), np.empty(len(old), np.uint8)
+        symbols[old], common[old] = self.symbols, self.common
+        symbols[into], common[into] = fresh, np.minimum(value, self.most)
+        common[into[some] + 1] = np.minimum(update, self.most)
+        # order: old places move by the new ones before them, and the new symbols' places come in
+        order = (order & ~_PLACE) | np.flatnonzero(old)[order & _PLACE]
+        keys = fresh.astype(np.int64) << 32 | into
+        by = np.argsort(keys)
+        where = np.searchsorted(order, keys[by]) + np.arange(len(keys))
+        old = np.ones(len(symbols), bool)
+        old[where] = False
+        self.order = np.empty(len(symbols), np.int64)
+        self.order[old], self.order[where] = order, keys[by]
+        self.symbols, self.common = symbols, common
+        index = np.empty(len(into), np.int64)
+        index[by] = where
+        going = fresh > 0
+        return into[going], strings[going], index[going]
+
+    def repeated(self) -> list[np.ndarray]:
+        same = self.common >= self.most
+        same[:-1] |= same[1:].copy()
+        n, ended = len(self.length), int(np.searchsorted(self.order, 1 << 32))
+        next_ = np.empty(len(self.symbols), np.int64)
+        next_[self.order[ended:] & _PLACE] = np.arange(len(self.symbols) - ended) + n
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        strings, at = np.arange(n), np.arange(n)
+        for done in range(1, int(self.length.max(initial=0)) + 1):
+            going = self.length[strings] >= done
+            strings, at = strings[going], next_[at[going]]
+            hit = strings[same[at]]
+            found.append((hit // self.unit, (self.length[hit] - done) * self.unit + self.shift[hit]))
+        return by_piece(found, self.count)
+
+
+def by_piece(found: list[tuple[np.ndarray, np.ndarray]], pieces: int) -> list[np.ndarray]:
+    piece, start = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((start, piece))
+    return np.split(start[order], np.searchsorted(piece[order], np.arange(1, pieces)))
+
+
+_PLACE = np.int64(0xFFFFFFFF)
+
+
 class ByteStrings(Substrings):
     columns = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 
