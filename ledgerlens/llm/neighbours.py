@@ -30,42 +30,47 @@ from .common import only, table, written
 
 K = 10
 TREES, LEAF, SAMPLE, RECALL = 4, 256, 32_768, 0.96
+#: Rows of a branch that one task holds at a time; its leaves are searched there, and a query's best of them merge there.
+BRANCH = 16_384
 #: Fewer candidates than this aren't worth the search.
 LEAST = 2_000
-#: Rows of a leaf that are compared at a time.
-BLOCK = 4096
 
 
 class Forest:
     """Trees over a sample; a node is (normal, threshold, low, high), a leaf has no normal."""
 
-    def __init__(self, points: np.ndarray, trees: int, depth: int, seed: int = 7):
+    def __init__(self, points: np.ndarray, trees: int, depth: int, branch_depth: int = 0, seed: int = 7):
         self.trees: list[list[tuple]] = []
+        #: Of each tree, the branch of each leaf: its ancestor at branch_depth, or itself if it is higher.
+        self.branch: list[dict[int, int]] = []
         #: Of each tree, the share of the sample in each leaf.
         self.share: list[dict[int, float]] = []
         random = np.random.Generator(np.random.PCG64(seed))
         for _ in range(trees):
             nodes: list[tuple] = []
             share: dict[int, float] = {}
-            self._grow(points, np.arange(len(points)), depth, nodes, share, random)
+            self.branch.append({})
+            self._grow(points, np.arange(len(points)), depth, nodes, share, random, branch_depth, -1)
             self.trees.append(nodes)
             self.share.append(share)
 
-    def _grow(self, points: np.ndarray, rows: np.ndarray, depth: int, nodes: list, share: dict, random: np.random.Generator) -> int:
-        """The number of the node."""
+    def _grow(self, points: np.ndarray, rows: np.ndarray, depth: int, nodes: list, share: dict, random: np.random.Generator, above: int, branch: int) -> int:
+        """The number of the node; above: levels above the branches."""
         at = len(nodes)
         nodes.append((None, 0.0, -1, -1))
+        branch = at if above >= 0 else branch
         for _ in range(3 if depth and len(rows) >= 4 else 0):
             normal = self._normal(points, rows, random)
             on = points[rows] @ normal
             threshold = float(np.median(on))
             left = on < threshold
             if 0 < left.sum() < len(rows):
-                low = self._grow(points, rows[left], depth - 1, nodes, share, random)
-                high = self._grow(points, rows[~left], depth - 1, nodes, share, random)
+                low = self._grow(points, rows[left], depth - 1, nodes, share, random, above - 1, branch)
+                high = self._grow(points, rows[~left], depth - 1, nodes, share, random, above - 1, branch)
                 nodes[at] = (normal, threshold, low, high)
                 return at
         share[at] = len(rows) / max(1, len(points))
+        self.branch[-1][at] = branch
         return at
 
     @staticmethod
@@ -159,7 +164,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
     depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
     points = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toPandas().embedding  # a bounded sample
     points = np.array(points.tolist(), np.float32).reshape(-1, width.width)
-    forest = Forest(points, trees, depth)
+    forest = Forest(points, trees, depth, max(0, math.ceil(math.log2(max(1, total) / BRANCH))))
     of = vectors.sparkSession.sparkContext.broadcast(pickle.dumps(forest))  # of the sample's size at most
     share = max(forest.share_for(points, k, recall), LEAST / max(1, total))
 
@@ -172,44 +177,46 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TRE
             if not batch.num_rows:
                 continue
             found = trees_.leaves(matrix(batch.column("embedding")).astype(np.float32))
-            n, row = found.shape[1], np.arange(len(found))
-            for t in range(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(found[:, t]), batch.column("rep"), batch.column("embedding")], names=["tree", "leaf", "rep", "embedding"])
+            row = np.arange(len(found))
+            for t in range(found.shape[1]):
+                of_leaf = trees_.branch[t]
+                branch = np.array([of_leaf[x] for x in found[:, t].tolist()], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), t, np.int32)), pa.array(branch), pa.array(found[:, t]), batch.column("rep"), batch.column("embedding")], names=["tree", "branch", "leaf", "rep", "embedding"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees_ = pickle.loads(of.value)
         for batch in batches:
             values = matrix(batch.column("embedding")).astype(np.float32) if batch.num_rows else []
-            found = [(i, t, at) for i, v in enumerate(values) for t, at in trees_.search(v, share)]
-            i, t, at = (np.array(x, np.int32) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int32)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(at), batch.column("rep").take(pa.array(i)), batch.column("embedding").take(pa.array(i))], names=["tree", "leaf", "rep", "embedding"])
+            rows_: dict[tuple[int, int, int], list[int]] = {}
+            for i, v in enumerate(values):
+                for t, at in trees_.search(v, share):
+                    rows_.setdefault((i, t, trees_.branch[t][at]), []).append(at)
+            i, t, at = (np.array(x, np.int32) for x in zip(*rows_, strict=True)) if rows_ else [np.zeros(0, np.int32)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(at), pa.array(list(rows_.values()), pa.list_(pa.int32())), batch.column("rep").take(pa.array(i)), batch.column("embedding").take(pa.array(i))], names=["tree", "branch", "leaves", "rep", "embedding"])
 
     def rank(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
-        """The k + 1 nearest of a leaf's rows to each query that asks for it."""
+        """The k + 1 nearest to each query among a branch's leaves that it asks for."""
         out: list[list[np.ndarray]] = [[], [], []]
         if asked.num_rows and held.num_rows:
-            q, qid = matrix(asked.column("embedding").combine_chunks()), asked.column("rep").to_numpy()
-            v, vid = matrix(held.column("embedding").combine_chunks()), held.column("rep").to_numpy()
+            held = held.sort_by("leaf")
+            q, qid, wanted_ = matrix(asked.column("embedding").combine_chunks()), asked.column("rep").to_numpy(), asked.column("leaves").to_pylist()
+            v, vid, leaf_ = matrix(held.column("embedding").combine_chunks()), held.column("rep").to_numpy(), held.column("leaf").to_numpy()
             for i in range(len(q)):
-                best_d, best_v = np.zeros(0), np.zeros(0, np.int64)
-                for a in range(0, len(v), BLOCK):
-                    d = v[a : a + BLOCK] - q[i]
-                    d = np.sqrt(np.einsum("ij,ij->i", d, d))
-                    best_d, best_v = np.concatenate([best_d, d]), np.concatenate([best_v, vid[a : a + BLOCK]])
-                    order = np.lexsort((best_v, best_d))[: k + 1]
-                    best_d, best_v = best_d[order], best_v[order]
-                for o, x in zip(out, (np.full(len(best_v), qid[i]), best_v, best_d), strict=True):
+                at = np.concatenate([np.arange(*np.searchsorted(leaf_, (x, x + 1))) for x in wanted_[i]])
+                d = v[at] - q[i]
+                d = np.sqrt(np.einsum("ij,ij->i", d, d))
+                order = np.lexsort((vid[at], d))[: k + 1]
+                for o, x in zip(out, (np.full(len(order), qid[i]), vid[at][order], d[order]), strict=True):
                     o.append(x)
         return pa.table({n: np.concatenate(x) if x else np.zeros(0, t) for n, x, t in zip(("query", "rep", "score"), out, (np.int64, np.int64, np.float64), strict=True)})
 
-    leaf_schema = "tree int, leaf int, rep long, embedding array<double>"
     # a query's class: queries with equal vectors are searched once
     asking = rows.join(only(queries, "vec_id").distinct(), "vec_id", "left_semi")
     classes_asked = written(asking.join(classes, "embedding").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")))
     wanted = classes.join(classes_asked.select(F.col("query").alias("rep")).distinct(), "rep", "left_semi")
-    members = classes.mapInArrow(down, leaf_schema)
-    probes = wanted.select("rep", "embedding").mapInArrow(probe, leaf_schema)
-    near = probes.groupBy("tree", "leaf").cogroup(members.groupBy("tree", "leaf")).applyInArrow(rank, "query long, rep long, score double")
+    members = classes.mapInArrow(down, "tree int, branch int, leaf int, rep long, embedding array<double>")
+    probes = wanted.select("rep", "embedding").mapInArrow(probe, "tree int, branch int, leaves array<int>, rep long, embedding array<double>")
+    near = probes.groupBy("tree", "branch").cogroup(members.groupBy("tree", "branch")).applyInArrow(rank, "query long, rep long, score double")
     by_class = Window.partitionBy("query").orderBy("score", "rep")
     near = near.distinct().withColumn("n", F.row_number().over(by_class)).where(F.col("n") <= k + 1).drop("n")
     # each class stands for its k + 1 smallest ids: the k + 1 best rows of a query, its own row among them
