@@ -6,6 +6,7 @@ from .bpe import op3_byte_bpe
 from .chat import op7_chat
 from .decontaminate import op9_decontaminate
 from .licenses import op10_licenses
+from .lines import op5_lines
 from .neighbours import op2_neighbours
 from .quality import op1_quality
 from .simhash import op4_simhash
@@ -13,5 +14,5 @@ from .suffixes import op8_suffixes
 from .windows import SQL as WINDOWS_SQL
 from .windows import op6_windows
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_byte_bpe, op4_simhash, op6_windows, op7_chat, op8_suffixes, op9_decontaminate, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_byte_bpe, op4_simhash, op5_lines, op6_windows, op7_chat, op8_suffixes, op9_decontaminate, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {"op6_windows": WINDOWS_SQL}

@@ -158,6 +158,25 @@ def group_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows that come sorted by the first of them, so cut that no key's rows are parted."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        if kept and kept[-1][0][-1] == columns[0][-1]:
+            kept.append(columns)
+            continue
+        whole = [np.concatenate([k[c] for k in kept] + [columns[c]]) for c in range(len(names))]
+        last = int(np.searchsorted(whole[0], whole[0][-1]))
+        if last:
+            yield tuple(x[:last] for x in whole)
+        kept = [tuple(x[last:] for x in whole)]
+    if kept:
+        yield tuple(np.concatenate([k[c] for k in kept]) for c in range(len(names)))
+
+
 def sorted_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (u, v) from rows (key, fp, node) that come sorted by key. Holds the rows of a batch and of one key."""
 
@@ -182,20 +201,7 @@ def sorted_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(j + starts[g])
         return pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(left)]), pa.array(node[np.concatenate(right)])], names=["u", "v"])
 
-    kept: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node"))
-        if kept and kept[-1][0][-1] == columns[0][0] == columns[0][-1]:
-            kept.append(columns)
-            continue
-        keys, fp, node = (np.concatenate([k[c] for k in kept] + [columns[c]]) for c in range(3))
-        last = int(np.searchsorted(keys, keys[-1]))
-        yield links(keys[:last], fp[:last].view(np.uint64), node[:last]) if last else links(keys[:0], fp[:0].view(np.uint64), node[:0])
-        kept = [(keys[last:], fp[last:], node[last:])]
-    if kept:
-        keys, fp, node = (np.concatenate([k[c] for k in kept]) for c in range(3))
+    for keys, fp, node in whole_groups(batches, ("key", "fp", "node")):
         yield links(keys, fp.view(np.uint64), node)
 
 
