@@ -18,7 +18,7 @@ CONFIG = Config(
 
 VIEWS = {
     "company_map": "SELECT * FROM (VALUES ('brand#2','Target Co',true,false),('brand#3','Peer A',false,true),('brand#4','Peer B',false,true),('brand#5','Peer C',false,true),('brand#6','Peer D',false,true),('brand#7','Peer D',false,true)) AS t(pattern,pseudo_name,is_target,is_competitor)",
-    "payments_raw": """SELECT concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linenumber AS STRING), '-', CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING)) AS record_id, year(o.o_orderdate) AS program_year,
+    "payments_raw": """SELECT concat(CAST(l.l_orderkey AS STRING), '-', CAST(l.l_linenumber AS STRING), '-', CAST(l.l_partkey AS STRING), '-', CAST(l.l_suppkey AS STRING)) AS record_id, CAST(year(o.o_orderdate) AS BIGINT) AS program_year,
   o.o_custkey AS profile_id, c.c_mktsegment AS specialty, n.n_name AS state, p.p_brand AS company_raw,
   l.l_extendedprice * (1 - l.l_discount) AS payment_amount, CAST(o.o_orderdate AS DATE) AS payment_date,
   CASE o.o_orderpriority WHEN '5-LOW' THEN 'Food and Beverage' WHEN '1-URGENT' THEN 'Compensation for faculty or speaker'
@@ -31,7 +31,7 @@ WHERE year(o.o_orderdate) BETWEEN 1998 AND 2000""",
     "master": """SELECT concat('HCP_', CAST(c.c_custkey AS STRING)) AS hcp_id, c.c_mktsegment AS specialty, n.n_name AS state,
   CASE WHEN c.c_custkey % 10 = 0 THEN 'national' WHEN c.c_custkey % 10 <= 3 THEN 'regional' ELSE 'local' END AS fmv_tier,
   c.c_acctbal > 9000 AS is_kol FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey""",
-    "speaker_events": """SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_date, year(o_orderdate) AS program_year,
+    "speaker_events": """SELECT o_orderkey AS event_id, CAST(o_orderdate AS DATE) AS event_date, CAST(year(o_orderdate) AS BIGINT) AS program_year,
   concat('HCP_', CAST(o_custkey AS STRING)) AS speaker_hcp_id, o_totalprice AS total_program_cost, o_totalprice * 0.4 AS speaker_fee,
   o_totalprice * 0.3 AS venue_cost, CAST(0 AS DOUBLE) AS travel_reimbursement, 1 AS attendee_count, o_orderpriority AS program_topic,
   o_orderstatus = 'F' AS compliance_approved FROM {orders}""",
@@ -39,7 +39,7 @@ WHERE year(o.o_orderdate) BETWEEN 1998 AND 2000""",
   concat('HCP_', CAST(l_suppkey AS STRING)) AS attendee_hcp_id, l_returnflag <> 'R' AS signed_attestation,
   CASE l_returnflag WHEN 'R' THEN 'staff' ELSE 'hcp' END AS attendee_type FROM {lineitem}""",
     "interactions": """SELECT event_id AS interaction_id, concat('HCP_', CAST(user_id AS STRING)) AS hcp_id, CAST(ts AS DATE) AS interaction_date,
-  year(ts) AS program_year, CASE event_type WHEN 'purchase' THEN 'meal' WHEN 'click' THEN 'education' WHEN 'view' THEN 'consulting'
+  CAST(year(ts) AS BIGINT) AS program_year, CASE event_type WHEN 'purchase' THEN 'meal' WHEN 'click' THEN 'education' WHEN 'view' THEN 'consulting'
   WHEN 'signup' THEN 'advisory_board' ELSE 'conference' END AS interaction_type,
   concat('REP_', regexp_extract(props, '[0-9]+', 0)) AS rep_id,
   CASE WHEN event_type = 'purchase' THEN value END AS meal_cost, value AS payment_amount, value <= 150 AS fmv_approved,
