@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import byte_values, chunks, is_word, lowered, mixed, only, prefix_hash, span_hash, spans, table, utf8, written
 from .components import components
-from .simhash import DISTANCE, sorted_links, whole_groups
+from .simhash import DISTANCE, sorted_links, whole_groups, with_partner
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 BLOCKS = (13, 13, 13, 13, 12)
@@ -89,32 +90,42 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
         return True
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    head = int(differ[0]) if len(differ) else n
-    x, y = x[head:], y[head:]
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[::-1][:n] != y[::-1][:n])
-    tail = int(differ[0]) if len(differ) else n
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    if max(len(x), len(y)) <= most:
-        return True
-    step = np.arange(len(y) + 1)
-    row = step.copy()
-    for i, c in enumerate(x.tolist(), 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != c))
-        row = np.minimum.accumulate(new - step) + step
-        if row.min() > most:
+    head = len(commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return max(len(a), len(b)) <= most or edit_distance_within(a, b, most)
+
+
+def edit_distance_within(a: str, b: str, most: int) -> bool:
+    """Myers' bit-parallel edit distance (in Hyyro's form): a column of the table is two long integers."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return len(b) <= most
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = where.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | full & ~(diagonal | up), up & diagonal
+        if right_up & top:
+            distance += 1
+        elif right_down & top:
+            distance -= 1
+        if distance - left > most:
             return False
-    return int(row[-1]) <= most
+        right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
+        up, down = right_down | full & ~(diagonal | right_up), right_up & diagonal
+    return distance <= most
 
 
 def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tuple[int, int]]:
     """Links of a spanning forest of the rows at DISTANCE bits or fewer whose texts are similar."""
-    found, rest = [], np.arange(len(fp))
+    found, rest = [], np.arange(len(fp)) if len(fp) <= 16 else with_partner(fp)
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):

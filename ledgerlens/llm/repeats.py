@@ -54,7 +54,7 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int, core: int) -> tuple[np.ndarray, ...]:
-    """Pieces of a chunk: maximal runs of windows whose anchors have one hash.
+    """Pieces of a chunk: runs of windows whose anchors have one hash, of ``width - core + 1`` windows at most.
 
     hashes[i] is the hash of the core at item i; offsets: first item of each row. Returns (row, first item, windows,
     anchor's hash, twice) of each piece; twice: its windows have more than one anchor, so they may repeat each other.
@@ -76,7 +76,13 @@ def anchors(hashes: np.ndarray, offsets: np.ndarray, width: int, core: int) -> t
     moved[1:] = (at[1:] != at[:-1]) & ~new[1:]
     first = np.flatnonzero(new)
     windows = np.diff(np.append(first, len(h)))
-    return row[first], start[first], windows, h[first], np.add.reduceat(moved, first) > 0
+    twice = np.add.reduceat(moved, first) > 0
+    # text that repeats itself gives runs of any length: cut them to what one anchor can give
+    cuts = -(-windows // span)
+    of = np.repeat(np.arange(len(first)), cuts)
+    skip = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * span
+    first = first[of]
+    return row[first], start[first] + skip, np.minimum(windows[of] - skip, span), h[first], twice[of]
 
 
 class Substrings:

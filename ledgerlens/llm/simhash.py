@@ -143,16 +143,23 @@ def forest(fp: np.ndarray, most: int = DISTANCE) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def with_partner(fp: np.ndarray, most: int = DISTANCE, block: int = 256) -> np.ndarray:
+    """The rows that have another at ``most`` differing bits or fewer."""
+    return np.concatenate([np.flatnonzero((np.bitwise_count(fp[a : a + block, None] ^ fp[None, :]) <= most).sum(axis=1) > 1) + a for a in range(0, len(fp), block)])
+
+
 def group_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As forest(); a large group goes by four exact blocks of 16 bits, one of which any linked two share."""
+    """As forest(), for rows of which few have a partner; a large group goes by four exact blocks of 16 bits, one of which any linked two share."""
     if len(fp) <= LARGE:
-        return forest(fp)
+        some = with_partner(fp)
+        i, j = forest(fp[some])
+        return some[i], some[j]
     left, right = [], []
     for k in range(4):
         block = fp >> np.uint64(16 * k) & np.uint64(0xFFFF)
         order = np.argsort(block, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-            i, j = forest(fp[part])
+            i, j = forest(fp[part]) if len(part) <= 16 else (lambda s: tuple(s[x] for x in forest(fp[part][s])))(with_partner(fp[part]))
             left.append(part[i])
             right.append(part[j])
     return np.concatenate(left), np.concatenate(right)
