@@ -1 +1 @@
-"""PySpark-native compliance analytics."""
+"""Reading and writing tables."""
