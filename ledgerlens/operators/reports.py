@@ -320,3 +320,49 @@ def gate_failures(summary: DataFrame, gates: dict[str, float], metric: str = "me
     """Categories under their gate."""
     gate = F.create_map(*[F.lit(x) for p in gates.items() for x in p])[F.col("category")]
     return summary.withColumn("gate", gate).where(F.col(metric) < F.col("gate"))
+
+
+def drilldown(payments: DataFrame, hcp_id: str | None = None, year: int | None = None) -> DataFrame:
+    """Totals of an entity (of all, if none is named) by year and nature, by year and company, and by year."""
+    rows = payments.where(F.col("hcp_id") == hcp_id) if hcp_id else payments
+    rows = rows.where(F.col("program_year") == year) if year else rows
+
+    def level(name: str, key: Column) -> DataFrame:
+        return rows.groupBy("hcp_id", "program_year", key.alias("key")).agg(F.sum("payment_amount").alias("total"), F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(name))
+
+    return reduce(DataFrame.unionByName, [level("nature", F.col("nature_of_payment")), level("company", F.col("company_name")), level("year", F.lit("all"))])
+
+
+def entity_profile(scores: DataFrame, totals: DataFrame, hcp_id: str) -> DataFrame:
+    """One entity's scores with its yearly totals; of columns on both sides the scores' stay."""
+    new = [c for c in totals.columns if c not in scores.columns]
+    return scores.where(F.col("hcp_id") == hcp_id).join(totals.select("hcp_id", *new), "hcp_id", "left")
+
+
+def vs_population(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(hcp_id, feature, value, mean, direction) of each row against the mean of all."""
+    mean = df.agg(*[F.avg(c).alias(c) for c in columns]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean")) for c in columns])).alias("m")).select("m.*")
+    rows = df.unpivot("hcp_id", columns, "feature", "value").join(F.broadcast(mean), "feature")  # a row for each column
+    return rows.withColumn("direction", F.when(F.col("value") > F.col("mean"), "high").otherwise("low"))
+
+
+def filter_options(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of a few low-cardinality columns, sorted, in one row."""
+    return df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])
+
+
+def investigation_report(scores: DataFrame, flags: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
+    """A nested row an entity: profile, fired flags, top features."""
+    fired = flags.select("hcp_id", F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in names])).alias("fired_flags"))
+    top = features.groupBy("hcp_id").agg(F.array_sort(F.collect_list(F.struct("place", "feature", "value", "direction"))).alias("top_features"))  # a few of each entity
+    profile = F.struct("specialty", "state", "risk_score", "risk_tier", "recommended_action").alias("profile")
+    return scores.select("hcp_id", profile).join(fired, "hcp_id", "left").join(top, "hcp_id", "left")
+
+
+def monitoring_report(distribution: DataFrame, patterns: DataFrame, segments: DataFrame, issues: DataFrame) -> DataFrame:
+    """One nested row of the population's reports, each of a few rows."""
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
+
+    parts = [listed(distribution, "distribution"), listed(patterns, "flag_patterns"), listed(segments, "segments"), listed(issues, "issues")]
+    return reduce(DataFrame.crossJoin, parts)  # one row each

@@ -282,3 +282,34 @@ def latency_statistics(spark, sf_dir):
 @query(sql("SELECT fmv_tier, count(*) AS n, avg(CASE WHEN has_payments THEN 1.0 ELSE 0.0 END) AS rate FROM profile GROUP BY fmv_tier", doubles="rate", **steps("profile")))
 def payment_rate_by_tier(spark, sf_dir):
     return marts.profile(spark, sf_dir).groupBy("fmv_tier").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("has_payments").cast("double")).alias("rate"))
+
+
+LEVELS = " UNION ALL ".join(f"SELECT '{n}' AS level, hcp_id, program_year, {k} AS key, sum(payment_amount) AS total, count(*) AS n FROM target GROUP BY ALL" for n, k in (("nature", "nature_of_payment"), ("company", "company_name"), ("year", "'all'")))
+
+
+@query(sql(LEVELS, doubles="total", **steps("target")))
+def payment_drilldown(spark, sf_dir):
+    return R.drilldown(marts.target(spark, sf_dir))
+
+
+@query(sql("SELECT hcp_id, feature, value, mean, CASE WHEN value > mean THEN 'high' ELSE 'low' END AS direction FROM (" + " UNION ALL ".join(f"SELECT hcp_id, '{c}' AS feature, {c} AS value, avg({c}) OVER () AS mean FROM profile" for c in IMPORTANT[:3]) + ")", doubles="value mean", **steps("profile")))
+def against_population(spark, sf_dir):
+    return R.vs_population(marts.profile(spark, sf_dir), IMPORTANT[:3])
+
+
+@query(sql("SELECT list_sort(list(DISTINCT specialty)) AS specialty, list_sort(list(DISTINCT state)) AS state, list_sort(list(DISTINCT fmv_tier)) AS fmv_tier FROM master"))
+def filter_options(spark, sf_dir):
+    return R.filter_options(view(spark, sf_dir, "master"), ["specialty", "state", "fmv_tier"])
+
+
+@query()
+def investigation_reports(spark, sf_dir):
+    """Nested rows; their parts are compared with SQL by the queries above."""
+    top = R.top_features(marts.profile(spark, sf_dir), "hcp_id", IMPORTANT, 3)
+    return R.investigation_report(scores(spark, sf_dir), scoring.flags(spark, sf_dir), top, FLAGS)
+
+
+@query()
+def monitoring_report(spark, sf_dir):
+    rows = scores(spark, sf_dir)
+    return R.monitoring_report(R.risk_distribution(rows), R.flag_patterns(rows, FLAGS, SEVERITY), R.risk_segments(rows, "state", FLAGS), R.systemic_issues(rows, FLAGS))
