@@ -160,37 +160,43 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> byt
         model = Model.fit([kept[i] for i in by], np.array([found[i] for i in by], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], names=["model"])
 
-    return bytes(rows.select("doc_id", "text", "quality").repartition(1).mapInArrow(fit, "model binary").first().model)
+    found = rows.select("doc_id", "text", "quality").repartition(1).mapInArrow(fit, "model binary").first()
+    return bytes(found.model) if found else Model.constant(np.zeros(0)).packed()  # no task runs for no rows
+
+
+def scores_of(batch: pa.RecordBatch, fitted: Model) -> np.ndarray:
+    return np.array([fitted.score(row) for part in chunks(iter([batch.select(["text"])])) for row in features(part)], np.float64)
 
 
 def score_quality(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs with a column score: of the texts alone. Other columns stay as they are."""
-    if "score" in docs.columns:
-        raise ValueError("docs already has a column score")
+    """(doc_id, score) of each row: of the texts alone."""
     of = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model.unpacked(of.value)
         for batch in batches:
-            scores: list[float] = []
-            for part in chunks(iter([batch.select(["text"])])):
-                scores += [fitted.score(row) for row in features(part)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores_of(batch, fitted))], names=["doc_id", "score"])
 
-    return docs.mapInArrow(score, schema)
+    rows = only(docs, "doc_id", "text")
+    return rows.mapInArrow(score, StructType([rows.schema["doc_id"], StructField("score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    scored = score_quality(only(docs, "doc_id", "text"), fit_quality(docs, labels, sample))
+    scored = score_quality(docs, fit_quality(docs, labels, sample))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold, with their columns."""
-    return score_quality(docs, fit_quality(docs, labels)).where(F.col("score") >= threshold).drop("score")
+    of = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = Model.unpacked(of.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(batch, fitted) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
