@@ -129,7 +129,11 @@ def clean_citations(df: DataFrame, text: str = "text", pattern: str = r"\[([0-9]
 
 def assemble_contexts(df: DataFrame, sources: dict[str, str]) -> DataFrame:
     """One list of contexts from several columns of lists, each with its prefix."""
-    return df.withColumn("contexts", F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, p=prefix: F.concat(F.lit(f"[{p}] "), x)) for c, prefix in sources.items()]))
+
+    def prefixed(column: str, prefix: str) -> Column:
+        return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"[{prefix}] "), x))
+
+    return df.withColumn("contexts", F.concat(*[prefixed(c, prefix) for c, prefix in sources.items()]))
 
 
 def lookup_rules(queries: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
