@@ -41,6 +41,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what has ended go once the driver drops their jobs
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,8 @@ of five blocks of its 64 bits, three differing bits leave two untouched. Lines a
 the edit similarity of their normal forms, 0.8 or more, and of each connected group one occurrence stays: the one of
 the least (doc_id, place in the text).
 
-Texts travel only for classes that have another within three bits. Within a block key only a spanning forest of
-verified links is given.
+Texts travel only for classes that have another within three bits, once where these links connect few classes, else
+once for each block key. Within a group only a spanning forest of verified links is given.
 
 Defined results: lines end at \\n; lines of fewer than ``min_words`` words (five by default) aren't compared and stay; a
 null text stays null; a text whose lines all go becomes empty; rows that are equal in doc_id and text get equal
@@ -32,6 +32,8 @@ from .simhash import DISTANCE, sorted_links, whole_groups, with_partner
 
 MIN_WORDS, SIMILARITY = 5, 0.8
 BLOCKS = (13, 13, 13, 13, 12)
+#: Classes linked by their fingerprints are verified in one group up to this number, else under their block keys.
+TOGETHER = 4096
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
 
@@ -123,14 +125,37 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
+def sketch(text: str, letters: int = 256, pairs: int = 512) -> np.ndarray:
+    """Counts of the text's characters and of its pairs of characters, in bins."""
+    x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.concatenate([np.bincount((x % np.uint64(letters)).astype(np.int64), minlength=letters), np.bincount((mixed(x[:-1] * np.uint64(1_000_003) + x[1:]) % np.uint64(pairs)).astype(np.int64), minlength=pairs)]).astype(np.int32)
+
+
+def maybe_similar(one: np.ndarray, others: np.ndarray, most: np.ndarray, letters: int = 256) -> np.ndarray:
+    """False where counts alone show more than ``most`` edits: an edit takes away at most one character and two pairs."""
+    more = others - one
+    less = np.maximum(-more, 0)
+    more = np.maximum(more, 0)
+    by_letter = np.maximum(more[:, :letters].sum(axis=1), less[:, :letters].sum(axis=1))
+    by_pair = np.maximum(more[:, letters:].sum(axis=1), less[:, letters:].sum(axis=1))
+    return (by_letter <= most) & (by_pair <= 2 * most)
+
+
 def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tuple[int, int]]:
     """Links of a spanning forest of the rows at DISTANCE bits or fewer whose texts are similar."""
     found, rest = [], np.arange(len(fp)) if len(fp) <= 16 else with_partner(fp)
+    if len(rest) < 2 or len(fp) == 2 and int(fp[0] ^ fp[1]).bit_count() > DISTANCE:
+        return found
+    length = np.array([len(t) for t in texts])
+    counts = {int(i): sketch(texts[int(i)]) for i in rest}
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             i = queue.pop()
             near = rest[np.bitwise_count(fp[rest] ^ fp[i]) <= DISTANCE]
+            if len(near):
+                most = ((1 - least) * np.maximum(length[near], length[i]) + 1e-9).astype(np.int64)
+                near = near[maybe_similar(counts[i], np.stack([counts[int(j)] for j in near]), most)]
             got = [int(j) for j in near if edit_similar(texts[i], texts[int(j)], least)]
             if got:
                 found += [(i, j) for j in got]
@@ -139,11 +164,6 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
     return found
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with id and th, which tell documents apart (a null doc_id counts as the least id)."""
-    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "th": F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())})
-
-
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, th, gone): the places of the lines to remove from each document that has any. docs: id, th, text."""
 
@@ -160,11 +180,18 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
             yield pa.RecordBatch.from_arrays([pa.array(found), *(c.take(pick) for c in batch.columns)], names=["key", *batch.schema.names])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The normal forms, each with the keys under which it meets the lines it may be like."""
         for part in chunks(batches):
             lines = Lines(part, min_words)
             at = {k: i for i, k in enumerate(zip(lines.row.tolist(), lines.place.tolist(), strict=True))}
-            wanted = [(r, x["place"], x["node"], x["fp"]) for r, found in enumerate(part.column("wanted").to_pylist()) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array([w[3] for w in wanted], pa.int64()), pa.array([w[2] for w in wanted], pa.int64()), pa.array([lines.normal(at[w[0], w[1]]) for w in wanted], pa.string())], names=["fp", "node", "line"])
+            wanted = [(x["fp"], x["node"], x["root"], x["large"], lines.normal(at[r, x["place"]])) for r, found in enumerate(part.column("wanted").to_pylist()) for x in found]
+            fp, node, root, large = (np.array([w[c] for w in wanted], np.int64) for c in range(4))
+            big = np.flatnonzero(large)
+            rows, blocks = block_keys(fp[big].view(np.uint64))
+            pick = np.concatenate([np.flatnonzero(large == 0), big[rows]])
+            spread = np.concatenate([np.zeros(len(wanted) - len(big), np.int64), blocks + 1])
+            found = mixed(root[pick].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(fp[pick]), pa.array(node[pick]), pa.array([w[4] for w in wanted], pa.string()).take(pa.array(pick))], names=["key", "fp", "node", "line"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, fp, node, line in whole_groups(batches, ("key", "fp", "node", "line")):
@@ -181,10 +208,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     classes = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.first("fp").alias("fp"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     near = classes.select("fp", "node").mapInArrow(keys, "key long, fp long, node long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sorted_links, "u long, v long")
-    near = near.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    wanted = classes.join(near, "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "fp")).alias("wanted"))  # one document's own
-    lines = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("text", "wanted").mapInArrow(texts, "fp long, node long, line string")
-    links = lines.mapInArrow(keys, "key long, fp long, node long, line string").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
+    near = components(near)
+    sizes = near.groupBy("root").agg((F.count(F.lit(1)) > TOGETHER).cast("int").alias("large"))
+    wanted = classes.join(near.join(sizes, "root"), "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "fp", "root", "large")).alias("wanted"))  # one document's own
+    lines = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(texts, "key long, fp long, node long, line string")
+    links = lines.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
     groups = components(links)
     named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("first").alias("stays"))
@@ -193,27 +221,34 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_list("place")).alias("gone"))  # one document's own
 
 
-def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the texts that are left, and a column removed_lines."""
-    if clash := {"id", "th", "gone", "removed_lines"} & set(docs.columns):
-        raise ValueError(f"docs has columns {sorted(clash)}")
-    rows = keyed(docs)
-    rows = rows.join(repeated_lines(rows.select("id", "th", "text").where("text is not null"), min_words, similarity), ["id", "th"], "left").select(*docs.columns, "gone")
-    schema = StructType([*docs.schema.fields, StructField("removed_lines", IntegerType())])
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of docs needs."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
+def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, count_as: str | None = None) -> DataFrame:
+    """docs with the texts that are left; count_as: a further column with the number of lines removed."""
+    of, th, gone = (fresh(docs, c) for c in ("id", "th", "gone"))
+    rows = docs.withColumns({of: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), th: F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())})
+    found = repeated_lines(rows.where("text is not null").select(F.col(of).alias("id"), F.col(th).alias("th"), "text"), min_words, similarity)
+    rows = rows.join(found.select(F.col("id").alias(of), F.col("th").alias(th), F.col("gone").alias(gone)), [of, th], "left").select(*docs.columns, gone)
+    schema = StructType([*docs.schema.fields, *([StructField(count_as, IntegerType())] if count_as else [])])
     names = schema.names
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = batch.column("gone")
+            lost = batch.column(gone)
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             count = [0] * len(texts)
-            for i in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                out = set(gone[i].as_py())
+            for i in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                out = set(lost[i].as_py())
                 count[i] = len(out)
                 texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in out])
             columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(count, pa.int32())] if count_as else [])], names=names)
 
     return rows.mapInArrow(rebuild, schema)
 
@@ -221,7 +256,7 @@ def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines and n_removed (of the input's lines), kept_sha256 (of the text that is left)."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    left = without_lines(docs)
+    left = without_lines(docs, count_as="removed_lines")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     # a text that lost all its lines is empty, which still counts as one line
     lost_all = (F.col("text") == "") & (F.col("removed_lines") > 0)
