@@ -8,8 +8,14 @@ an item scores 1 or nearly.
 The search gives all items of at least ``threshold``, none lost. Items stand in blocks, each with the largest impact
 of every word in it; words whose largest impacts together stay under the threshold can't reach it, so a passage and a
 block only meet through the other, essential words, and are scored only if the block's upper bounds reach the
-threshold. Hits are verified: enough five-word shingles of the item's question part and of its answer part (the last
-sentence, or the last quarter of its words) occur in the passage.
+threshold. Hits are verified: enough five-word shingles of the whole item, or of its question (all but its answer: the
+last sentence, or the last quarter of its words), or of both parts where a question is shorter than a shingle, occur in
+the passage. The answer's share is given as a further measure.
+
+A question of five words or more is also an entry of its own in the index, so that a question without its answer is
+found whatever the answer's weight. Where an entry's heaviest words could make up more than the threshold leaves, its
+own threshold is the least score that a verified hit can have. Document frequencies and the mean length are those of
+all items, however many parts the index has.
 
 Defined results: null and wordless texts and items match nothing; an item of fewer than five words matches by its whole
 word sequence; equal items each match; repeated rows each get their hits; ties don't matter, as all above the threshold
@@ -22,7 +28,7 @@ import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,41 +72,67 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(span_hash(prefix, at, np.minimum(at + size, len(hashes))))
 
 
+class Statistics:
+    """Number of items, their words, and in how many items each word stands."""
+
+    def __init__(self, texts: Iterable[str | None] = ()):
+        self.items, self.words, self.frequency = 0, 0, Counter()
+        for text in texts:
+            words = words_of(text or "")
+            self.items += bool(words)
+            self.words += len(words)
+            self.frequency.update(set(words))
+
+    def weights(self, words: list[bytes]) -> dict[bytes, float]:
+        """BM25 weights of an item's words."""
+        mean = self.words / max(1, self.items)
+        return {w: math.log(1 + (self.items - self.frequency[w] + 0.5) / (self.frequency[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean)) for w, n in Counter(words).items()}
+
+
 class Index:
-    """Inverted index of items (item_id, text)."""
+    """Inverted index of items (item_id, text): an entry for each item, then one for each question of five words or more."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, overlap: float = OVERLAP, statistics: Statistics | None = None):
         items = sorted((i, t) for i, t in items if words_of(t or ""))
-        self.threshold, self.item_ids = threshold, np.array([i for i, _ in items], np.int64)
-        words = [words_of(t) for _, t in items]
+        statistics = statistics or Statistics(t for _, t in items)
+        parts = [question_and_answer(t) for _, t in items]
+        asked = [i for i, (question, answer) in enumerate(parts) if answer and len(question) >= SHINGLE]
+        self.of = np.array([*range(len(items)), *asked], np.int64)
+        self.item_ids = np.array([items[i][0] for i in self.of], np.int64)
+        words = [words_of(t) for _, t in items] + [parts[i][0] for i in asked]
         self.longest = max((len(w) for w in words), default=1)
         vocabulary = sorted({w for ws in words for w in ws})
         hashes = np.array([hash_bytes(w) for w in vocabulary], np.uint64)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         number = {vocabulary[j]: i for i, j in enumerate(order.tolist())}
-        frequency = Counter(w for ws in words for w in set(ws))
-        mean = sum(map(len, words)) / max(1, len(words))
+        self.least = np.full(len(words), threshold)
         postings: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
         for i, ws in enumerate(words):
-            weight = {w: math.log(1 + (len(words) - frequency[w] + 0.5) / (frequency[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ws) / mean)) for w, n in Counter(ws).items()}
+            weight = statistics.weights(ws)
             own = sum(weight.values())
+            # a shingle that is missing takes away one word at most
+            lost = int((1 - overlap) * max(1, len(ws) - SHINGLE + 1) + 1e-9)
+            self.least[i] = min(threshold, 1 - sum(sorted(weight.values())[len(weight) - lost :]) / own)
             for w, x in weight.items():
                 postings[number[w]].append((i, x / own))
         self.first = np.cumsum([0, *map(len, postings)])
         self.item = np.array([i for p in postings for i, _ in p], np.int32)
         self.impact = np.array([x for p in postings for _, x in p], np.float64)
         self._blocks()
-        self.parts = []
-        for _, text in items:
-            both = [np.array([hash_bytes(w) for w in part], np.uint64) for part in question_and_answer(text)]
-            self.parts.append([(shingles(x), min(SHINGLE, len(x))) for x in both])
+        self.parts, self.own = [], []
+        for ws, both in zip(words, parts, strict=False):
+            hashed = [np.array([hash_bytes(w) for w in part], np.uint64) for part in (ws, *both)]
+            self.parts.append([(shingles(x).tolist(), min(SHINGLE, len(x))) for x in hashed])
+            weight = statistics.weights(ws)
+            self.own.append((np.array([hash_bytes(w) for w in weight], np.uint64), np.array(list(weight.values())) / sum(weight.values())))
 
     def _blocks(self) -> None:
         """Of each word and block of items: its largest impact there, and whether it is essential there."""
         word = np.repeat(np.arange(len(self.hashes)), np.diff(self.first))
         block = self.item // BLOCK
         self.n_blocks = int(block.max(initial=-1)) + 1
+        self.block_least = np.minimum.reduceat(self.least, np.arange(0, len(self.least), BLOCK)) if len(self.least) else self.least
         key = word * max(1, self.n_blocks) + block
         pair, inverse = np.unique(key, return_inverse=True)
         best = np.zeros(len(pair))
@@ -110,7 +142,7 @@ class Index:
         for i in range(self.n_blocks):
             mine = np.flatnonzero(b == i)
             mine = mine[np.argsort(best[mine], kind="stable")]
-            essential[mine[np.cumsum(best[mine]) >= self.threshold - 1e-9]] = True
+            essential[mine[np.cumsum(best[mine]) >= self.block_least[i] - 1e-9]] = True
         self.block_first = np.searchsorted(w, np.arange(len(self.hashes) + 1))
         self.block, self.best, self.essential = b.astype(np.int32), best, essential
         self.has_essential = np.add.reduceat(essential, self.block_first[:-1]) > 0 if len(w) else np.zeros(0, bool)
@@ -123,7 +155,7 @@ class Index:
         return np.where(self.hashes[where] == hashes, where, -1)
 
     def search(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
-        """(row, first word, last word + 1, item, score) of each passage's items above the threshold, for a chunk's words."""
+        """(row, first word, last word + 1, entry, score) of each passage's entries above the threshold, for a chunk's words."""
         step, long = self.longest, 2 * self.longest
         number = self.numbers(hashes)
         # passages of each row; a row of any words has one at least
@@ -153,14 +185,14 @@ class Index:
         where = np.searchsorted(meet, key)
         on = (where < len(meet)) & (meet[np.minimum(where, len(meet) - 1)] == key) if len(meet) else np.zeros(len(key), bool)
         bound = np.bincount(where[on], x[on], len(meet))
-        meet = meet[bound >= self.threshold - 1e-9]
+        meet = meet[bound >= self.block_least[meet % max(1, self.n_blocks)] - 1e-9]
         # exact scores in the blocks that are left
         some = np.isin(passage, meet // max(1, self.n_blocks))
         p, i, x = self._expand(passage[some], words[some], self.first, self.item, self.impact)
         on = np.isin(p * self.n_blocks + i // BLOCK, meet)
         pair, inverse = np.unique(p[on] * len(self.item_ids) + i[on], return_inverse=True)
         score = np.bincount(inverse, x[on], len(pair))
-        hit = np.flatnonzero(score >= self.threshold - 1e-9)
+        hit = np.flatnonzero(score >= self.least[pair % max(1, len(self.item_ids))] - 1e-9)
         for p, i, s in zip((pair[hit] // max(1, len(self.item_ids))).tolist(), (pair[hit] % max(1, len(self.item_ids))).tolist(), score[hit].tolist(), strict=True):
             yield int(row[p]), int(start[p]), int(end[p]), i, s
 
@@ -171,13 +203,23 @@ class Index:
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[words] if len(words) else n, n)
         return np.repeat(passage, n), *(c[at] for c in columns)
 
-    def overlap(self, item: int, passage: np.ndarray) -> tuple[float, float]:
-        """The shares of the item's question and answer shingles in the passage; an empty part counts as found.
+    def overlap(self, item: int, passage: np.ndarray, known: dict[int, set[int]] | None = None) -> tuple[float, float, float]:
+        """The shares of the item's, its question's and its answer's shingles in the passage; an empty part counts as found.
 
         A part shorter than a shingle is looked for as a whole, with runs of its own length.
+        known: the passage's shingles of each size, filled as they are needed.
         """
-        shares = [float(np.isin(part, shingles(passage, size)).mean()) if size else 1.0 for part, size in self.parts[item]]
-        return shares[0], shares[1]
+        known = {} if known is None else known
+        for _, size in self.parts[item]:
+            if size and size not in known:
+                known[size] = set(shingles(passage, size).tolist())
+        shares = [sum(x in known[size] for x in part) / len(part) if size else 1.0 for part, size in self.parts[item]]
+        return shares[0], shares[1], shares[2]
+
+    def score(self, item: int, passage: np.ndarray) -> float:
+        """The whole item's score for the passage."""
+        hashes, weight = self.own[item]
+        return float(weight[np.isin(hashes, passage)].sum())
 
     def leaks(self, chunk: pa.RecordBatch, overlap: float) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(row, item) of each verified hit: score, question overlap and answer overlap of its best passage."""
@@ -186,26 +228,31 @@ class Index:
         starts, ends, first = spans(_LETTER[data], offsets)
         hashes = span_hash(prefix_hash(byte_values(data)), starts, ends)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for row, a, b, item, score in self.search(hashes, first):
-            question, answer = self.overlap(item, hashes[a:b])
-            if question >= overlap and answer >= overlap:
-                best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, question, answer))
+        last, known = -1, {}
+        for row, a, b, item in sorted({(row, a, b, int(self.of[entry])) for row, a, b, entry, _ in self.search(hashes, first)}):
+            if a != last:
+                last, known = a, {}
+            whole, question, answer = self.overlap(item, hashes[a:b], known)
+            alone = self.parts[item][1][1] >= SHINGLE
+            if whole >= overlap or question >= overlap and (alone or answer >= overlap):
+                best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (self.score(item, hashes[a:b]), question, answer))
         return best
 
 
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[bytes]:
+def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Iterator[bytes]:
     """The test items are a stated query set: it is indexed in parts of INDEX_BYTES of text or so, one at a time."""
     items = only(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // INDEX_BYTES))
+    statistics = Statistics(r.text for r in items.select("text").toLocalIterator())
     for k in range(parts):
-        yield pickle.dumps(Index([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()], threshold))
+        yield pickle.dumps(Index([(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()], threshold, overlap, statistics))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): the best passage of each verified hit of each row."""
     rows, found = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), None
-    for index in indexes(benchmark, threshold):
+    for index in indexes(benchmark, threshold, overlap):
         of = docs.sparkSession.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], of=of) -> Iterator[pa.RecordBatch]:
@@ -223,7 +270,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of docs without a verified hit, with their columns."""
-    for index in indexes(benchmark, threshold):
+    for index in indexes(benchmark, threshold, overlap):
         of = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], of=of) -> Iterator[pa.RecordBatch]:
