@@ -137,9 +137,12 @@ def assemble_contexts(df: DataFrame, sources: dict[str, str]) -> DataFrame:
 
 
 def lookup_rules(queries: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
-    """Rules by the number of distinct words they share with a query, through an inverted list of words."""
+    """Rules by the number of distinct words they share with a query, through an inverted list of words.
+
+    A rule's text may stand on any number of rows: its words are made distinct by Spark, not within a row.
+    """
     def tokens(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))).alias("token"))
+        return df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))).alias("token")).distinct()
 
     hits = tokens(queries, "query_id").join(tokens(rules, "rule_id"), "token").groupBy("query_id", "rule_id").agg(F.count(F.lit(1)).alias("score"))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rule_id"))).where(F.col("place") <= k)

@@ -45,7 +45,15 @@ TOKENS = "unnest(list_distinct([x for x in string_split_regex(lower(text), '[^a-
 
 @query(f"WITH q AS (SELECT item_id AS query_id, {TOKENS} AS token FROM benchmark), r AS (SELECT source AS rule_id, {TOKENS} AS token FROM (SELECT source, string_agg(substr(text, 1, 40), ' ' ORDER BY doc_id) AS text FROM documents WHERE lang = 'en' GROUP BY source)) SELECT query_id, rule_id, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rule_id) AS place FROM (SELECT query_id, rule_id, count(*) AS score FROM q JOIN r USING (token) GROUP BY ALL)) WHERE place <= 5")
 def keyword_lookup(spark, sf_dir):
-    docs = view(spark, sf_dir, "documents").where("lang = 'en'").groupBy(F.col("source").alias("rule_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 40).alias("t")))), lambda x: x.t), " ").alias("text"))
+    """Rules: the first 40 characters of a source's English documents, as its SQL has it; keyword_lookup_whole has no such cut."""
+    docs = view(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("source").alias("rule_id"), F.substring("text", 1, 40).alias("text"))
+    return T.lookup_rules(view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs)
+
+
+@query(f"WITH q AS (SELECT DISTINCT item_id AS query_id, {TOKENS} AS token FROM benchmark), r AS (SELECT DISTINCT source AS rule_id, {TOKENS} AS token FROM documents) SELECT query_id, rule_id, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rule_id) AS place FROM (SELECT query_id, rule_id, count(*) AS score FROM q JOIN r USING (token) GROUP BY ALL)) WHERE place <= 5")
+def keyword_lookup_whole(spark, sf_dir):
+    """Rules: all words of a source's documents, in every language."""
+    docs = view(spark, sf_dir, "documents").select(F.col("source").alias("rule_id"), "text")
     return T.lookup_rules(view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs)
 
 
