@@ -15,6 +15,7 @@ shingle; shingles repeat; a null doc_id is never a component's name; repeated ro
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -55,15 +56,15 @@ def chunk_fingerprints(data: np.ndarray, offsets: np.ndarray, size: int = SHINGL
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) of each row, and further columns of longs; fp holds the 64 bits as a signed long."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             fp = chunk_fingerprints(*utf8(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *(part.column(c) for c in more)], names=["doc_id", "fp", *more])
 
-    return only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(make, "doc_id long, fp long")
+    return only(docs, "doc_id", "text", *more).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(make, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 class Golay:
@@ -227,19 +228,25 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sorted_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of each row: component_id is the least doc_id reachable by links of three bits or fewer."""
-    fps = written(fingerprints(docs))
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(fingerprint_links(classes.where("node is not null")))
-    named = classes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+def near_duplicates(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp, component_id) of each row, and further columns of longs: component_id is the least doc_id reachable by links of three bits or fewer."""
+    fps = written(fingerprints(docs, *more))
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    found = components(fingerprint_links(classes))
+    named = classes.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("root"), "least")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(named.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "component_id", *more)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are their group's least doc_id, with all columns. Rows of that same doc_id, and rows without one, stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are their group's least doc_id, with all columns. Rows of that same doc_id, and rows without one, stay.
+
+    Rows go by (doc_id, text), so that a doc_id on two texts loses only the one that is a copy.
+    """
+    th = f"th_{uuid.uuid4().hex}"
+    rows = docs.withColumn(th, F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = near_duplicates(rows, th).where("doc_id <> component_id").select("doc_id", th).distinct()
+    return rows.join(gone, ["doc_id", th], "left_anti").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
