@@ -25,26 +25,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediate tables; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder for intermediate tables; on a local master without one, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
+    if folder:
+        return folder
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+#: Whether Spark deletes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: what follows doesn't compute it anew, nor depends on an executor."""
+    """Write df to the shared folder and read it again: what follows doesn't compute it anew, nor depends on an executor.
+
+    The shuffles behind it are deleted once it stands: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what has ended go once the driver drops their jobs
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deleted(df: DataFrame) -> None:
+    """Delete the files of a written() table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns of the caller can't clash with ours."""
     return df.select(*[df[c] for c in columns])

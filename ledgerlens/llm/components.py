@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import deleted, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        edges = written(_star(_star(edges, large=True), large=False))
+        last, edges = edges, written(_star(_star(edges, large=True), large=False))
+        deleted(last)
         after = digest(edges)
         if after == before:
             break

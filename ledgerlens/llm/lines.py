@@ -1,23 +1,27 @@
 """Operator 5: fuzzy line dedup.
 
 A line's words (runs of letters, digits and bytes beyond ASCII, A-Z in lower case) joined by one space are its normal
-form. Lines of one normal form are one class. The SimHash of the words of a class meets others in pigeonhole blocks:
-of five blocks of its 64 bits, three differing bits leave two untouched. Lines at three bits or fewer are verified by
-the edit similarity of their normal forms, 0.8 or more, and of each connected group one occurrence stays: the one of
-the least (doc_id, place in the text).
-
-Texts travel only for classes that have another within three bits, once where these links connect few classes, else
-once for each block key. Within a group only a spanning forest of verified links is given.
-
-Defined results: lines end at \\n; lines of fewer than ``min_words`` words (five by default) aren't compared and stay; a
-null text stays null; a text whose lines all go becomes empty; rows that are equal in doc_id and text get equal
-results; a null doc_id comes before others; other columns stay as they are.
+form. Lines of one normal form are one class, whatever their length. A class's SimHash has 448 bits, the majority
+of the hashes of its words (each counted twice at most): 16 pigeonhole blocks of 26 bits and 32 check bits. Two lines
+that differ in 15 bits or fewer agree in a block, and those that differ in more do so less and less often. Classes that
+agree in a block and differ in CHECKED of the check bits at most are candidates; the edit similarity of their normal
+forms (0.8 or more) decides. Of each connected group one occurrence stays: the one of the least (doc_id, text's hash, place).
+
+Texts travel only for classes that have a candidate. The classes that candidates connect are verified together; where
+they are more than TOGETHER, they are dealt into parts, and every two parts are verified together, so no task holds
+more than two parts. Within them only a spanning forest of verified links is given. A block value of many more than
+TOGETHER classes is not searched for candidates: all its classes are verified together.
+
+Defined results: lines end at \\n; a line without words isn't compared and stays; a null text stays null; a text whose
+lines all go becomes empty; of rows that are equal in doc_id and text one keeps what is left, and all lines of the
+others that have words go; a null doc_id comes before others; ties don't occur otherwise; other columns, whatever their
+names, stay as they are; an empty table gives an empty table. Texts are handled about a megabyte at a time; a longer
+text or line comes alone, with some 30 bytes of arrays a byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from os.path import commonprefix
 
 import numpy as np
@@ -28,20 +32,22 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import byte_values, chunks, is_word, lowered, mixed, only, prefix_hash, span_hash, spans, table, utf8, written
 from .components import components
-from .simhash import DISTANCE, sorted_links, whole_groups, with_partner
-
-MIN_WORDS, SIMILARITY = 5, 0.8
-BLOCKS = (13, 13, 13, 13, 12)
-#: Classes linked by their fingerprints are verified in one group up to this number, else under their block keys.
-TOGETHER = 4096
+from .simhash import forest, whole_groups
+
+SIMILARITY = 0.8
+#: 64-bit words of a line's SimHash; its blocks of bits; the check bits in which candidates may differ, of 32; the bits
+#: of the last word in which linked lines may differ, of 64. The number of block values sets how many unlike lines meet:
+#: with N classes, each meets BLOCKS * N / 2 ** BLOCK_BITS others by chance, of which the check bits leave 1 in 280.
+WORDS, BLOCKS, BLOCK_BITS, CHECKED, RADIUS = 7, 16, 26, 8, 20
+#: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
+TOGETHER, FEW = 2048, 1_000_000
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
 
 class Lines:
-    """The lines of a chunk of texts that are compared: row, place, first and last + 1 word; and the chunk's words."""
+    """The lines of a chunk of texts that have words: row, place, first and last + 1 word; and the chunk's words."""
 
-    def __init__(self, part: pa.RecordBatch, min_words: int):
-        data, offsets = utf8(part.column("text"))
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = lowered(data)
         inside = _LETTER[self.data]
         self.starts, self.ends, _ = spans(inside, offsets)
@@ -51,37 +57,58 @@ class Lines:
         # a break at a text's end begins an empty line of that text, which has no words
         first = np.searchsorted(self.starts, begin)
         last = np.append(first[1:], len(self.starts))
-        use = np.flatnonzero(last - first >= min_words)
+        use = np.flatnonzero(last > first)
         self.row, self.first, self.last = row[use], first[use], last[use]
         self.place = np.searchsorted(breaks, begin[use], "right") - np.searchsorted(breaks, offsets[:-1][self.row], "right")
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(k1, k2, fp) of each line: 128 bits of its normal form, and its SimHash."""
-        words = span_hash(prefix_hash(byte_values(self.data)), self.starts, self.ends)
+    def words(self) -> np.ndarray:
+        return span_hash(prefix_hash(byte_values(self.data)), self.starts, self.ends)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each line's normal form."""
+        words = self.words()
         k1 = span_hash(prefix_hash(words), self.first, self.last)
-        k2 = span_hash(prefix_hash(mixed(words ^ np.uint64(0x5851F42D4C957F2D)), 0xAEF17502108EF2D9), self.first, self.last, 0xAEF17502108EF2D9)
-        if not len(self.first):
-            return k1, k2, np.zeros(0, np.uint64)
-        n = self.last - self.first
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first, n)
-        bits = np.unpackbits(words[at].view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        return k1, k2, np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64).ravel()
+        return k1, span_hash(prefix_hash(mixed(words ^ np.uint64(0x5851F42D4C957F2D)), 0xAEF17502108EF2D9), self.first, self.last, 0xAEF17502108EF2D9)
 
     def normal(self, i: int) -> str:
         raw = self.data[self.starts[self.first[i]] : self.ends[self.last[i] - 1]].tobytes()
         a = self.starts[self.first[i]]
         return b" ".join([raw[s - a : e - a] for s, e in zip(self.starts[self.first[i] : self.last[i]], self.ends[self.first[i] : self.last[i]], strict=True)]).decode()
 
-
-def block_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): the values of every two of the five blocks."""
-    values, low = [], 64
-    for width in BLOCKS:
-        low -= width
-        values.append((fp >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64))
-    keys = [np.int64(i) << 26 | values[a] << 13 | values[b] for i, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return np.tile(np.arange(len(fp)), len(keys)), np.concatenate(keys)
+    def simhashes(self, words: int = WORDS) -> np.ndarray:
+        """(lines, words): the majorities of the words' hashes, each word of a line counted twice at most."""
+        n = self.last - self.first
+        out = np.zeros((len(n), words), np.uint64)
+        if not len(n):
+            return out
+        line = np.repeat(np.arange(len(n)), n)
+        found = self.words()[np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first, n)]
+        # the line's number before 40 bits of the word's hash: in order, equal words of a line are neighbours
+        found = np.sort(line.astype(np.uint64) << np.uint64(40) | found >> np.uint64(24))
+        third = np.zeros(len(found), bool)
+        third[2:] = found[2:] == found[:-2]
+        found = found[~third]
+        line = (found >> np.uint64(40)).astype(np.int64)
+        found &= np.uint64((1 << 40) - 1)
+        start = np.searchsorted(line, np.arange(len(n)))
+        held = np.diff(np.append(start, len(line)))
+        # bytes count bits, eight to a number, over runs of 255 words at most
+        run = np.unique(np.concatenate([start, *([np.arange(s, s + h, 255) for s, h in zip(start[held > 255], held[held > 255], strict=True)])]))
+        of_line = np.searchsorted(run, start)
+        for k in range(words):
+            bits = np.unpackbits(mixed(found + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8)).view(np.uint64).reshape(-1, 8)
+            ones = np.add.reduceat(bits, run, axis=0).view(np.uint8)
+            if len(run) > len(start):
+                ones = np.add.reduceat(ones.astype(np.int32), of_line, axis=0)
+            out[:, k] = np.packbits(2 * ones.astype(np.int32) > held[:, None], axis=1).view(np.uint64).ravel()
+        return out
+
+
+def block_keys(fp: np.ndarray) -> np.ndarray:
+    """(lines, blocks): each block's number and value, before the check bits."""
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
+    blocks = bits[:, : BLOCKS * BLOCK_BITS].reshape(len(fp), BLOCKS, BLOCK_BITS) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64)) + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
+    return blocks << 32 | (bits[:, BLOCKS * BLOCK_BITS :][:, :32] @ (1 << np.arange(32, dtype=np.int64)))[:, None]
 
 
 def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -96,7 +123,13 @@ def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     a, b = a[head:], b[head:]
     tail = len(commonprefix((a[::-1], b[::-1])))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
-    return max(len(a), len(b)) <= most or edit_distance_within(a, b, most)
+    if max(len(a), len(b)) <= most:
+        return True
+    # words that stand at the same places cost nothing
+    one, two = a.split(" "), b.split(" ")
+    if len(one) == len(two) and sum(max(len(x), len(y)) for x, y in zip(one, two, strict=True) if x != y) <= most:
+        return True
+    return edit_distance_within(a, b, most)
 
 
 def edit_distance_within(a: str, b: str, most: int) -> bool:
@@ -142,21 +175,28 @@ def maybe_similar(one: np.ndarray, others: np.ndarray, most: np.ndarray, letters
 
 
 def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the rows at DISTANCE bits or fewer whose texts are similar."""
-    found, rest = [], np.arange(len(fp)) if len(fp) <= 16 else with_partner(fp)
-    if len(rest) < 2 or len(fp) == 2 and int(fp[0] ^ fp[1]).bit_count() > DISTANCE:
-        return found
+    """Links of a spanning forest of the rows at RADIUS bits or fewer whose texts are similar."""
+    found, rest = [], np.arange(len(fp))
     length = np.array([len(t) for t in texts])
-    counts = {int(i): sketch(texts[int(i)]) for i in rest}
+    counts: dict[int, np.ndarray] = {}
+
+    def counted(i: int) -> np.ndarray:
+        if i not in counts:
+            counts[i] = sketch(texts[i])
+        return counts[i]
+
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             i = queue.pop()
-            near = rest[np.bitwise_count(fp[rest] ^ fp[i]) <= DISTANCE]
-            if len(near):
-                most = ((1 - least) * np.maximum(length[near], length[i]) + 1e-9).astype(np.int64)
-                near = near[maybe_similar(counts[i], np.stack([counts[int(j)] for j in near]), most)]
-            got = [int(j) for j in near if edit_similar(texts[i], texts[int(j)], least)]
+            longer = np.maximum(length[rest], length[i])
+            near = rest[(np.bitwise_count(fp[rest] ^ fp[i]) <= RADIUS) & (np.minimum(length[rest], length[i]) >= least * longer - 1e-9)]
+            got = []
+            for some in np.split(near, range(256, len(near), 256)):
+                if len(some) > 4:
+                    most = ((1 - least) * np.maximum(length[some], length[i]) + 1e-9).astype(np.int64)
+                    some = some[maybe_similar(counted(i), np.stack([counted(j) for j in some.tolist()]), most)]
+                got += [j for j in some.tolist() if edit_similar(texts[i], texts[j], least)]
             if got:
                 found += [(i, j) for j in got]
                 queue += got
@@ -164,34 +204,55 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
     return found
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) from rows (key, node) of block_keys() that come sorted by key: a spanning forest of each block value's candidates.
+
+    Holds a batch and the rows of a block value; of more than 8 * TOGETHER rows only the last, as all of them are linked.
+    """
+    for key, node in whole_groups(batches, ("key", "node"), TOGETHER, 32):
+        check = (key & 0xFFFFFFFF).astype(np.uint32)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(key >> 32)) + 1])
+        size = np.diff(np.append(starts, len(key)))
+        two = starts[size == 2]
+        two = two[np.bitwise_count(check[two] ^ check[two + 1]) <= CHECKED]
+        left, right = [two], [two + 1]
+        for a, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if n > TOGETHER:
+                left.append(np.arange(a, a + n - 1))
+                right.append(np.arange(a + 1, a + n))
+                continue
+            i, j = forest(check[a : a + n], CHECKED)
+            left.append(i + a)
+            right.append(j + a)
+        yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(left)]), pa.array(node[np.concatenate(right)])], names=["u", "v"])
+
+
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, th, gone): the places of the lines to remove from each document that has any. docs: id, th, text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            lines = Lines(part, min_words)
-            row = pa.array(lines.row)
-            yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("th").take(row), pa.array(lines.place.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in lines.keys())], names=["id", "th", "place", "k1", "k2", "fp"])
+            lines = Lines(*utf8(part.column("text")))
+            row, fp = pa.array(lines.row), lines.simhashes()
+            ends = np.arange(len(fp) + 1, dtype=np.int32) * 8 * WORDS
+            columns = [part.column("id").take(row), part.column("th").take(row), pa.array(lines.place.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in lines.keys())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(ends), pa.py_buffer(fp)])], names=["id", "th", "place", "k1", "k2", "fp"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = block_keys(batch.column("fp").to_numpy().view(np.uint64))
-            pick = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(found), *(c.take(pick) for c in batch.columns)], names=["key", *batch.schema.names])
+            found = block_keys(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS))
+            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch.column("node").take(pa.array(np.repeat(np.arange(len(found)), BLOCKS)))], names=["key", "node"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The normal forms, each with the keys under which it meets the lines it may be like."""
+        """The normal forms, each with the last word of its SimHash and the groups in which it is verified."""
         for part in chunks(batches):
-            lines = Lines(part, min_words)
+            lines = Lines(*utf8(part.column("text")))
+            last = lines.simhashes()[:, -1].view(np.int64)
             at = {k: i for i, k in enumerate(zip(lines.row.tolist(), lines.place.tolist(), strict=True))}
-            wanted = [(x["fp"], x["node"], x["root"], x["large"], lines.normal(at[r, x["place"]])) for r, found in enumerate(part.column("wanted").to_pylist()) for x in found]
-            fp, node, root, large = (np.array([w[c] for w in wanted], np.int64) for c in range(4))
-            big = np.flatnonzero(large)
-            rows, blocks = block_keys(fp[big].view(np.uint64))
-            pick = np.concatenate([np.flatnonzero(large == 0), big[rows]])
-            spread = np.concatenate([np.zeros(len(wanted) - len(big), np.int64), blocks + 1])
-            found = mixed(root[pick].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + spread.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(fp[pick]), pa.array(node[pick]), pa.array([w[4] for w in wanted], pa.string()).take(pa.array(pick))], names=["key", "fp", "node", "line"])
+            wanted = [(at[r, x["place"]], x["node"], x["groups"]) for r, found in enumerate(part.column("wanted").to_pylist()) for x in found]
+            pick = pa.array([k for k, (_, _, groups) in enumerate(wanted) for _ in groups], pa.int64())
+            columns = [pa.array([last[i] for i, _, _ in wanted], pa.int64()), pa.array([node for _, node, _ in wanted], pa.int64()), pa.array([lines.normal(i) for i, _, _ in wanted], pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array([g for _, _, groups in wanted for g in groups], pa.int64()), *(c.take(pick) for c in columns)], names=["key", "fp", "node", "line"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, fp, node, line in whole_groups(batches, ("key", "fp", "node", "line")):
@@ -204,21 +265,23 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    occurrences = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, place int, k1 long, k2 long, fp long"))
-    classes = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.first("fp").alias("fp"))
+    occurrences = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, place int, k1 long, k2 long, fp binary"))
+    classes = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.min("fp").alias("fp"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
-    near = classes.select("fp", "node").mapInArrow(keys, "key long, fp long, node long").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sorted_links, "u long, v long")
-    near = components(near)
-    sizes = near.groupBy("root").agg((F.count(F.lit(1)) > TOGETHER).cast("int").alias("large"))
-    wanted = classes.join(near.join(sizes, "root"), "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "fp", "root", "large")).alias("wanted"))  # one document's own
+    dealt = classes.select("fp", "node").mapInArrow(keys, "key long, node long").repartition(parts, F.shiftright("key", 32)).sortWithinPartitions("key")
+    near = components(dealt.mapInArrow(candidates, "u long, v long"))
+    sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("root", F.least(own, other), F.greatest(own, other)))
+    members = near.join(sizes, "root").select("node", groups.alias("groups"))
+    wanted = classes.join(members, "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "groups")).alias("wanted"))  # one document's own
     lines = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(texts, "key long, fp long, node long, line string")
     links = lines.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
-    groups = components(links)
-    named = classes.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("k1", "k2", "first", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("first").alias("stays"))
     stays = named.join(first, "root").select("k1", "k2", "stays")
-    gone = occurrences.join(stays, ["k1", "k2"]).where(F.struct("id", "th", "place") != F.col("stays"))
-    return gone.groupBy("id", "th").agg(F.array_sort(F.collect_list("place")).alias("gone"))  # one document's own
+    gone = occurrences.select("id", "th", "place", "k1", "k2").join(stays, ["k1", "k2"]).where(F.struct("id", "th", "place") != F.col("stays"))
+    return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("place")).alias("gone"))  # one document's own
 
 
 def fresh(docs: DataFrame, name: str) -> str:
@@ -228,36 +291,47 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
-def without_lines(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, count_as: str | None = None) -> DataFrame:
+def without_lines(docs: DataFrame, similarity: float = SIMILARITY, count_as: str | None = None) -> DataFrame:
     """docs with the texts that are left; count_as: a further column with the number of lines removed."""
-    of, th, gone = (fresh(docs, c) for c in ("id", "th", "gone"))
+    of, th, gone, whole, uid = (fresh(docs, c) for c in ("id", "th", "gone", "whole", "uid"))
     rows = docs.withColumns({of: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), th: F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())})
-    found = repeated_lines(rows.where("text is not null").select(F.col(of).alias("id"), F.col(th).alias("th"), "text"), min_words, similarity)
-    rows = rows.join(found.select(F.col("id").alias(of), F.col("th").alias(th), F.col("gone").alias(gone)), [of, th], "left").select(*docs.columns, gone)
+    found = repeated_lines(rows.where("text is not null").select(F.col(of).alias("id"), F.col(th).alias("th"), "text"), similarity)
+    found = found.select(F.col("id").alias(of), F.col("th").alias(th), F.col("gone").alias(gone))
     schema = StructType([*docs.schema.fields, *([StructField(count_as, IntegerType())] if count_as else [])])
     names = schema.names
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lost = batch.column(gone)
+            lost, all_go = batch.column(gone), batch.column(whole).to_pylist()
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             count = [0] * len(texts)
-            for i in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                out = set(lost[i].as_py())
+            for i in np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False) | np.array(all_go, bool)).tolist():
+                if texts[i] is None:
+                    continue
+                raw = texts[i].encode()
+                out = set(Lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).place.tolist() if all_go[i] else lost[i].as_py())
                 count[i] = len(out)
                 texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in out])
-            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns[:-1])]
+            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns[:-2])]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(count, pa.int32())] if count_as else [])], names=names)
 
-    return rows.mapInArrow(rebuild, schema)
+    again = written(rows.where("text is not null").groupBy(of, th).count().where("count > 1").select(of, th))
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= FEW else again
+        copies = written(rows.join(again, [of, th], "left_semi").withColumn(uid, F.monotonically_increasing_id()))
+        kept = copies.groupBy(of, th).agg(F.min(uid).alias(uid))
+        others = copies.join(kept, [of, th, uid], "left_anti").withColumns({gone: F.lit(None).cast("array<int>"), whole: F.lit(True)})
+        rows = rows.join(again, [of, th], "left_anti").unionByName(copies.join(kept, [of, th, uid], "left_semi").drop(uid))
+    rows = rows.join(found, [of, th], "left").withColumn(whole, F.lit(False))
+    if n:
+        rows = rows.unionByName(others.drop(uid))
+    return rows.select(*[rows[c] for c in docs.columns], gone, whole).mapInArrow(rebuild, schema)
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines and n_removed (of the input's lines), kept_sha256 (of the text that is left)."""
-    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
     left = without_lines(docs, count_as="removed_lines")
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    # a text that lost all its lines is empty, which still counts as one line
-    lost_all = (F.col("text") == "") & (F.col("removed_lines") > 0)
-    return left.select("doc_id", (F.when(lost_all, 0).otherwise(lines) + F.col("removed_lines")).cast("long").alias("n_lines"), F.col("removed_lines").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_lines", F.col("removed_lines").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

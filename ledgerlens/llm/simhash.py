@@ -166,18 +166,26 @@ def group_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of rows that come sorted by the first of them, so cut that no key's rows are parted."""
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], most: int | None = None, shift: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows that come sorted by the first of them, so cut that no group's rows are parted.
+
+    A group is what is equal without the ``shift`` lowest bits. most: a group of many more rows is parted into
+    overlapping runs, each of more than ``most`` rows.
+    """
     kept: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in names)
-        if kept and kept[-1][0][-1] == columns[0][-1]:
+        if kept and kept[-1][0][-1] >> shift == columns[0][-1] >> shift:
             kept.append(columns)
+            if most and sum(len(k[0]) for k in kept) > 8 * most:
+                run = tuple(np.concatenate([k[c] for k in kept]) for c in range(len(names)))
+                yield run
+                kept = [tuple(x[-most - 1 :] for x in run)]
             continue
         whole = [np.concatenate([k[c] for k in kept] + [columns[c]]) for c in range(len(names))]
-        last = int(np.searchsorted(whole[0], whole[0][-1]))
+        last = int(np.searchsorted(whole[0] >> shift, whole[0][-1] >> shift))
         if last:
             yield tuple(x[:last] for x in whole)
         kept = [tuple(x[last:] for x in whole)]

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import bpe, chat, decontaminate, licenses, lines, neighbours, quality, simhash
-from ledgerlens.llm.common import hash_bytes
+from ledgerlens.llm.common import hash_bytes, mixed
 
 SF_DIR = "/root/testdata/sf0.001"
 RANKS = bpe.rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -175,31 +176,50 @@ def test_one_document_of_each_group_stays(spark):
 # 5: lines
 
 
+def brute_simhash(line):
+    words = line.split(" ")
+    once = [w for i, w in enumerate(words) if words[:i].count(w) < 2]
+    bits = []
+    for k in range(7):
+        rows = [np.unpackbits(mixed(np.array([(hash_bytes(w.encode()) >> 24) + (k + 1) * 0x9E3779B97F4A7C15 % 2**64 & 2**64 - 1], np.uint64)).view(np.uint8)) for w in once]
+        bits.append(2 * np.sum(rows, axis=0) > len(once))
+    return np.concatenate(bits)
+
+
+def edit_distance(a, b):
+    row = np.arange(len(b) + 1)
+    y = np.array(list(b))
+    for i, c in enumerate(a, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (y != c))
+        # what comes from the left costs one for each step
+        new = np.concatenate([[i], new]) - np.arange(len(b) + 1)
+        row = np.minimum.accumulate(new) + np.arange(len(b) + 1)
+    return int(row[-1])
+
+
 def brute_lines(rows):
-    """(kept text, lines removed) of each row, rows in the order of (doc_id, text's hash is not needed: no ties here)."""
+    """(kept text, lines removed) of each row; no two rows are equal."""
     classes = defaultdict(list)
     for doc, text in rows:
         for place, line in enumerate((text or "").split("\n")):
-            w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line.encode()))
-            if text is not None and len(w) >= 5:
+            if text is not None and (w := re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line.encode()))):
                 classes[b" ".join(w).decode()].append((doc, place))
-
-    def fp(line):
-        bits = np.array([np.unpackbits(np.frombuffer(np.uint64(hash_bytes(w.encode())).tobytes(), np.uint8)) for w in line.split(" ")])
-        return int.from_bytes(np.packbits(2 * bits.sum(axis=0) > len(bits)).tobytes(), "little")
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            new = [i]
-            for j, e in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
-            row = new
-        return row[-1]
-
     keys = list(classes)
-    fps = [fp(k) for k in keys]
-    links = [(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if (fps[i] ^ fps[j]).bit_count() <= 3 and 1 - distance(keys[i], keys[j]) / max(len(keys[i]), len(keys[j])) >= 0.8]
+    fps = [brute_simhash(k) for k in keys]
+    meet = defaultdict(list)
+    for i, f in enumerate(fps):
+        for b in range(16):
+            meet[b, f[26 * b : 26 * b + 26].tobytes()].append(i)
+    near = [(i, j) for g in meet.values() for i, j in combinations(g, 2) if (fps[i][-32:] != fps[j][-32:]).sum() <= 8]
+    together = defaultdict(list)
+    for i, root in enumerate(union_find(len(keys), near)):
+        together[root].append(i)
+    links = []
+    for g in together.values():
+        for i, j in combinations(g, 2):
+            longer = max(len(keys[i]), len(keys[j]))
+            if (fps[i][-64:] != fps[j][-64:]).sum() <= 20 and abs(len(keys[i]) - len(keys[j])) <= 0.2 * longer and edit_distance(keys[i], keys[j]) <= 0.2 * longer + 1e-9:
+                links.append((i, j))
     groups = defaultdict(list)
     for k, root in zip(keys, union_find(len(keys), links), strict=True):
         groups[root] += classes[k]
@@ -209,7 +229,7 @@ def brute_lines(rows):
 
 def test_lines_match_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf again and again today"
-    own = [(1, f"{base}\nshort line\n{base}"), (2, base.replace("lazy", "lazyy") + "\nshort line"), (3, "\n\n" + base.upper() + "!\n"), (4, None), (5, ""), (6, "short line")]
+    own = [(1, f"{base}\nshort line\n{base}\n..."), (2, base.replace("lazy", "lazyy") + "\nshort line\n..."), (3, "\n\n" + base.upper() + "!\n"), (4, None), (5, ""), (6, "Short: line")]
     for docs in (spark.createDataFrame([(*r, 1, "x") for r in own], "doc_id long, text string, id int, gone string"), documents(spark)):
         rows = [(r.doc_id, r.text) for r in docs.collect()]
         got = lines.without_lines(docs, count_as="lost")
@@ -217,11 +237,40 @@ def test_lines_match_brute_force(spark):
         assert {r.doc_id: (r.text, r.lost) for r in got.collect()} == brute_lines(rows)
 
 
+def test_altered_lines_are_found(spark):
+    random = np.random.default_rng(3)
+    word = ["".join(random.choice(list("abcdefghij"), random.integers(2, 9))) for _ in range(3000)]
+    rows = []
+    for i in range(600):
+        line = [str(w) for w in random.choice(word, random.integers(8, 70))]
+        other = line.copy()
+        for k in random.choice(len(line), 1 + len(line) // 20, replace=False):
+            other[k] = str(random.choice(word))
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: r.text for r in lines.without_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] for i in range(600))
+    assert sum(got[2 * i + 1] == "" for i in range(600)) >= 0.5 * 600
+
+
+def test_large_groups_of_lines_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(lines, "TOGETHER", 4)
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, f"{text} number {i}") for i in range(60)]
+    got = [r.doc_id for r in lines.without_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("text <> ''").collect()]
+    assert got == [0]
+
+
+def test_one_of_equal_rows_keeps_its_lines(spark):
+    rows = [(1, "a line of words\n\nother words"), (1, "a line of words\n\nother words"), (2, "A line of words!"), (3, None), (3, None)]
+    got = Counter((r.doc_id, r.text, r.n) for r in lines.without_lines(spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, m map<string,int>"), count_as="n").collect())
+    assert got == Counter([(1, "a line of words\n\nother words", 0), (1, "", 2), (2, "", 1), (3, None, 0), (3, None, 0)])
+
+
 def test_lines_of_edge_cases(spark):
     got = lines.without_lines(edge_docs(spark))
     assert got.columns == edge_docs(spark).columns and got.count() == len(EDGE)
     assert [r.text for r in got.where("doc_id is null and text is not null").collect()] == ["twice the same words in this line"]
-    assert [r.text for r in got.where("doc_id = 7").collect()] == [""]
+    assert [r.text for r in got.where("doc_id in (6, 7)").collect()] == [""] * 3
     assert lines.without_lines(edge_docs(spark).limit(0)).count() == 0
 
 
