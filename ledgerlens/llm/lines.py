@@ -1,11 +1,11 @@
 """Operator 5: fuzzy line dedup.
 
 A line's words (runs of letters, digits and bytes beyond ASCII, A-Z in lower case) joined by one space are its normal
-form. Lines of one normal form are one class, whatever their length. A class's SimHash has 448 bits, the majority
-of the hashes of its words (each counted twice at most): 16 pigeonhole blocks of 26 bits and 32 check bits. Two lines
+form. Lines of one normal form are one class, whatever their length. A class's SimHash has 512 bits, the majority
+of the hashes of its words (each counted twice at most): 16 pigeonhole blocks of 24 bits and 88 check bits. Two lines
 that differ in 15 bits or fewer agree in a block, and those that differ in more do so less and less often. Classes that
-agree in a block and differ in CHECKED of the check bits at most are candidates; the edit similarity of their normal
-forms (0.8 or more) decides. Of each connected group one occurrence stays: the one of the least (doc_id, text's hash, place).
+agree in a block, differ in CHECKED of the check bits at most and aren't too unlike in length are candidates; the edit
+similarity of their normal forms (0.8 or more) decides. Of each connected group one occurrence stays: the one of the least (doc_id, text's hash, place).
 
 Texts travel only for classes that have a candidate. The classes that candidates connect are verified together; where
 they are more than TOGETHER, they are dealt into parts, and every two parts are verified together, so no task holds
@@ -32,13 +32,13 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import byte_values, chunks, is_word, lowered, mixed, only, prefix_hash, span_hash, spans, table, utf8, written
 from .components import components
-from .simhash import forest, whole_groups
+from .simhash import whole_groups
 
 SIMILARITY = 0.8
-#: 64-bit words of a line's SimHash; its blocks of bits; the check bits in which candidates may differ, of 32; the bits
-#: of the last word in which linked lines may differ, of 64. The number of block values sets how many unlike lines meet:
-#: with N classes, each meets BLOCKS * N / 2 ** BLOCK_BITS others by chance, of which the check bits leave 1 in 280.
-WORDS, BLOCKS, BLOCK_BITS, CHECKED, RADIUS = 7, 16, 26, 8, 20
+#: 64-bit words of a line's SimHash; its blocks of bits; the check bits in which candidates may differ, of 88; the bits
+#: of the last word in which linked lines may differ, of 64. BLOCK_BITS sets how many unlike lines meet: of N classes,
+#: each meets BLOCKS * N / 2 ** BLOCK_BITS others by chance, which the check bits then part.
+WORDS, BLOCKS, BLOCK_BITS, CHECKED, RADIUS = 8, 16, 24, 22, 20
 #: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
 TOGETHER, FEW = 2048, 1_000_000
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
@@ -75,6 +75,12 @@ class Lines:
         a = self.starts[self.first[i]]
         return b" ".join([raw[s - a : e - a] for s, e in zip(self.starts[self.first[i] : self.last[i]], self.ends[self.first[i] : self.last[i]], strict=True)]).decode()
 
+    def lengths(self) -> np.ndarray:
+        """The normal forms' numbers of characters."""
+        letters = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        so_far = np.concatenate([[0], np.cumsum(letters[self.ends] - letters[self.starts] + 1)])
+        return (so_far[self.last] - so_far[self.first] - 1).astype(np.int32)
+
     def simhashes(self, words: int = WORDS) -> np.ndarray:
         """(lines, words): the majorities of the words' hashes, each word of a line counted twice at most."""
         n = self.last - self.first
@@ -105,10 +111,17 @@ class Lines:
 
 
 def block_keys(fp: np.ndarray) -> np.ndarray:
-    """(lines, blocks): each block's number and value, before the check bits."""
+    """(lines, blocks): each block's number and value, before 32 check bits."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
-    blocks = bits[:, : BLOCKS * BLOCK_BITS].reshape(len(fp), BLOCKS, BLOCK_BITS) @ (1 << np.arange(BLOCK_BITS, dtype=np.int64)) + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
-    return blocks << 32 | (bits[:, BLOCKS * BLOCK_BITS :][:, :32] @ (1 << np.arange(32, dtype=np.int64)))[:, None]
+    value, end = 1 << np.arange(32, dtype=np.int64), BLOCKS * BLOCK_BITS
+    blocks = bits[:, :end].reshape(len(fp), BLOCKS, BLOCK_BITS) @ value[:BLOCK_BITS] + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
+    return blocks << 32 | (bits[:, end : end + 32] @ value)[:, None]
+
+
+def more_bits(fp: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """56 check bits, before the length in steps of a quarter: lines of 0.8 of each other's length are one step apart at most."""
+    step = np.floor(np.log(np.maximum(length, 1)) / np.log(1.25)).astype(np.uint64)
+    return (fp[:, -1] & ~np.uint64(0xFF) | step).view(np.int64)
 
 
 def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -205,25 +218,42 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
 
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) from rows (key, node) of block_keys() that come sorted by key: a spanning forest of each block value's candidates.
+    """Links (u, v) from rows (key of block_keys(), more_bits(), node) that come sorted by key: what connects each block value's candidates.
 
     Holds a batch and the rows of a block value; of more than 8 * TOGETHER rows only the last, as all of them are linked.
     """
-    for key, node in whole_groups(batches, ("key", "node"), TOGETHER, 32):
-        check = (key & 0xFFFFFFFF).astype(np.uint32)
+    for key, more, node in whole_groups(batches, ("key", "more", "node"), TOGETHER, 32):
+        check, bits, step = (key & 0xFFFFFFFF).astype(np.uint32), more.view(np.uint64) >> np.uint64(8), more & 0xFF
+
+        def near(i, j, check=check, bits=bits, step=step):
+            return (np.bitwise_count(check[i] ^ check[j]) + np.bitwise_count(bits[i] ^ bits[j]) <= CHECKED) & (np.abs(step[i] - step[j]) <= 1)
+
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key >> 32)) + 1])
         size = np.diff(np.append(starts, len(key)))
-        two = starts[size == 2]
-        two = two[np.bitwise_count(check[two] ^ check[two + 1]) <= CHECKED]
-        left, right = [two], [two + 1]
-        for a, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        small = np.repeat(np.where(size <= 16, starts + size, 0), size)
+        for lag in range(1, 16):
+            i = np.flatnonzero(small > np.arange(lag, len(key) + lag))
+            if not len(i):
+                break
+            i = i[near(i, i + lag)]
+            left.append(i)
+            right.append(i + lag)
+        for a, n in zip(starts[size > 16].tolist(), size[size > 16].tolist(), strict=True):
             if n > TOGETHER:
                 left.append(np.arange(a, a + n - 1))
                 right.append(np.arange(a + 1, a + n))
                 continue
-            i, j = forest(check[a : a + n], CHECKED)
-            left.append(i + a)
-            right.append(j + a)
+            rest = np.arange(a, a + n)
+            while len(rest):
+                queue, rest = [rest[0]], rest[1:]
+                while queue and len(rest):
+                    i = queue.pop()
+                    found = near(i, rest)
+                    got, rest = rest[found], rest[~found]
+                    left.append(np.full(len(got), i))
+                    right.append(got)
+                    queue += got.tolist()
         yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(left)]), pa.array(node[np.concatenate(right)])], names=["u", "v"])
 
 
@@ -235,13 +265,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             lines = Lines(*utf8(part.column("text")))
             row, fp = pa.array(lines.row), lines.simhashes()
             ends = np.arange(len(fp) + 1, dtype=np.int32) * 8 * WORDS
-            columns = [part.column("id").take(row), part.column("th").take(row), pa.array(lines.place.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in lines.keys())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(ends), pa.py_buffer(fp)])], names=["id", "th", "place", "k1", "k2", "fp"])
+            columns = [part.column("id").take(row), part.column("th").take(row), pa.array(lines.place.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in lines.keys()), pa.array(lines.lengths())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(ends), pa.py_buffer(fp)])], names=["id", "th", "place", "k1", "k2", "length", "fp"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = block_keys(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS))
-            yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch.column("node").take(pa.array(np.repeat(np.arange(len(found)), BLOCKS)))], names=["key", "node"])
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
+            more, pick = more_bits(fp, batch.column("length").to_numpy()), np.repeat(np.arange(len(fp)), BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(block_keys(fp).ravel()), pa.array(more[pick]), batch.column("node").take(pa.array(pick))], names=["key", "more", "node"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The normal forms, each with the last word of its SimHash and the groups in which it is verified."""
@@ -265,10 +296,10 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    occurrences = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, place int, k1 long, k2 long, fp binary"))
-    classes = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.min("fp").alias("fp"))
+    occurrences = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, place int, k1 long, k2 long, length int, fp binary"))
+    classes = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.min("length").alias("length"), F.min("fp").alias("fp"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
-    dealt = classes.select("fp", "node").mapInArrow(keys, "key long, node long").repartition(parts, F.shiftright("key", 32)).sortWithinPartitions("key")
+    dealt = classes.select("fp", "length", "node").mapInArrow(keys, "key long, more long, node long").repartition(parts, F.shiftright("key", 32)).sortWithinPartitions("key")
     near = components(dealt.mapInArrow(candidates, "u long, v long"))
     sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")

@@ -1,6 +1,7 @@
 """The other operators against brute force, round trips, held-out accuracy and cases at the edge."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 from functools import reduce
@@ -180,7 +181,7 @@ def brute_simhash(line):
     words = line.split(" ")
     once = [w for i, w in enumerate(words) if words[:i].count(w) < 2]
     bits = []
-    for k in range(7):
+    for k in range(8):
         rows = [np.unpackbits(mixed(np.array([(hash_bytes(w.encode()) >> 24) + (k + 1) * 0x9E3779B97F4A7C15 % 2**64 & 2**64 - 1], np.uint64)).view(np.uint8)) for w in once]
         bits.append(2 * np.sum(rows, axis=0) > len(once))
     return np.concatenate(bits)
@@ -206,11 +207,13 @@ def brute_lines(rows):
                 classes[b" ".join(w).decode()].append((doc, place))
     keys = list(classes)
     fps = [brute_simhash(k) for k in keys]
+    # a number's bits stand in bytes from the lowest on
+    check, step = [np.concatenate([f[384:416], f[448 + 8 : 512]]) for f in fps], [math.floor(math.log(len(k)) / math.log(1.25)) for k in keys]
     meet = defaultdict(list)
     for i, f in enumerate(fps):
         for b in range(16):
-            meet[b, f[26 * b : 26 * b + 26].tobytes()].append(i)
-    near = [(i, j) for g in meet.values() for i, j in combinations(g, 2) if (fps[i][-32:] != fps[j][-32:]).sum() <= 8]
+            meet[b, f[24 * b : 24 * b + 24].tobytes()].append(i)
+    near = [(i, j) for g in meet.values() for i, j in combinations(g, 2) if (check[i] != check[j]).sum() <= 22 and abs(step[i] - step[j]) <= 1]
     together = defaultdict(list)
     for i, root in enumerate(union_find(len(keys), near)):
         together[root].append(i)
