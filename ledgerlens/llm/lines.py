@@ -36,9 +36,9 @@ from .simhash import whole_groups
 
 SIMILARITY = 0.8
 #: 64-bit words of a line's SimHash; its blocks of bits; the check bits in which candidates may differ, of 88; the bits
-#: of the last word in which linked lines may differ, of 64. BLOCK_BITS sets how many unlike lines meet: of N classes,
+#: in which linked lines may differ, of 512 (lines that share 0.78 of their words differ in so many). BLOCK_BITS sets how many unlike lines meet: of N classes,
 #: each meets BLOCKS * N / 2 ** BLOCK_BITS others by chance, which the check bits then part.
-WORDS, BLOCKS, BLOCK_BITS, CHECKED, RADIUS = 8, 16, 24, 22, 20
+WORDS, BLOCKS, BLOCK_BITS, CHECKED, RADIUS = 8, 16, 24, 22, 110
 #: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
 TOGETHER, FEW = 2048, 1_000_000
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
@@ -203,7 +203,7 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
         while queue and len(rest):
             i = queue.pop()
             longer = np.maximum(length[rest], length[i])
-            near = rest[(np.bitwise_count(fp[rest] ^ fp[i]) <= RADIUS) & (np.minimum(length[rest], length[i]) >= least * longer - 1e-9)]
+            near = rest[(np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1) <= RADIUS) & (np.minimum(length[rest], length[i]) >= least * longer - 1e-9)]
             got = []
             for some in np.split(near, range(256, len(near), 256)):
                 if len(some) > 4:
@@ -275,14 +275,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(block_keys(fp).ravel()), pa.array(more[pick]), batch.column("node").take(pa.array(pick))], names=["key", "more", "node"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The normal forms, each with the last word of its SimHash and the groups in which it is verified."""
+        """The normal forms, each with its SimHash and the groups in which it is verified."""
         for part in chunks(batches):
             lines = Lines(*utf8(part.column("text")))
-            last = lines.simhashes()[:, -1].view(np.int64)
+            fp = lines.simhashes()
             at = {k: i for i, k in enumerate(zip(lines.row.tolist(), lines.place.tolist(), strict=True))}
             wanted = [(at[r, x["place"]], x["node"], x["groups"]) for r, found in enumerate(part.column("wanted").to_pylist()) for x in found]
             pick = pa.array([k for k, (_, _, groups) in enumerate(wanted) for _ in groups], pa.int64())
-            columns = [pa.array([last[i] for i, _, _ in wanted], pa.int64()), pa.array([node for _, node, _ in wanted], pa.int64()), pa.array([lines.normal(i) for i, _, _ in wanted], pa.string())]
+            columns = [pa.array([fp[i].tobytes() for i, _, _ in wanted], pa.binary()), pa.array([node for _, node, _ in wanted], pa.int64()), pa.array([lines.normal(i) for i, _, _ in wanted], pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([g for _, _, groups in wanted for g in groups], pa.int64()), *(c.take(pick) for c in columns)], names=["key", "fp", "node", "line"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             links = []
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(found)], strict=True):
                 if b - a > 1:
-                    links += [(node[a + i], node[a + j]) for i, j in verified_forest(fp[a:b].view(np.uint64), line[a:b].tolist(), similarity)]
+                    links += [(node[a + i], node[a + j]) for i, j in verified_forest(np.frombuffer(b"".join(fp[a:b]), np.uint64).reshape(b - a, WORDS), line[a:b].tolist(), similarity)]
             u, v = zip(*links, strict=True) if links else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
@@ -306,7 +306,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("root", F.least(own, other), F.greatest(own, other)))
     members = near.join(sizes, "root").select("node", groups.alias("groups"))
     wanted = classes.join(members, "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "groups")).alias("wanted"))  # one document's own
-    lines = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(texts, "key long, fp long, node long, line string")
+    lines = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(texts, "key long, fp binary, node long, line string")
     links = lines.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
     named = classes.select("k1", "k2", "first", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("first").alias("stays"))

@@ -221,7 +221,7 @@ def brute_lines(rows):
     for g in together.values():
         for i, j in combinations(g, 2):
             longer = max(len(keys[i]), len(keys[j]))
-            if (fps[i][-64:] != fps[j][-64:]).sum() <= 20 and abs(len(keys[i]) - len(keys[j])) <= 0.2 * longer and edit_distance(keys[i], keys[j]) <= 0.2 * longer + 1e-9:
+            if (fps[i] != fps[j]).sum() <= 110 and abs(len(keys[i]) - len(keys[j])) <= 0.2 * longer and edit_distance(keys[i], keys[j]) <= 0.2 * longer + 1e-9:
                 links.append((i, j))
     groups = defaultdict(list)
     for k, root in zip(keys, union_find(len(keys), links), strict=True):
