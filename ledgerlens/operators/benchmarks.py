@@ -181,7 +181,55 @@ def full_priority(spend: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def local_population_average(df: DataFrame, column: str) -> DataFrame:
-    """Mean of the specialty's positive values, else of all positive values."""
-    positive = F.when(F.col(column) > 0, F.col(column))
-    overall = df.agg(F.avg(positive).alias("overall"))
-    return df.withColumn("own", F.avg(positive).over(Window.partitionBy("specialty"))).crossJoin(F.broadcast(overall)).withColumn("population_avg", F.coalesce("own", "overall", F.lit(0.0))).drop("own", "overall")
+    """Mean of the specialty's values, a missing value as 0 and a missing specialty as one of its own."""
+    named = F.coalesce("specialty", F.lit("Unknown"))
+    own = df.groupBy(named.alias("_named")).agg(F.avg(F.coalesce(column, F.lit(0.0))).alias("population_avg"))
+    return df.withColumn("_named", named).join(own, "_named", "left").drop("_named")
+
+
+def peer_groups(entities: DataFrame, value: str, least: int = 5) -> DataFrame:
+    """Each entity against its peers: the specialty's if there are ``least``, of these (or of all) the state's if there are ``least``.
+
+    entities: hcp_id, specialty, state and a value. Gives peer_group (a text), peer_count, peer_mean, peer_max,
+    peer_median and percentile (the mean rank among the peers' values, 0 to 100; null without a value). Every kind of
+    group is one aggregate over counted values, so no window holds the rows of a group.
+    """
+    rows = entities.select("hcp_id", "specialty", "state", F.col(value).alias("value"))
+    for keys, name in ((["specialty"], "n_specialty"), (["state"], "n_state"), (["specialty", "state"], "n_both")):
+        rows = rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
+    by_specialty = F.coalesce(F.col("n_specialty") >= least, F.lit(False))
+    by_state = F.coalesce(F.when(by_specialty, F.col("n_both")).otherwise(F.col("n_state")) >= least, F.lit(False))
+    head = F.when(by_specialty, F.concat(F.lit("specialty="), "specialty")).otherwise("full population")
+    rows = rows.withColumns({"one": F.when(by_specialty, F.col("specialty")), "two": F.when(by_state, F.col("state")), "peer_group": F.concat(head, F.when(by_state, F.concat(F.lit(", state="), "state")).otherwise(""))})
+    # a row counts among all, among its specialty's, its state's and both; null stands for any
+    null = F.lit(None).cast("string")
+    kinds = F.array(*[F.struct(o.alias("one"), t.alias("two")) for o in (null, F.col("specialty")) for t in (null, F.col("state"))])
+    counted = rows.where(F.col("value").isNotNull()).select(F.explode(F.array_distinct(kinds)).alias("k"), "value").groupBy("k.one", "k.two", "value").agg(F.count(F.lit(1)).alias("n"))
+    wanted = rows.select("one", "two").distinct()
+    pair = ["one", "two"]
+    counted = counted.join(wanted.select(F.col("one").alias("w1"), F.col("two").alias("w2")), F.col("one").eqNullSafe(F.col("w1")) & F.col("two").eqNullSafe(F.col("w2")), "left_semi")
+    so_far = F.sum("n").over(Window.partitionBy(*pair).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", so_far)
+    stats = counted.groupBy(*pair).agg(F.sum("n").alias("peer_count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("peer_mean"), F.max("value").alias("peer_max"), F.percentile("value", F.lit(0.5), F.col("n")).alias("peer_median"))
+    ranked, stats = (d.withColumnsRenamed({"one": "g1", "two": "g2"}) for d in (ranked.select(*pair, F.col("value").alias("at"), "n", "upto"), stats))
+    same = F.col("one").eqNullSafe(F.col("g1")) & F.col("two").eqNullSafe(F.col("g2"))
+    found = rows.join(stats, same, "left").drop("g1", "g2").join(ranked, same & (F.col("value") == F.col("at")), "left")
+    return found.select("hcp_id", "peer_group", "peer_count", "peer_mean", "peer_max", "peer_median", ((2 * F.col("upto") - F.col("n") + 1) * 50 / F.col("peer_count")).alias("percentile"))
+
+
+def map_join(df: DataFrame, lookup: DataFrame, key: str, value: str, default: float | None = None) -> DataFrame:
+    """The lookup's value of each row's key; where there is none the default, or the mean of the lookup's values."""
+    other = F.lit(default).cast("double") if default is not None else F.col("_mean")
+    mean = lookup.agg(F.avg(value).alias("_mean"))
+    return df.join(lookup.select(key, F.col(value).alias("_found")), key, "left").crossJoin(F.broadcast(mean)).withColumn(value, F.coalesce("_found", other)).drop("_found", "_mean")  # one row
+
+
+def restrict(df: DataFrame, ids: DataFrame, key: str = "hcp_id") -> DataFrame:
+    """The rows whose key is among the ids."""
+    return df.join(ids.select(key), key, "left_semi")
+
+
+def totals_long(totals: DataFrame, years: tuple[int, ...], prefix: str = "total_", key: str = "hcp_id") -> DataFrame:
+    """(key, program_year, total) from a column for each year; years without a total give no row."""
+    rows = totals.unpivot(key, [f"{prefix}{y}" for y in years], "name", "total").where(F.col("total").isNotNull())
+    return rows.select(key, F.substring_index("name", "_", -1).cast("long").alias("program_year"), "total")

@@ -45,9 +45,10 @@ def iforest_fit(df: DataFrame, columns: list[str], trees: int = TREES, sample: i
     """
     n = df.count()
     share = min(1.0, 4.0 * sample / max(1, n))
-    h = F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))
-    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    rows = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    below = int(share * 2**62)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.shiftrightunsigned(F.xxhash64(F.col(key), t, F.lit(seed)), 2) < below)
+    rows = df.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.explode(drawn).alias("tree"))
+    rows = rows.withColumn("h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed)))
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("tree").orderBy("h", key))).where(F.col("i") <= sample)
 
     def build(part: pd.DataFrame) -> pd.DataFrame:

@@ -366,3 +366,14 @@ def monitoring_report(distribution: DataFrame, patterns: DataFrame, segments: Da
 
     parts = [listed(distribution, "distribution"), listed(patterns, "flag_patterns"), listed(segments, "segments"), listed(issues, "issues")]
     return reduce(DataFrame.crossJoin, parts)  # one row each
+
+
+def compare_models(df: DataFrame, scores: list[str], label: str, contamination: float = 0.10) -> DataFrame:
+    """A row for each score column: ROC-AUC, average precision, and precision and recall of the rows above the contamination's quantile."""
+
+    def one(score: str) -> DataFrame:
+        cut = df.agg(F.percentile(score, F.lit(1 - contamination)).alias("cut"))
+        at = label_metrics(df.crossJoin(F.broadcast(cut)).select((F.col(score) >= F.col("cut")).cast("int").alias("predicted"), F.col(label).cast("int").alias("label")))  # one row
+        return ranking_metrics(df, score, label).crossJoin(at).select(F.lit(score).alias("model"), "roc_auc", "average_precision", "precision", "recall", "f1")  # one row each
+
+    return reduce(DataFrame.unionByName, [one(s) for s in scores])

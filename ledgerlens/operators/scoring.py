@@ -217,3 +217,8 @@ def compare_rules(rules: DataFrame, fallback: DataFrame) -> DataFrame:
     company, industry = F.col("company_value"), F.coalesce("industry_value", "default")
     stricter = F.when(F.col("threshold_type") == "minimum", company > industry).otherwise(company < industry)
     return rows.select("rule_id", company.alias("company_value"), industry.alias("industry_value"), F.coalesce(stricter, F.lit(False)).alias("company_stricter"), F.concat(F.format_string("%.2f", F.coalesce(company, industry)), F.lit(" "), "unit").alias("threshold_text"))
+
+
+def rule_dimensions(rules: DataFrame, columns: tuple[str, ...] = ("time_scope", "entity_scope", "category", "severity")) -> DataFrame:
+    """The distinct values of each dimension with the number of rules, as (dimension, value, rules)."""
+    return rules.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "dimension", "value").where(F.col("value").isNotNull()).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("rules"))

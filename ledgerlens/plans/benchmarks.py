@@ -131,7 +131,7 @@ def real_benchmarks(spark, sf_dir):
     return B.real_benchmarks(base(spark, sf_dir), C).select("hcp_id", *[c for y in YEARS for c in (f"rank_{y}", f"peer_avg_{y}", f"vs_peer_{y}")], "outlier_years", "trend", "cap_pattern", "base_score")
 
 
-PRIORITY_IN = f"SELECT b.hcp_id, b.specialty, {', '.join(f'spend_{y}' for y in YEARS)}, competitor, coalesce(avg(CASE WHEN spend_{Y3} > 0 THEN spend_{Y3} END) OVER (PARTITION BY b.specialty), (SELECT avg(spend_{Y3}) FROM base WHERE spend_{Y3} > 0), 0) AS population_avg FROM base b LEFT JOIN (SELECT hcp_id, sum(payment_amount) FILTER (WHERE program_year = {Y3} AND is_competitor) AS competitor FROM staged GROUP BY hcp_id) USING (hcp_id)"
+PRIORITY_IN = f"SELECT b.hcp_id, b.specialty, {', '.join(f'spend_{y}' for y in YEARS)}, competitor, avg(coalesce(spend_{Y3}, 0)) OVER (PARTITION BY coalesce(b.specialty, 'Unknown')) AS population_avg FROM base b LEFT JOIN (SELECT hcp_id, sum(payment_amount) FILTER (WHERE program_year = {Y3} AND is_competitor) AS competitor FROM staged GROUP BY hcp_id) USING (hcp_id)"
 
 
 @query(sql(f"""SELECT hcp_id, share_of_wallet, rank, years_above, (1 - coalesce(share_of_wallet, 0)) * 40 + least(2.0, CASE WHEN population_avg > 0 THEN spend_{Y3} / population_avg ELSE 0 END) / 2 * 30 + least(30.0, rank * 20 + least(3, years_above) / 3 * 10) AS full_priority

@@ -12,7 +12,7 @@ STEPS = {
  coalesce(m.is_target, false) AS is_target, coalesce(m.is_competitor, false) AS is_competitor, m.pseudo_name IS NULL AND r.company_raw IS NOT NULL AS is_population_only, r.payment_amount, r.payment_date, r.nature_of_payment
  FROM payments_raw r LEFT JOIN company_map m ON lower(r.company_raw) LIKE concat('%', m.pattern, '%') WHERE r.recipient_type IN {C.recipient_types}""",
     "target": "SELECT * FROM staged WHERE is_target",
-    "population": "SELECT * FROM staged WHERE hcp_id IN (SELECT hcp_id FROM target)",
+    "population": "SELECT * EXCLUDE (has_target) FROM (SELECT *, bool_or(is_target) OVER (PARTITION BY hcp_id) AS has_target FROM staged) WHERE has_target",
     "classified": f"""SELECT *, nature_of_payment = 'Food and Beverage' AS is_meal, lower(nature_of_payment) LIKE '%speaker%' OR lower(nature_of_payment) LIKE '%faculty%' AS is_speaking_fee,
  nature_of_payment = 'Consulting Fee' AS is_consulting, nature_of_payment = 'Food and Beverage' AND payment_amount > {C.meal_limit} AS meal_over_limit,
  CASE WHEN nature_of_payment = 'Food and Beverage' AND payment_amount > {C.meal_limit} THEN (payment_amount - {C.meal_limit}) / {C.meal_limit} END AS meal_overage_pct FROM target""",
@@ -67,7 +67,7 @@ STEPS = {
 }
 #: What each step reads.
 NEEDS = {
-    "target": ["staged"], "population": ["staged", "target"], "classified": ["staged", "target"], "entity_year": ["staged", "target", "classified"], "cross_year": ["staged", "target", "classified", "entity_year"], "reps": [],
+    "target": ["staged"], "population": ["staged"], "classified": ["staged", "target"], "entity_year": ["staged", "target", "classified"], "cross_year": ["staged", "target", "classified", "entity_year"], "reps": [],
     "spend": ["staged", "target", "classified", "entity_year", "cross_year", "reps"], "event_rows": ["attended"], "event_features": ["attended", "event_rows"], "entity_events": ["attended", "event_rows", "event_features"], "entity_interactions": [],
     "profile": ["staged", "target", "classified", "entity_year", "cross_year", "reps", "spend", "attended", "event_rows", "event_features", "entity_events", "entity_interactions"],
 }
