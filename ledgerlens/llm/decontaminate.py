@@ -6,16 +6,18 @@ stands whole in a passage. Impacts are BM25 weights divided by the item's score
 an item scores 1 or nearly.
 
 The search gives all items of at least ``threshold``, none lost. Items stand in blocks, each with the largest impact
-of every word in it; words whose largest impacts together stay under the threshold can't reach it, so a passage and a
-block only meet through the other, essential words, and are scored only if the block's upper bounds reach the
-threshold. Hits are verified: enough five-word shingles of the whole item, or of its question (all but its answer: the
+of every word in it. A passage's words are cursors over their postings, in the order of the items they stand at; the
+pivot is the first item at which the words' largest impacts can reach the threshold; a block whose own largest impacts
+can't is skipped by all cursors; else the pivot is scored once all cursors before it have come up (block-max WAND).
+Most passages have no pivot in any block: they are told for a whole chunk of texts at a time, since words whose largest
+impacts together stay under the threshold can't reach it without the other, essential words. Hits are verified: enough five-word shingles of the whole item, or of its question (all but its answer: the
 last sentence, or the last quarter of its words), or of both parts where a question is shorter than a shingle, occur in
 the passage. The answer's share is given as a further measure.
 
 A question of five words or more is also an entry of its own in the index, so that a question without its answer is
 found whatever the answer's weight. Where an entry's heaviest words could make up more than the threshold leaves, its
-own threshold is the least score that a verified hit can have. Document frequencies and the mean length are those of
-all items, however many parts the index has.
+own threshold is the least score that a verified hit can have. Document frequencies, the mean length and the passages'
+length are those of all items, so hits and scores are the same however many parts the index has.
 
 Defined results: null and wordless texts and items match nothing; an item of fewer than five words matches by its whole
 word sequence; equal items each match; repeated rows each get their hits; ties don't matter, as all above the threshold
@@ -27,6 +29,7 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -73,14 +76,15 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 
 
 class Statistics:
-    """Number of items, their words, and in how many items each word stands."""
+    """Number of items, their words, the longest item's words, and in how many items each word stands."""
 
     def __init__(self, texts: Iterable[str | None] = ()):
-        self.items, self.words, self.frequency = 0, 0, Counter()
+        self.items, self.words, self.longest, self.frequency = 0, 0, 1, Counter()
         for text in texts:
             words = words_of(text or "")
             self.items += bool(words)
             self.words += len(words)
+            self.longest = max(self.longest, len(words))
             self.frequency.update(set(words))
 
     def weights(self, words: list[bytes]) -> dict[bytes, float]:
@@ -100,7 +104,7 @@ class Index:
         self.of = np.array([*range(len(items)), *asked], np.int64)
         self.item_ids = np.array([items[i][0] for i in self.of], np.int64)
         words = [words_of(t) for _, t in items] + [parts[i][0] for i in asked]
-        self.longest = max((len(w) for w in words), default=1)
+        self.longest = statistics.longest
         vocabulary = sorted({w for ws in words for w in ws})
         hashes = np.array([hash_bytes(w) for w in vocabulary], np.uint64)
         order = np.argsort(hashes)
@@ -120,6 +124,8 @@ class Index:
         self.item = np.array([i for p in postings for i, _ in p], np.int32)
         self.impact = np.array([x for p in postings for _, x in p], np.float64)
         self._blocks()
+        #: Of each word that a search has met: items, impacts, largest impact, and largest impact in each block.
+        self.lists: dict[int, tuple[list[int], list[float], float, dict[int, float]]] = {}
         self.parts, self.own = [], []
         for ws, both in zip(words, parts, strict=False):
             hashed = [np.array([hash_bytes(w) for w in part], np.uint64) for part in (ws, *both)]
@@ -186,15 +192,60 @@ class Index:
         on = (where < len(meet)) & (meet[np.minimum(where, len(meet) - 1)] == key) if len(meet) else np.zeros(len(key), bool)
         bound = np.bincount(where[on], x[on], len(meet))
         meet = meet[bound >= self.block_least[meet % max(1, self.n_blocks)] - 1e-9]
-        # exact scores in the blocks that are left
-        some = np.isin(passage, meet // max(1, self.n_blocks))
-        p, i, x = self._expand(passage[some], words[some], self.first, self.item, self.impact)
-        on = np.isin(p * self.n_blocks + i // BLOCK, meet)
-        pair, inverse = np.unique(p[on] * len(self.item_ids) + i[on], return_inverse=True)
-        score = np.bincount(inverse, x[on], len(pair))
-        hit = np.flatnonzero(score >= self.least[pair % max(1, len(self.item_ids))] - 1e-9)
-        for p, i, s in zip((pair[hit] // max(1, len(self.item_ids))).tolist(), (pair[hit] % max(1, len(self.item_ids))).tolist(), score[hit].tolist(), strict=True):
-            yield int(row[p]), int(start[p]), int(end[p]), i, s
+        # the passages that are left
+        left = np.unique(meet // max(1, self.n_blocks))
+        begin, stop = np.searchsorted(passage, left), np.searchsorted(passage, left, "right")
+        for q, a, b in zip(left.tolist(), begin.tolist(), stop.tolist(), strict=True):
+            for i, score in self.wand(words[a:b].tolist()):
+                yield int(row[q]), int(start[q]), int(end[q]), i, score
+
+    def wand(self, words: list[int]) -> Iterator[tuple[int, float]]:
+        """(entry, score) of all entries that reach their thresholds, for a passage's distinct words."""
+        least, none = float(self.least.min()) - 1e-9, len(self.item_ids)
+        cursors = []
+        for w in words:
+            if w not in self.lists:
+                a, b = self.first[w], self.first[w + 1]
+                c, d = self.block_first[w], self.block_first[w + 1]
+                self.lists[w] = (self.item[a:b].tolist(), self.impact[a:b].tolist(), float(self.impact[a:b].max()), dict(zip(self.block[c:d].tolist(), self.best[c:d].tolist(), strict=True)))
+            # where it stands, its place there, its list
+            cursors.append([self.lists[w][0][0], 0, self.lists[w]])
+
+        def move(cursor: list, to: int) -> None:
+            items = cursor[2][0]
+            cursor[1] = bisect_left(items, to, cursor[1])
+            cursor[0] = items[cursor[1]] if cursor[1] < len(items) else none
+
+        while True:
+            cursors.sort(key=lambda c: c[0])
+            bound, pivot = 0.0, none
+            for c in cursors:
+                bound += c[2][2]
+                if bound >= least:
+                    pivot = c[0]
+                    break
+            if pivot == none:
+                return
+            block, after = pivot // BLOCK, (pivot // BLOCK + 1) * BLOCK
+            if sum(c[2][3].get(block, 0.0) for c in cursors if c[0] < after) < self.block_least[block] - 1e-9:
+                for c in cursors:
+                    if c[0] >= after:
+                        break
+                    move(c, after)
+            elif cursors[0][0] < pivot:
+                for c in cursors:
+                    if c[0] >= pivot:
+                        break
+                    move(c, pivot)
+            else:
+                score = 0.0
+                for c in cursors:
+                    if c[0] > pivot:
+                        break
+                    score += c[2][1][c[1]]
+                    move(c, pivot + 1)
+                if score >= self.least[pivot] - 1e-9:
+                    yield pivot, score
 
     @staticmethod
     def _expand(passage: np.ndarray, words: np.ndarray, first: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -37,3 +37,13 @@ def test_scores_do_not_depend_on_parts(spark, monkeypatch):
     whole = sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.find_leaks(docs, benchmark).collect())
     monkeypatch.setattr(decontaminate, "INDEX_BYTES", 1000)
     assert whole and whole == sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.find_leaks(docs, benchmark).collect())
+
+
+def test_parts_of_the_index_change_nothing(spark, monkeypatch):
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(tuple(r) for r in decontaminate.find_leaks(docs, benchmark).collect())
+    size = sum(len(r.text.encode()) for r in benchmark.collect())
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", -(-size // 5))
+    parts = list(decontaminate.indexes(benchmark))
+    assert len(parts) == 5
+    assert whole and sorted(tuple(r) for r in decontaminate.find_leaks(docs, benchmark).collect()) == whole
