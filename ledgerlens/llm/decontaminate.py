@@ -6,11 +6,11 @@ stands whole in a passage. Impacts are BM25 weights divided by the item's score
 an item scores 1 or nearly.
 
 The search gives all items of at least ``threshold``, none lost. Items stand in blocks, each with the largest impact
-of every word in it. A passage's words are cursors over their postings, in the order of the items they stand at; the
-pivot is the first item at which the words' largest impacts can reach the threshold; a block whose own largest impacts
-can't is skipped by all cursors; else the pivot is scored once all cursors before it have come up (block-max WAND).
-Most passages have no pivot in any block: they are told for a whole chunk of texts at a time, since words whose largest
-impacts together stay under the threshold can't reach it without the other, essential words. Hits are verified: enough five-word shingles of the whole item, or of its question (all but its answer: the
+of every word in it. A block whose largest impacts can't reach the threshold is skipped (block-max WAND); which blocks
+these are is told for all passages of a chunk at once, first by words alone: words whose largest impacts together
+stay under the threshold can't reach it without the other, essential words. In a block that is left, the passage's words
+are cursors over their postings, in the order of the items they stand at; the pivot is the first item at which the
+block's largest impacts can reach the threshold, and it is scored once all cursors before it have come up. Hits are verified: enough five-word shingles of the whole item, or of its question (all but its answer: the
 last sentence, or the last quarter of its words), or of both parts where a question is shorter than a shingle, occur in
 the passage. The answer's share is given as a further measure.
 
@@ -32,6 +32,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,15 @@ from .common import byte_values, chunks, hash_bytes, is_word, lowered, mixed, on
 THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.8, 5
 K1, B = 1.2, 0.75
 #: Items to a block, and the most bytes of item text for one index; a larger benchmark is searched in parts.
-BLOCK, INDEX_BYTES = 16, 8 << 20
+BLOCK, INDEX_BYTES = 4, 8 << 20
 #: Letters, digits and bytes beyond ASCII.
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
+_stands = itemgetter(0)
+
+
 def words_of(text: str) -> list[bytes]:
     data = lowered(np.frombuffer(text.encode(), np.uint8))
     starts, ends, _ = spans(_LETTER[data], np.array([0, len(data)]))
@@ -124,8 +128,8 @@ class Index:
         self.item = np.array([i for p in postings for i, _ in p], np.int32)
         self.impact = np.array([x for p in postings for _, x in p], np.float64)
         self._blocks()
-        #: Of each word that a search has met: items, impacts, largest impact, and largest impact in each block.
-        self.lists: dict[int, tuple[list[int], list[float], float, dict[int, float]]] = {}
+        #: The postings of each word that a search has met.
+        self.lists: dict[int, dict[int, tuple[float, list[int], list[float]]]] = {}
         self.parts, self.own = [], []
         for ws, both in zip(words, parts, strict=False):
             hashed = [np.array([hash_bytes(w) for w in part], np.uint64) for part in (ws, *both)]
@@ -192,60 +196,56 @@ class Index:
         on = (where < len(meet)) & (meet[np.minimum(where, len(meet) - 1)] == key) if len(meet) else np.zeros(len(key), bool)
         bound = np.bincount(where[on], x[on], len(meet))
         meet = meet[bound >= self.block_least[meet % max(1, self.n_blocks)] - 1e-9]
-        # the passages that are left
-        left = np.unique(meet // max(1, self.n_blocks))
+        # the passages and blocks that are left
+        left = meet // max(1, self.n_blocks)
         begin, stop = np.searchsorted(passage, left), np.searchsorted(passage, left, "right")
-        for q, a, b in zip(left.tolist(), begin.tolist(), stop.tolist(), strict=True):
-            for i, score in self.wand(words[a:b].tolist()):
+        for q, block, a, b in zip(left.tolist(), (meet % max(1, self.n_blocks)).tolist(), begin.tolist(), stop.tolist(), strict=True):
+            for i, score in self.wand(words[a:b].tolist(), block):
                 yield int(row[q]), int(start[q]), int(end[q]), i, score
 
-    def wand(self, words: list[int]) -> Iterator[tuple[int, float]]:
-        """(entry, score) of all entries that reach their thresholds, for a passage's distinct words."""
-        least, none = float(self.least.min()) - 1e-9, len(self.item_ids)
-        cursors = []
-        for w in words:
-            if w not in self.lists:
-                a, b = self.first[w], self.first[w + 1]
-                c, d = self.block_first[w], self.block_first[w + 1]
-                self.lists[w] = (self.item[a:b].tolist(), self.impact[a:b].tolist(), float(self.impact[a:b].max()), dict(zip(self.block[c:d].tolist(), self.best[c:d].tolist(), strict=True)))
-            # where it stands, its place there, its list
-            cursors.append([self.lists[w][0][0], 0, self.lists[w]])
+    def _postings(self, word: int) -> dict[int, tuple[float, list[int], list[float]]]:
+        """Of each block of a word's postings: the largest impact, items, impacts."""
+        if word not in self.lists:
+            a, b = self.first[word], self.first[word + 1]
+            items, impacts = self.item[a:b].tolist(), self.impact[a:b].tolist()
+            found: dict[int, tuple[float, list[int], list[float]]] = {}
+            for c in range(self.block_first[word], self.block_first[word + 1]):
+                block = int(self.block[c])
+                x, y = bisect_left(items, block * BLOCK), bisect_left(items, (block + 1) * BLOCK)
+                found[block] = float(self.best[c]), items[x:y], impacts[x:y]
+            self.lists[word] = found
+        return self.lists[word]
+
+    def wand(self, words: list[int], block: int) -> Iterator[tuple[int, float]]:
+        """(entry, score) of the block's entries that reach their thresholds, for a passage's distinct words."""
+        least, none = float(self.block_least[block]) - 1e-9, (block + 1) * BLOCK
+        # where a cursor stands, its place there, and its word's postings
+        cursors = [[p[1][0], 0, p] for p in (self._postings(w).get(block) for w in words) if p]
 
         def move(cursor: list, to: int) -> None:
-            items = cursor[2][0]
+            items = cursor[2][1]
             cursor[1] = bisect_left(items, to, cursor[1])
             cursor[0] = items[cursor[1]] if cursor[1] < len(items) else none
 
         while True:
-            cursors.sort(key=lambda c: c[0])
+            cursors.sort(key=_stands)
             bound, pivot = 0.0, none
             for c in cursors:
-                bound += c[2][2]
+                bound += c[2][0]
                 if bound >= least:
                     pivot = c[0]
                     break
             if pivot == none:
                 return
-            block, after = pivot // BLOCK, (pivot // BLOCK + 1) * BLOCK
-            if sum(c[2][3].get(block, 0.0) for c in cursors if c[0] < after) < self.block_least[block] - 1e-9:
-                for c in cursors:
-                    if c[0] >= after:
-                        break
-                    move(c, after)
-            elif cursors[0][0] < pivot:
-                for c in cursors:
-                    if c[0] >= pivot:
-                        break
-                    move(c, pivot)
-            else:
-                score = 0.0
-                for c in cursors:
-                    if c[0] > pivot:
-                        break
-                    score += c[2][1][c[1]]
-                    move(c, pivot + 1)
-                if score >= self.least[pivot] - 1e-9:
-                    yield pivot, score
+            score, ready = 0.0, cursors[0][0] == pivot
+            for c in cursors:
+                if c[0] > pivot or not ready and c[0] == pivot:
+                    break
+                if ready:
+                    score += c[2][2][c[1]]
+                move(c, pivot + ready)
+            if ready and score >= self.least[pivot] - 1e-9:
+                yield pivot, score
 
     @staticmethod
     def _expand(passage: np.ndarray, words: np.ndarray, first: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
