@@ -188,13 +188,14 @@ class Index:
         # upper bounds of passages and blocks: first through essential words, which every hit has
         pivot = self.has_essential[words] if len(words) else np.zeros(0, bool)
         p, b, x, e = self._expand(passage[pivot], words[pivot], self.block_first, self.block, self.best, self.essential)
-        meet = np.unique((p * self.n_blocks + b)[e])
-        some = np.isin(passage, meet // max(1, self.n_blocks))
+        met = np.zeros(len(row) * self.n_blocks, bool)
+        met[(p * self.n_blocks + b)[e]] = True
+        meet = np.flatnonzero(met)
+        some = met.reshape(len(row), -1).any(axis=1)[passage] if len(met) else np.zeros(len(passage), bool)
         p, b, x, _ = self._expand(passage[some], words[some], self.block_first, self.block, self.best, self.essential)
         key = p * self.n_blocks + b
-        where = np.searchsorted(meet, key)
-        on = (where < len(meet)) & (meet[np.minimum(where, len(meet) - 1)] == key) if len(meet) else np.zeros(len(key), bool)
-        bound = np.bincount(where[on], x[on], len(meet))
+        on = met[key]
+        bound = np.bincount(np.searchsorted(meet, key[on]), x[on], len(meet))
         meet = meet[bound >= self.block_least[meet % max(1, self.n_blocks)] - 1e-9]
         # the passages and blocks that are left
         left = meet // max(1, self.n_blocks)
