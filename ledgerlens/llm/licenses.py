@@ -8,12 +8,14 @@ chain covers enough of it. Phrases are templates too: a phrase stands where its
 Most words stand in no template and reset the match, so only runs of template words are walked.
 
 Defined results: a null or wordless text has no words, no places, null first_word and last_word, empty labels, score 0;
-each row is judged alone, so repeated rows get the same result each; further columns are ignored.
+each row is judged alone, so repeated rows get the same result each; further columns are ignored; an empty table gives
+an empty table; a long text comes alone, as arrays of its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,13 @@ TEMPLATES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0",
     "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
+
+
+def full_texts() -> dict[str, str]:
+    """The licences in the folder ``licences`` beside this file, whole, by the names of their files."""
+    return {f"{f.stem}-text": f.read_text() for f in sorted((Path(__file__).parent / "licences").glob("*.txt"))}
+
+
 #: A match is long from so many words on, or over the whole of a shorter template; a chain may skip so many words.
 LONG, GAP = 4, 6
 #: The share of a template that a chain has to cover.
@@ -233,4 +242,4 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return scan_licenses(table(spark, sf_dir, "documents"), templates=TEMPLATES | full_texts()).drop("spans")

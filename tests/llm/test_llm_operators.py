@@ -401,6 +401,15 @@ def test_licences_chain_long_matches(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_whole_licences_are_found(spark):
+    texts = licenses.full_texts()
+    assert len(texts) >= 10
+    gpl, half = texts["gpl-3-text"], texts["apache-2.0-text"]
+    docs = spark.createDataFrame([(1, f"before\n{gpl}\nafter"), (2, half[: len(half) // 2]), (3, half.replace("Licensor", "Giver"))], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_licenses(docs, templates=licenses.TEMPLATES | texts).collect()}
+    assert "gpl-3-text" in got[1] and "apache-2.0-text" not in got[2] and "apache-2.0-text" in got[3]
+
+
 def test_automaton_gives_matching_statistics():
     random = np.random.default_rng(8)
     templates = [random.integers(0, 3, 12).tolist() for _ in range(4)]
