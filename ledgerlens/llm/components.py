@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from .common import deleted, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round: each node hands the least of its neighbourhood to its larger (or to its smaller) neighbours.
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node hands the least of its neighbourhood to its larger neighbours: a link for each link, repeats included.
 
     The least neighbour is a pre-aggregated minimum and goes back to the links by an equi-join whose link side
     Spark may split, so a node with very many links doesn't end in one task.
     """
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    if large:
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        down = both.where(F.col("v") < F.col("u"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node hands the least of its smaller neighbours to the others and to itself. edges: u > v, as _large_star() gives them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
@@ -40,7 +41,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        last, edges = edges, written(_star(_star(edges, large=True), large=False))
+        last, edges = edges, written(_small_star(_large_star(edges)))
         deleted(last)
         after = digest(edges)
         if after == before:
