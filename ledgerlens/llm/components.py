@@ -1,12 +1,59 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds (Kiveris et al. 2014)."""
+"""Connected components of a link table, by alternating large-star and small-star rounds (Kiveris et al. 2014).
+
+Tasks contract their links, CHUNK of them at a time, before the first round; the rounds join what stands in several
+chunks. Once the links that are left fit one chunk, contracting that one ends the rounds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import deleted, written
 
+#: Links that a task contracts at a time: two numbers each.
+CHUNK = 1 << 18
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node reachable by the links u, v) for each node that isn't its own least."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (further := root[root] < root).any():
+            root = np.where(further, root[root], root)
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) to the least node of each chunk's components, from links of longs."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        links = pa.Table.from_batches(held)
+        node, root = least_reachable(links.column("u").to_numpy(), links.column("v").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(root, pa.int64())], names=["u", "v"])
+
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            if n + part.num_rows > CHUNK:
+                yield stars(held)
+                held, n = [], 0
+            held.append(part)
+            n += part.num_rows
+    if held:
+        yield stars(held)
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands the least of its neighbourhood to its larger neighbours: a link for each link, repeats included.
@@ -29,10 +76,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has a link: root is the least node reachable.
 
-    edges: columns u and v of one orderable type; loops, repeats and either direction are allowed, nulls are not links.
+    edges: columns u and v of longs; loops, repeats and either direction are allowed, nulls are not links.
     No table of nodes or links reaches the driver: only the count and checksum that tell whether a round changed anything.
     """
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    edges = written(edges.select("u", "v").where("u <> v").mapInArrow(_contracted, "u long, v long"))
 
     def digest(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -41,8 +88,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not before[0]:
             break
-        last, edges = edges, written(_small_star(_large_star(edges)))
+        settled = before[0] <= CHUNK
+        last, edges = edges, written(edges.coalesce(1).mapInArrow(_contracted, "u long, v long") if settled else _small_star(_large_star(edges)))
         deleted(last)
+        if settled:
+            break
         after = digest(edges)
         if after == before:
             break

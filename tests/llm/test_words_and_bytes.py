@@ -7,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from ledgerlens.llm import components as component_rounds
 from ledgerlens.llm import suffixes
 from ledgerlens.llm.common import hash_bytes
-from ledgerlens.llm.components import components
+from ledgerlens.llm.components import components, least_reachable
 from ledgerlens.llm.repeats import sliding_least
 from ledgerlens.llm.suffixes import ByteStrings, repeated_starts
 from ledgerlens.llm.windows import WordWindows
@@ -107,3 +108,23 @@ def test_components(spark):
     expected = {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 4: 4, 5: 4} | {100 + i: 100 for i in range(200)} | {1000 + i: 1000 for i in range(61)}
     assert got == expected
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_by_rounds_alone(spark, monkeypatch):
+    """The driver's CHUNK of 0 never ends by one chunk; each link stands in a partition of its own, so no task contracts."""
+    monkeypatch.setattr(component_rounds, "CHUNK", 0)
+    edges = [*[(100, 100 + i) for i in range(1, 20)], *[(1000 + i, 1001 + i) for i in range(30)], (5, 4), (4, 4), (5, 4)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long").repartition(len(edges))).collect()))
+    assert got == {4: 4, 5: 4} | {100 + i: 100 for i in range(20)} | {1000 + i: 1000 for i in range(31)}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_least_reachable(seed):
+    rng = np.random.default_rng(seed)
+    u, v = rng.integers(0, 60, (2, rng.integers(0, 60)))
+    root = list(range(60))
+    for _ in range(60):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            root[a] = root[b] = min(root[a], root[b])
+    node, least = least_reachable(u, v)
+    assert dict(zip(node.tolist(), least.tolist(), strict=True)) == {i: r for i, r in enumerate(root) if r != i}
