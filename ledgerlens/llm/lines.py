@@ -22,6 +22,7 @@ text or line comes alone, with some 30 bytes of arrays a byte.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from os.path import commonprefix
 
 import numpy as np
@@ -41,6 +42,8 @@ SIMILARITY = 0.8
 WORDS, BLOCKS, BLOCK_BITS, CHECKED, RADIUS = 8, 16, 24, 22, 110
 #: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
 TOGETHER, FEW = 2048, 1_000_000
+#: Words whose bits are counted together, and the binary digits of their number.
+RUN, PLANES = 255, 8
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
 
@@ -61,12 +64,13 @@ class Lines:
         self.row, self.first, self.last = row[use], first[use], last[use]
         self.place = np.searchsorted(breaks, begin[use], "right") - np.searchsorted(breaks, offsets[:-1][self.row], "right")
 
+    @cached_property
     def words(self) -> np.ndarray:
         return span_hash(prefix_hash(byte_values(self.data)), self.starts, self.ends)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each line's normal form."""
-        words = self.words()
+        words = self.words
         k1 = span_hash(prefix_hash(words), self.first, self.last)
         return k1, span_hash(prefix_hash(mixed(words ^ np.uint64(0x5851F42D4C957F2D)), 0xAEF17502108EF2D9), self.first, self.last, 0xAEF17502108EF2D9)
 
@@ -81,14 +85,14 @@ class Lines:
         so_far = np.concatenate([[0], np.cumsum(letters[self.ends] - letters[self.starts] + 1)])
         return (so_far[self.last] - so_far[self.first] - 1).astype(np.int32)
 
-    def simhashes(self, words: int = WORDS) -> np.ndarray:
-        """(lines, words): the majorities of the words' hashes, each word of a line counted twice at most."""
-        n = self.last - self.first
+    def simhashes(self, words: int = WORDS, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """(lines, words): the majorities of the words' hashes of the lines ``of``, each word of a line counted twice at most."""
+        n = self.last[of] - self.first[of]
         out = np.zeros((len(n), words), np.uint64)
         if not len(n):
             return out
         line = np.repeat(np.arange(len(n)), n)
-        found = self.words()[np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first, n)]
+        found = self.words[np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[of], n)]
         # the line's number before 40 bits of the word's hash: in order, equal words of a line are neighbours
         found = np.sort(line.astype(np.uint64) << np.uint64(40) | found >> np.uint64(24))
         third = np.zeros(len(found), bool)
@@ -98,18 +102,40 @@ class Lines:
         found &= np.uint64((1 << 40) - 1)
         start = np.searchsorted(line, np.arange(len(n)))
         held = np.diff(np.append(start, len(line)))
-        # bytes count bits, eight to a number, over runs of 255 words at most
-        run = np.unique(np.concatenate([start, *([np.arange(s, s + h, 255) for s, h in zip(start[held > 255], held[held > 255], strict=True)])]))
-        of_line = np.searchsorted(run, start)
-        for k in range(words):
-            bits = np.unpackbits(mixed(found + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8)).view(np.uint64).reshape(-1, 8)
-            ones = np.add.reduceat(bits, run, axis=0).view(np.uint8)
-            if len(run) > len(start):
-                ones = np.add.reduceat(ones.astype(np.int32), of_line, axis=0)
-            out[:, k] = np.packbits(2 * ones.astype(np.int32) > held[:, None], axis=1).view(np.uint64).ravel()
+        # runs of RUN words at most, the longest first; PLANES numbers hold the binary digits of a run's 64 * words counts
+        run = np.unique(np.concatenate([start, *([np.arange(s, s + h, RUN) for s, h in zip(start[held > RUN], held[held > RUN], strict=True)])]))
+        size = np.diff(np.append(run, len(found)))
+        order = np.argsort(-size, kind="stable")
+        begin, left = run[order], np.searchsorted(-size[order], -np.arange(RUN))
+        planes = np.zeros((PLANES, len(run), words), np.uint64)
+        seeds = np.array([(k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(words)], np.uint64)
+        for j in range(int(size.max())):
+            carry = mixed(found[begin[: left[j]] + j][:, None] + seeds)
+            for plane in planes[: (j + 1).bit_length(), : left[j]]:
+                over = plane & carry
+                plane ^= carry
+                carry = over
+        planes[:, order] = planes.copy()
+        first = np.searchsorted(run, start)
+        one = held <= RUN
+        out[one] = more_than(planes[:, first[one]], held[one] // 2)
+        many = np.flatnonzero(~one)
+        for i, a, b in zip(many.tolist(), first[many].tolist(), np.append(first, len(run))[many + 1].tolist(), strict=True):
+            ones = sum(np.unpackbits(plane[a:b].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) << p for p, plane in enumerate(planes))
+            out[i] = np.packbits(2 * ones > held[i]).view(np.uint64)
         return out
 
 
+def more_than(planes: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Bits that are 1 where the count, whose binary digits the planes (digits, lines, words) hold, is over the line's ``least``."""
+    more, same = np.zeros(planes.shape[1:], np.uint64), np.full(planes.shape[1:], 2**64 - 1, np.uint64)
+    for p in range(len(planes) - 1, -1, -1):
+        digit = -(least >> p & 1).astype(np.int64).view(np.uint64)[:, None]
+        more |= same & planes[p] & ~digit
+        same &= ~(planes[p] ^ digit)
+    return more
+
+
 def block_keys(fp: np.ndarray) -> np.ndarray:
     """(lines, blocks): each block's number and value, before 32 check bits."""
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
@@ -278,11 +304,11 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         """The normal forms, each with its SimHash and the groups in which it is verified."""
         for part in chunks(batches):
             lines = Lines(*utf8(part.column("text")))
-            fp = lines.simhashes()
             at = {k: i for i, k in enumerate(zip(lines.row.tolist(), lines.place.tolist(), strict=True))}
             wanted = [(at[r, x["place"]], x["node"], x["groups"]) for r, found in enumerate(part.column("wanted").to_pylist()) for x in found]
+            fp = lines.simhashes(of=np.array([i for i, _, _ in wanted], np.int64))
             pick = pa.array([k for k, (_, _, groups) in enumerate(wanted) for _ in groups], pa.int64())
-            columns = [pa.array([fp[i].tobytes() for i, _, _ in wanted], pa.binary()), pa.array([node for _, node, _ in wanted], pa.int64()), pa.array([lines.normal(i) for i, _, _ in wanted], pa.string())]
+            columns = [pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([node for _, node, _ in wanted], pa.int64()), pa.array([lines.normal(i) for i, _, _ in wanted], pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([g for _, _, groups in wanted for g in groups], pa.int64()), *(c.take(pick) for c in columns)], names=["key", "fp", "node", "line"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
