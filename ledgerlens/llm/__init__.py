@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten operators and their registered queries.
+"""Operators for preparing training text: thirteen operators and their registered queries.
 
 Nothing else in the library imports this subpackage; ``registry`` lists its queries.
 """

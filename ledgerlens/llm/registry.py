@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe import op3_byte_bpe
 from .chat import op7_chat
 from .decontaminate import op9_decontaminate
@@ -14,5 +15,5 @@ from .suffixes import op8_suffixes
 from .windows import SQL as WINDOWS_SQL
 from .windows import op6_windows
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_byte_bpe, op4_simhash, op5_lines, op6_windows, op7_chat, op8_suffixes, op9_decontaminate, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_neighbours, op3_byte_bpe, op4_simhash, op5_lines, op6_windows, op7_chat, op8_suffixes, op9_decontaminate, op10_licenses, op11_alignment)}
 ORACLE_SQL: dict[str, str] = {"op6_windows": WINDOWS_SQL}
