@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .attributions import attributed
 from .benchmarks import frac_rank_global
 
 TREES, SAMPLE, SEED = 200, 256, 42
@@ -23,9 +23,9 @@ def mean_depth(n: float) -> float:
 
 
 def _grow(x: np.ndarray, depth: int, limit: int, random: np.random.Generator, nodes: list[list[float]]) -> int:
-    """nodes: feature (-1 at a leaf), threshold, left, right, path length at a leaf."""
+    """nodes: feature (-1 at a leaf), threshold, left, right, path length at a leaf, rows of the sample."""
     at = len(nodes)
-    nodes.append([-1.0, 0.0, -1.0, -1.0, depth + mean_depth(len(x))])
+    nodes.append([-1.0, 0.0, -1.0, -1.0, depth + mean_depth(len(x)), float(len(x))])
     if depth < limit and len(x) > 1:
         low, high = x.min(axis=0), x.max(axis=0)
         open_ = np.flatnonzero(high > low)
@@ -34,7 +34,7 @@ def _grow(x: np.ndarray, depth: int, limit: int, random: np.random.Generator, no
             cut = float(random.uniform(low[f], high[f]))
             left = x[:, f] < cut
             a, b = _grow(x[left], depth + 1, limit, random, nodes), _grow(x[~left], depth + 1, limit, random, nodes)
-            nodes[at] = [float(f), cut, float(a), float(b), 0.0]
+            nodes[at] = [float(f), cut, float(a), float(b), 0.0, float(len(x))]
     return at
 
 
@@ -62,33 +62,12 @@ def iforest_fit(df: DataFrame, columns: list[str], trees: int = TREES, sample: i
 
 
 def iforest_score(df: DataFrame, model: DataFrame, columns: list[str], sample: int = SAMPLE, key: str = "hcp_id") -> DataFrame:
-    """(key, score, attribution of each feature). The model has a fixed size: trees of 2 * sample nodes at most."""
+    """(key, Shapley value of each feature for the path length, path_length, mean_path_length, score).
+
+    The model has a fixed size: trees of 2 * sample nodes at most. A negative attribution shortens the path: it makes the row stand out.
+    """
     trees = [np.array(r.nodes) for r in model.orderBy("tree").collect()]
-    of = df.sparkSession.sparkContext.broadcast(trees)
-    norm = mean_depth(sample)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            x = np.nan_to_num(part[columns].to_numpy(np.float64))
-            depth, credit = np.zeros(len(x)), np.zeros((len(x), len(columns)))
-            for nodes in of.value:
-                at, step = np.zeros(len(x), np.int64), 0
-                going = np.flatnonzero(nodes[at, 0] >= 0)
-                while len(going):
-                    f = nodes[at[going], 0].astype(np.int64)
-                    credit[going, f] += 1.0 / (1 + step)
-                    at[going] = np.where(x[going, f] < nodes[at[going], 1], nodes[at[going], 2], nodes[at[going], 3]).astype(np.int64)
-                    step += 1
-                    going = going[nodes[at[going], 0] >= 0]
-                depth += nodes[at, 4]
-            s = 2.0 ** (-depth / len(of.value) / norm)
-            out = pd.DataFrame({key: part[key], "score": s})
-            for i, c in enumerate(columns):
-                out[f"attribution_{c}"] = credit[:, i] / np.maximum(credit.sum(axis=1), 1e-12) * s
-            yield out
-
-    fields = ", ".join([f"{key} {dict(df.dtypes)[key]}", "score double", *[f"attribution_{c} double" for c in columns]])
-    return df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(score, fields)
+    return attributed(df, trees, columns, key).withColumn("score", F.pow(F.lit(2.0), -F.col("path_length") / mean_depth(sample)))
 
 
 def iforest_label(scores: DataFrame, contamination: float = 0.10) -> DataFrame:

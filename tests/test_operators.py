@@ -74,7 +74,7 @@ def test_isolation_forest_finds_planted_outliers(spark):
     assert sorted(top) == [f"OUT_{i}" for i in range(5)]
     assert scored.where("is_outlier").count() <= 61
     r = scored.first()
-    assert abs(r.attribution_a + r.attribution_b - r.score) < 1e-9
+    assert abs(r.attribution_a + r.attribution_b - (r.path_length - r.mean_path_length)) < 1e-9
 
 
 def test_principal_components_keep_variance(spark):
