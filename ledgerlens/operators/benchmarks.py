@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.io import kept
 from .payments import growth
+from .ranks import frac_ranks, median_of_counts, numbered, percent_ranks, quantile_columns, ranked, with_places
 
 
-def quantile(column: str, p: float, exact: bool) -> Column:
-    """Interpolated quantile where results must be exact; a bounded sketch where a group may be very large."""
-    return F.percentile(column, F.lit(p)) if exact else F.approx_percentile(column, p)
+def with_quantiles(df: DataFrame, group: str, aggs: list[Column], wanted: dict[str, tuple[str, float]], exact: bool) -> DataFrame:
+    """By group, the aggregates and quantiles (name -> (column, p)): interpolated and exact, or of a sketch in the same pass."""
+    if not exact:
+        return df.groupBy(group).agg(*aggs, *[F.approx_percentile(c, p).alias(name) for name, (c, p) in wanted.items()])
+    found = quantile_columns(df, wanted, [group]).withColumnRenamed(group, "_group")
+    return df.groupBy(group).agg(*aggs).join(found, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
 def peer_stats(df: DataFrame, group: str, columns: dict[str, tuple[float, ...]], exact: bool = False) -> DataFrame:
     """Number of entities, and mean and quantiles of each column, by group."""
-    aggs = [F.count_distinct("hcp_id").alias("peer_count")]
-    for c, ps in columns.items():
-        aggs.append(F.avg(c).alias(f"avg_{c}"))
-        aggs += [quantile(c, p, exact).alias(f"p{round(p * 100)}_{c}") for p in ps]
-    return df.groupBy(group).agg(*aggs)
+    wanted = {f"p{round(p * 100)}_{c}": (c, p) for c, ps in columns.items() for p in ps}
+    return with_quantiles(df, group, [F.count_distinct("hcp_id").alias("peer_count"), *[F.avg(c).alias(f"avg_{c}") for c in columns]], wanted, exact)
 
 
 def peer_group_size(df: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -29,8 +31,8 @@ def peer_group_size(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def peer_ranks(df: DataFrame, ranks: dict[str, tuple[tuple[str, ...], str]]) -> DataFrame:
-    """PERCENT_RANK columns: name -> (partition columns, ranked column)."""
-    return df.withColumns({name: F.percent_rank().over(Window.partitionBy(*by).orderBy(c)) for name, (by, c) in ranks.items()})
+    """PERCENT_RANK columns: name -> (columns of the group, ranked column)."""
+    return percent_ranks(df, ranks)
 
 
 def industry_spend(payments: DataFrame, years: tuple[int, ...]) -> DataFrame:
@@ -58,7 +60,7 @@ def year_spend(payments: DataFrame, year: int, company: str = "is_competitor") -
 def population_stats(payments: DataFrame, year: int, exact: bool = False) -> DataFrame:
     """Mean and 90th percentile by specialty of what entities got in a year."""
     totals = payments.where(F.col("program_year") == year).groupBy("hcp_id", "specialty").agg(F.sum("payment_amount").alias("total"))
-    return totals.groupBy("specialty").agg(F.avg("total").alias("avg_total"), quantile("total", 0.9, exact).alias("p90_total"), F.count(F.lit(1)).alias("entities"))
+    return with_quantiles(kept(totals), "specialty", [F.avg("total").alias("avg_total"), F.count(F.lit(1)).alias("entities")], {"p90_total": ("total", 0.9)}, exact)
 
 
 def ratio(part: Column, whole: Column, cap: float) -> Column:
@@ -78,12 +80,13 @@ def benchmark(entities: DataFrame, industry: DataFrame, competitors: DataFrame,
     y1, y2, y3 = cfg.years
     spend = {y: F.col(f"spend_{y}") for y in cfg.years}
     rows = entities.withColumns({"specialty": F.coalesce("specialty", F.lit("Unknown")), "state": F.coalesce("state", F.lit("Unknown")), "spend_3yr": spend[y1] + spend[y2] + spend[y3]})
-    rows = peer_ranks(rows, {f"rank_{y}": (("specialty",), f"spend_{y}") for y in cfg.years} | {"rank_3yr": (("specialty",), "spend_3yr"), "rank_state": (("state",), f"spend_{y3}"), "rank_specialty_state": (("specialty", "state"), f"spend_{y3}"), "risk_rank": (("specialty",), "combined_raw_risk_score"), "meal_breach_rank": (("specialty",), "meal_breach_rate")})
-    peers = peer_stats(rows, "specialty", {f"spend_{y}": (0.9,) for y in cfg.years} | {"spend_3yr": (0.5, 0.9, 0.95), "combined_raw_risk_score": (0.9,)}, exact)
+    given, industry, competitors = numbered(rows), kept(industry), kept(competitors)
+    rows = peer_ranks(given, {f"rank_{y}": (("specialty",), f"spend_{y}") for y in cfg.years} | {"rank_3yr": (("specialty",), "spend_3yr"), "rank_state": (("state",), f"spend_{y3}"), "rank_specialty_state": (("specialty", "state"), f"spend_{y3}"), "risk_rank": (("specialty",), "combined_raw_risk_score"), "meal_breach_rank": (("specialty",), "meal_breach_rate")})
+    peers = peer_stats(given, "specialty", {f"spend_{y}": (0.9,) for y in cfg.years} | {"spend_3yr": (0.5, 0.9, 0.95), "combined_raw_risk_score": (0.9,)}, exact)
     ind_columns = [f"industry_spend_{y}" for y in cfg.years]
-    ind = industry.groupBy("specialty").agg(F.count_distinct("hcp_id").alias("ind_peer_count"), *[F.avg(c).alias(f"ind_avg_{c[-4:]}") for c in ind_columns], *[quantile(c, 0.9, exact).alias(f"ind_p90_{c[-4:]}") for c in ind_columns])
-    comp = competitors.groupBy("specialty").agg(F.avg(f"competitor_spend_{y3}").alias("comp_avg"), quantile(f"competitor_spend_{y3}", 0.9, exact).alias("comp_p90"))
-    rows = rows.join(peers, "specialty", "left").join(peer_group_size(rows, cfg), ["specialty", "state"], "left")
+    ind = with_quantiles(industry, "specialty", [F.count_distinct("hcp_id").alias("ind_peer_count"), *[F.avg(c).alias(f"ind_avg_{c[-4:]}") for c in ind_columns]], {f"ind_p90_{c[-4:]}": (c, 0.9) for c in ind_columns}, exact)
+    comp = with_quantiles(competitors, "specialty", [F.avg(f"competitor_spend_{y3}").alias("comp_avg")], {"comp_p90": (f"competitor_spend_{y3}", 0.9)}, exact)
+    rows = rows.join(peers, "specialty", "left").join(peer_group_size(given, cfg), ["specialty", "state"], "left")
     rows = rows.join(industry.withColumnRenamed("specialty", "ind_specialty"), "hcp_id", "left").withColumn("ind_key", F.coalesce("ind_specialty", "specialty")).join(ind.withColumnRenamed("specialty", "ind_key"), "ind_key", "left")
     rows = rows.join(competitors.withColumnRenamed("specialty", "comp_specialty"), "hcp_id", "left").withColumn("comp_key", F.coalesce("comp_specialty", "specialty")).join(comp.withColumnRenamed("specialty", "comp_key"), "comp_key", "left")
     rows = rows.fillna(0.0, [*ind_columns, *[f"competitor_spend_{y}" for y in cfg.years], "competitor_spend_3yr"]).fillna(0, ["industry_company_count", "industry_payment_count", "competitor_company_count"])
@@ -125,33 +128,24 @@ def classify(rows: DataFrame, cfg: Config) -> DataFrame:
 
 def frac_rank(df: DataFrame, column: str, by: str, name: str) -> DataFrame:
     """Least rank / number of rows in the group."""
-    return df.withColumn(name, F.rank().over(Window.partitionBy(by).orderBy(column)) / F.count(F.lit(1)).over(Window.partitionBy(by)))
+    return frac_ranks(df, {name: ((by,), column)})
 
 
 def frac_rank_global(df: DataFrame, column: str, name: str, ties: str = "min") -> DataFrame:
-    """Least ("min") or mean ("average") rank / number of rows, over all rows, without a window over all of them.
-
-    Ranks follow from a cumulative count of distinct values: rows are counted by value, values are dealt out by range,
-    and each range's offset is the sum of those before it; only one number a range goes through a single task.
-    """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    inside = parts.withColumn("so_far", F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    sums = parts.groupBy("part").agg(F.sum("n").alias("m"))
-    offsets = sums.withColumn("base", F.sum("m").over(Window.orderBy("part")) - F.col("m")).withColumn("total", F.sum("m").over(Window.partitionBy()))
-    first = F.col("base") + F.col("so_far") - F.col("n") + 1
-    rank = first if ties == "min" else first + (F.col("n") - 1) / 2
-    ranks = inside.join(F.broadcast(offsets), "part").select("value", (rank / F.col("total")).alias(name))  # one row a partition
-    return df.join(ranks, df[column] == ranks["value"], "left").drop("value")
+    """Least ("min") or mean ("average") rank / number of values, over all rows; null where the value is."""
+    below = F.col("below") + 1 if ties == "min" else F.col("below") + (F.col("same") + 1) / 2
+    present = F.col(f"_{column}").isNotNull()
+    rows = ranked(df.withColumns({f"_{column}": column, "_known": F.col(column).isNotNull()}), {name: (("_known",), f"_{column}")}, below / F.col("total"))
+    return rows.withColumn(name, F.when(present, F.col(name))).drop(f"_{column}", "_known")
 
 
 def real_benchmarks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Peer averages, fractional ranks, capped ratios, outliers, ordinal trend (0-3) and cap pattern (0-4), base score."""
     y1, y2, y3 = cfg.years
-    by = Window.partitionBy("specialty")
-    for y in cfg.years:
-        df = frac_rank(df, f"spend_{y}", "specialty", f"rank_{y}").withColumn(f"peer_avg_{y}", F.avg(f"spend_{y}").over(by))
-        df = df.withColumn(f"vs_peer_{y}", ratio(F.col(f"spend_{y}"), F.col(f"peer_avg_{y}"), 10.0))
+    given = numbered(df)
+    averages = given.groupBy(F.col("specialty").alias("_group")).agg(*[F.avg(f"spend_{y}").alias(f"peer_avg_{y}") for y in cfg.years])
+    df = frac_ranks(given, {f"rank_{y}": (("specialty",), f"spend_{y}") for y in cfg.years}).join(averages, F.col("specialty").eqNullSafe(F.col("_group"))).drop("_group")
+    df = df.withColumns({f"vs_peer_{y}": ratio(F.col(f"spend_{y}"), F.col(f"peer_avg_{y}"), 10.0) for y in cfg.years})
     one, two, three = (F.col(f"spend_{y}") for y in cfg.years)
     at, near = (count_true(*[s >= cap for s in (one, two, three)]) for cap in (cfg.annual_cap, cfg.near_cap))
     outliers = count_true(*[F.col(f"rank_{y}") > 0.9 for y in cfg.years])
@@ -170,7 +164,8 @@ def full_priority(spend: DataFrame, cfg: Config = Config()) -> DataFrame:
     """
     y1, y2, y3 = cfg.years
     own, competitor = F.col(f"spend_{y3}"), F.coalesce("competitor", F.lit(0.0))
-    median = spend.agg(F.percentile(F.when(own > 0, own), F.lit(0.5)).alias("median"))
+    spend = kept(spend)
+    median = quantile_columns(spend.where(own > 0), {"median": (f"spend_{y3}", 0.5)})
     rows = frac_rank_global(spend, f"spend_{y3}", "rank").crossJoin(F.broadcast(median))  # one row
     wallet = F.when(own + competitor > 0, own / (own + competitor))
     years_above = count_true(*[F.col(f"spend_{y}") > F.col("median") for y in (y1, y2)])
@@ -192,9 +187,9 @@ def peer_groups(entities: DataFrame, value: str, least: int = 5) -> DataFrame:
 
     entities: hcp_id, specialty, state and a value. Gives peer_group (a text), peer_count, peer_mean, peer_max,
     peer_median and percentile (the mean rank among the peers' values, 0 to 100; null without a value). Every kind of
-    group is one aggregate over counted values, so no window holds the rows of a group.
+    group is one aggregate over counted values, placed by ranges, so no task holds the values of a group.
     """
-    rows = entities.select("hcp_id", "specialty", "state", F.col(value).alias("value"))
+    rows = kept(entities.select("hcp_id", "specialty", "state", F.col(value).alias("value")))
     for keys, name in ((["specialty"], "n_specialty"), (["state"], "n_state"), (["specialty", "state"], "n_both")):
         rows = rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys, "left")
     by_specialty = F.coalesce(F.col("n_specialty") >= least, F.lit(False))
@@ -208,12 +203,15 @@ def peer_groups(entities: DataFrame, value: str, least: int = 5) -> DataFrame:
     wanted = rows.select("one", "two").distinct()
     pair = ["one", "two"]
     counted = counted.join(wanted.select(F.col("one").alias("w1"), F.col("two").alias("w2")), F.col("one").eqNullSafe(F.col("w1")) & F.col("two").eqNullSafe(F.col("w2")), "left_semi")
-    so_far = F.sum("n").over(Window.partitionBy(*pair).orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", so_far)
-    stats = counted.groupBy(*pair).agg(F.sum("n").alias("peer_count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("peer_mean"), F.max("value").alias("peer_max"), F.percentile("value", F.lit(0.5), F.col("n")).alias("peer_median"))
-    ranked, stats = (d.withColumnsRenamed({"one": "g1", "two": "g2"}) for d in (ranked.select(*pair, F.col("value").alias("at"), "n", "upto"), stats))
+    counted = kept(counted)
+    placed = kept(with_places(counted, pair, "value", "n", weight="n"))
+    stats = counted.groupBy(*pair).agg(F.sum("n").alias("peer_count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("peer_mean"), F.max("value").alias("peer_max"))
+    medians = median_of_counts(placed, pair, "value", "n").select(F.col("one").alias("m1"), F.col("two").alias("m2"), F.col("median").alias("peer_median"))
+    stats = stats.join(medians, F.col("one").eqNullSafe(F.col("m1")) & F.col("two").eqNullSafe(F.col("m2"))).drop("m1", "m2")
+    at = placed.select(*pair, F.col("value").alias("at"), "n", F.col("so_far").alias("upto"))
+    at, stats = (d.withColumnsRenamed({"one": "g1", "two": "g2"}) for d in (at, stats))
     same = F.col("one").eqNullSafe(F.col("g1")) & F.col("two").eqNullSafe(F.col("g2"))
-    found = rows.join(stats, same, "left").drop("g1", "g2").join(ranked, same & (F.col("value") == F.col("at")), "left")
+    found = rows.join(stats, same, "left").drop("g1", "g2").join(at, same & (F.col("value") == F.col("at")), "left")
     return found.select("hcp_id", "peer_group", "peer_count", "peer_mean", "peer_max", "peer_median", ((2 * F.col("upto") - F.col("n") + 1) * 50 / F.col("peer_count")).alias("percentile"))
 
 

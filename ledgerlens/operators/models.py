@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import kept
 from .attributions import attributed
 from .benchmarks import frac_rank_global
+from .ranks import numbered, quantile_columns, with_places
 
 TREES, SAMPLE, SEED = 200, 256, 42
 
@@ -74,8 +76,9 @@ def iforest_label(scores: DataFrame, contamination: float = 0.10) -> DataFrame:
     """raw (negative: outlier, against the quantile of the contamination), is_outlier, anomaly_score 0-100, percentile."""
     from .scoring import minmax_100
 
-    offset = scores.agg(F.percentile(-F.col("score"), F.lit(contamination)).alias("offset"))
-    rows = scores.crossJoin(F.broadcast(offset)).withColumn("raw", -F.col("score") - F.col("offset")).drop("offset").withColumns({"is_outlier": F.col("raw") < 0, "negative_raw": -F.col("raw")})
+    scores = numbered(scores)
+    offset = quantile_columns(scores.select((-F.col("score")).alias("negative")), {"offset": ("negative", contamination)})
+    rows = scores.crossJoin(F.broadcast(offset)).withColumn("raw", -F.col("score") - F.col("offset")).drop("offset").withColumns({"is_outlier": F.col("raw") < 0, "negative_raw": -F.col("raw")})  # one row
     return frac_rank_global(minmax_100(rows, "negative_raw", "anomaly_score"), "anomaly_score", "anomaly_percentile").drop("negative_raw")
 
 
@@ -85,18 +88,16 @@ def _long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def tail_probs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, feature, tail): min(F, 1 - F) of the empirical distribution, ties in the order of the key."""
-    w = Window.partitionBy("feature")
-    f = F.row_number().over(w.orderBy("x", key)) / F.count(F.lit(1)).over(w)
-    return _long(df, key, columns).withColumn("f", f).select(key, "feature", F.least("f", 1 - F.col("f")).alias("tail"))
+    f = F.col("so_far") / F.col("total")
+    return with_places(_long(df, key, columns), ["feature"], "x", key).select(key, "feature", F.least(f, 1 - f).alias("tail"))
 
 
 def copod(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Copula-based outlier score: the sum over features of the larger of the skew-corrected and the mean tail."""
-    w = Window.partitionBy("feature")
-    n = F.count(F.lit(1)).over(w)
-    rank, ties = F.rank().over(w.orderBy("x")), F.count(F.lit(1)).over(Window.partitionBy("feature", "x"))
-    rows = _long(df, key, columns).withColumns({"left": -F.log((rank + ties - 1) / n), "right": -F.log((n - rank + 1) / n)})
-    skew = _long(df, key, columns).groupBy("feature").agg(F.skewness("x").alias("skew"))
+    long = kept(_long(df, key, columns))
+    n = F.col("total")
+    rows = with_places(long, ["feature"], "x", key).select(key, "feature", (-F.log((F.col("below") + F.col("same")) / n)).alias("left"), (-F.log((n - F.col("below")) / n)).alias("right"))
+    skew = long.groupBy("feature").agg(F.skewness("x").alias("skew"))
     rows = rows.join(F.broadcast(skew), "feature")  # a row for each feature
     one: Column = F.when(F.col("skew") < 0, F.col("left")).when(F.col("skew") > 0, F.col("right")).otherwise(F.col("left") + F.col("right"))
     return rows.groupBy(key).agg(F.sum(F.greatest(one, (F.col("left") + F.col("right")) / 2)).alias("copod_score"))

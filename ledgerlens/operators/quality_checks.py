@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantile_columns
+
 
 def _result(check: str, failures: dict[str, Column], df: DataFrame) -> DataFrame:
     """All of a table's failures in one pass."""
@@ -45,8 +47,8 @@ def check_rates(df: DataFrame, bands: dict[str, tuple[float, float]]) -> DataFra
 
 def check_spread(df: DataFrame, column: str, least: float) -> DataFrame:
     """95th less 5th percentile of at least so much."""
-    q = F.percentile(column, F.array(F.lit(0.05), F.lit(0.95)))
-    return _result("spread", {column: F.when(q[1] - q[0] >= least, 0).otherwise(1)}, df)
+    q = quantile_columns(df, {"low": (column, 0.05), "high": (column, 0.95)})
+    return _result("spread", {column: F.max(F.when(F.col("high") - F.col("low") >= least, 0).otherwise(1))}, q)
 
 
 def check_row_count(df: DataFrame, least: int, most: int) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .benchmarks import frac_rank_global
+from ..sources.io import kept
+from .ranks import quantile_columns, quantiles, with_places
 
 TIERS = ("critical", "high", "medium", "low")
 
@@ -27,8 +28,11 @@ def scope_filter(df: DataFrame, specialty: str | None = None, state: str | None
 
 def risk_distribution(scores: DataFrame) -> DataFrame:
     """Number and share of each tier, mean and median score."""
+    scores = kept(scores.select("risk_tier", "risk_score"))
     total = scores.agg(F.count(F.lit(1)).alias("all"))
-    rows = scores.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("avg_score"), F.percentile("risk_score", F.lit(0.5)).alias("median_score"))
+    rows = scores.groupBy("risk_tier").agg(F.count(F.lit(1)).alias("n"), F.avg("risk_score").alias("avg_score"))
+    median = quantile_columns(scores, {"median_score": ("risk_score", 0.5)}, ["risk_tier"]).withColumnRenamed("risk_tier", "_tier")
+    rows = rows.join(median, F.col("risk_tier").eqNullSafe(F.col("_tier")), "left")
     return rows.crossJoin(F.broadcast(total)).select("risk_tier", "n", (F.col("n") / F.col("all")).alias("share"), "avg_score", "median_score")  # one row
 
 
@@ -109,8 +113,9 @@ def two_hop(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def score_stats(df: DataFrame, column: str) -> DataFrame:
     ps = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-    row = df.agg(F.count(column).alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.max(column).alias("most"), F.percentile(column, F.array(*map(F.lit, ps))).alias("q"))
-    return row.select("n", "least", "mean", "std", "most", *[F.col("q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(ps)])
+    df = kept(df.select(column))
+    row = df.agg(F.count(column).alias("n"), F.min(column).alias("least"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.max(column).alias("most"))
+    return row.crossJoin(quantile_columns(df, {f"p{round(p * 100)}": (column, p) for p in ps}))  # one row each
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
@@ -120,8 +125,8 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def box_stats(df: DataFrame, column: str, by: str) -> DataFrame:
-    row = df.groupBy(by).agg(F.percentile(column, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
-    return row.select(by, *[F.col("q")[i].alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "most"))])
+    places = {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "most": 1.0}
+    return quantile_columns(df, {name: (column, p) for name, p in places.items()}, [by])
 
 
 def rank_bands(df: DataFrame, rank: str) -> DataFrame:
@@ -145,36 +150,51 @@ def label_metrics(df: DataFrame) -> DataFrame:
     return row.withColumns({"precision": precision, "recall": recall}).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def threshold_eval(df: DataFrame, scores: list[str], labels: list[str], shares: tuple[float, ...] = (0.01, 0.05, 0.10), natural: tuple[str, ...] = (), key: str = "hcp_id") -> DataFrame:
+    """A row for each score, label and cut: rows flagged, hits, precision, recall, F1, lift, base rate and the share flagged.
+
+    The cuts are the ceil(n * share) rows of the highest score (ties by key; rows without a score last), and, for the scores in
+    ``natural``, the rows above 0. Every score's places come from one pass over all scores; each label's counts from another.
+    """
+    ones = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(f"_{i}") for i, c in enumerate(labels)]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("score"), (-F.col(c).cast("double")).alias("_low"), F.col(c).isNull().alias("_none")) for c in scores])).alias("x")
+    long = df.select(F.col(key).alias("_key"), *ones, each).select("_key", *[f"_{i}" for i in range(len(labels))], "x.*")
+    long = long.withColumn("_low", F.coalesce("_low", F.lit(float("inf"))))
+    placed = with_places(long, ["score"], "_low", "_key")
+    least = [(F.ceil(F.col("total") * F.lit(round(share * 10_000)) / 10_000), f"top {share:g}", share, None) for share in shares]
+    cuts = [F.struct(F.lit(name).alias("cut"), (F.col("so_far") <= k).alias("flagged"), F.lit(True).alias("shown")) for k, name, _, _ in least]
+    above = F.struct(F.lit("above 0").alias("cut"), (~F.col("_none") & (F.col("_low") < 0)).alias("flagged"), F.col("score").isin(*natural).alias("shown"))
+    rows = placed.select("score", "total", *[f"_{i}" for i in range(len(labels))], F.explode(F.array(*cuts, above)).alias("c")).where("c.shown")
+    summed = rows.groupBy("score", "c.cut").agg(F.max("total").alias("rows"), F.count_if("c.flagged").alias("k"), *[F.sum(f"_{i}").alias(f"ones_{i}") for i in range(len(labels))], *[F.sum(F.when(F.col("c.flagged"), F.col(f"_{i}")).otherwise(0)).alias(f"hits_{i}") for i in range(len(labels))])
+    found = summed.select("score", "cut", "rows", "k", F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"ones_{i}").alias("ones"), F.col(f"hits_{i}").alias("hits")) for i, c in enumerate(labels)])).alias("l")).select("score", "l.label", "cut", "rows", "k", "l.ones", "l.hits")
+    precision, recall = F.when(F.col("k") > 0, F.col("hits") / F.col("k")).otherwise(0.0), F.when(F.col("ones") > 0, F.col("hits") / F.col("ones")).otherwise(0.0)
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return found.select("score", "label", "cut", "k", "hits", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), F.when(F.col("ones") > 0, precision / (F.col("ones") / F.col("rows"))).otherwise(0.0).alias("lift"), (F.col("ones") / F.col("rows")).alias("base_rate"), (F.col("k") / F.col("rows")).alias("flagged_share"))
+
+
 def topk_eval(df: DataFrame, score: str, label: str, shares: tuple[float, ...] = (0.01, 0.05, 0.10), key: str = "doc_id") -> DataFrame:
     """Precision, recall, F1 and lift among the ceil(n * share) rows of the highest score (ties by key)."""
-    totals = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(label).cast("long")).alias("ones")).first()
-    parts = []
-    for share in shares:
-        k = -(-totals["rows"] * round(share * 10_000) // 10_000)
-        best = df.orderBy(F.desc(score), key).limit(int(k))
-        parts.append(best.agg(F.lit(float(share)).alias("share"), F.count(F.lit(1)).alias("k"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("hits")))
-    rows = reduce(DataFrame.unionByName, parts)
-    n, ones = F.lit(totals["rows"]), F.lit(totals["ones"] or 0)
-    precision, recall = F.col("hits") / F.col("k"), F.when(ones > 0, F.col("hits") / ones).otherwise(0.0)
-    return rows.select("share", "k", "hits", precision.alias("precision"), recall.alias("recall"), F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0).alias("f1"), F.when(ones > 0, precision / (ones / n)).otherwise(0.0).alias("lift"))
+    share = F.substring_index("cut", " ", -1).cast("double").alias("share")
+    return threshold_eval(df, [score], [label], shares, key=key).select(share, "k", "hits", "precision", "recall", "f1", "lift")
+
+
+def rankings(long: DataFrame) -> DataFrame:
+    """(model, roc_auc, average_precision) of rows (model, s, y): from mean ranks, and the precision at each positive row's score."""
+    placed = with_places(long.where("s is not null"), ["model"], "s", "y")
+    placed = kept(placed.select("model", "s", "y", "below", "same", "total"))
+    ones, n = F.sum("y"), F.max("total")
+    ranks = F.sum(F.when(F.col("y") == 1, F.col("below") + (F.col("same") + 1) / 2))
+    auc = placed.groupBy("model").agg(((ranks - ones * (ones + 1) / 2) / (ones * (n - ones))).alias("roc_auc"))
+    # among the positive rows alone, those of the same score or more, by all rows of the same score or more
+    positive = placed.where("y = 1").select("model", "s", (F.col("total") - F.col("below")).alias("rows_above"))
+    precision = (F.col("total") - F.col("below")) / F.col("rows_above")
+    ap = with_places(positive, ["model"], "s", "rows_above").groupBy("model").agg(F.avg(precision).alias("average_precision"))
+    return auc.join(ap, "model", "left")
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """ROC-AUC from mean ranks, and average precision over distinct scores."""
-    ranked = frac_rank_global(df.select(F.col(score).alias("s"), F.col(label).cast("int").alias("y")), "s", "r", ties="average")
-    n = F.count(F.lit(1))
-    ones, zeros = F.sum("y"), n - F.sum("y")
-    auc = ranked.agg(((F.sum(F.when(F.col("y") == 1, F.col("r"))) * n - ones * (ones + 1) / 2) / (ones * zeros)).alias("roc_auc"))
-    # a row for each distinct score, from the top: precision so far times the recall it adds
-    groups = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    parts = groups.repartitionByRange(F.desc("s")).withColumn("part", F.spark_partition_id())
-    inside = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = parts.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
-    before = Window.orderBy("part")
-    base = sums.select("part", (F.sum("pp").over(before) - F.col("pp")).alias("p0"), (F.sum("nn").over(before) - F.col("nn")).alias("n0"), F.sum("pp").over(Window.partitionBy()).alias("total"))
-    rows = parts.withColumns({"cp": F.sum("p").over(inside), "cn": F.sum("n").over(inside)}).join(F.broadcast(base), "part")  # one row a partition
-    ap = rows.agg(F.sum(F.col("p") / F.col("total") * (F.col("cp") + F.col("p0")) / (F.col("cn") + F.col("n0"))).alias("average_precision"))
-    return auc.crossJoin(ap)
+    return rankings(df.select(F.lit(score).alias("model"), F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))).drop("model")
 
 
 def flag_cooccurrence(flags: DataFrame, names: list[str], n: int = 10) -> DataFrame:
@@ -209,17 +229,17 @@ def overview_kpis(scores: DataFrame, n: int = 100) -> DataFrame:
 
 
 def median_quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
-    m = df.agg(F.percentile(x, F.lit(0.5)).alias("mx"), F.percentile(y, F.lit(0.5)).alias("my"), F.count(F.lit(1)).alias("all"))
+    df = kept(df.select(x, y))
+    m = quantile_columns(df, {"mx": (x, 0.5), "my": (y, 0.5)}).crossJoin(df.agg(F.count(F.lit(1)).alias("all")))  # one row each
     side = F.concat(F.when(F.col(x) > F.col("mx"), "high").otherwise("low"), F.lit("-"), F.when(F.col(y) > F.col("my"), "high").otherwise("low"))
     return df.crossJoin(F.broadcast(m)).groupBy(side.alias("cell")).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) / F.max("all")).alias("share"))
 
 
 def peer_percentile(df: DataFrame, column: str, by: str) -> DataFrame:
     """Three percentiles within the peers: mean rank, share strictly below, share not above."""
-    w = Window.partitionBy(by)
-    rank, n = F.rank().over(w.orderBy(column)), F.count(F.lit(1)).over(w)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(by, column))
-    return df.select("hcp_id", by, column, ((rank + (ties - 1) / 2) / n).alias("mean_rank"), ((rank - 1) / n).alias("below"), ((rank + ties - 1) / n).alias("not_above"))
+    below, same, n = F.col("below"), F.col("same"), F.col("total")
+    placed = with_places(df.select("hcp_id", by, column), [by], column, "hcp_id")
+    return placed.select("hcp_id", by, column, ((below + (same + 1) / 2) / n).alias("mean_rank"), (below / n).alias("below"), ((below + same) / n).alias("not_above"))
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -282,34 +302,57 @@ def reconcile(internal: DataFrame, reported: DataFrame) -> DataFrame:
     return rows.withColumn("gap", gap).withColumn("band", F.when(F.col("gap").isNull(), "unreported").when(F.col("gap") < 0.001, "perfect").when(F.col("gap") <= 0.05, "minor").when(F.col("gap") > 0.10, "major").otherwise("moderate"))
 
 
-def reconcile_report(rows: DataFrame) -> DataFrame:
-    """By year: entities in each band of the gap, totals, and the gap's mean, median, 95th percentile and maximum."""
+def reconcile_report(rows: DataFrame, largest: int = 3) -> DataFrame:
+    """By year: entities in each band of the gap, totals, the gap's mean, median, 95th percentile and maximum, and the largest gaps.
+
+    largest_gaps: entities whose gap is at least 5 %, the largest first (ties by hcp_id), ``largest`` of them at most.
+    """
+    rows = kept(rows)
     g = F.col("gap")
-    return rows.groupBy("program_year").agg(
+    worst = F.struct((-g).alias("order"), "hcp_id", g.alias("gap"), "internal_total", "reported_total")
+    report = rows.groupBy("program_year").agg(
         F.count_if(g < 0.01).alias("under_1"), F.count_if((g >= 0.01) & (g < 0.05)).alias("from_1_to_5"), F.count_if((g >= 0.05) & (g < 0.10)).alias("from_5_to_10"), F.count_if(g >= 0.10).alias("over_10"),
-        F.sum("internal_total").alias("internal"), F.sum("reported_total").alias("reported"), F.avg(g).alias("mean_gap"), F.percentile(g, F.lit(0.5)).alias("median_gap"), F.percentile(g, F.lit(0.95)).alias("p95_gap"), F.max(g).alias("max_gap"),
+        F.sum("internal_total").alias("internal"), F.sum("reported_total").alias("reported"), F.avg(g).alias("mean_gap"), F.max(g).alias("max_gap"),
     )
+    cuts = quantile_columns(rows, {"median_gap": ("gap", 0.5), "p95_gap": ("gap", 0.95)}, ["program_year"])
+    # Spark keeps ``largest`` rows of a year in each task before the shuffle (its window group limit)
+    some = top_n_per(rows.where(g >= 0.05).select("program_year", worst.alias("w")), "program_year", [F.col("w")], largest)
+    gaps = some.groupBy("program_year").agg(F.slice(F.array_sort(F.collect_list("w")), 1, largest).alias("w")).select("program_year", F.transform("w", lambda x: F.concat_ws(" ", x["hcp_id"], F.format_string("%.4f", x["gap"]))).alias("largest_gaps"))
+    return report.join(cuts, "program_year", "left").join(gaps, "program_year", "left").withColumn("largest_gaps", F.coalesce("largest_gaps", F.array().cast("array<string>")))
+
 
+def attribution_importance(df: DataFrame, columns: list[str], score: str | None = None, share: float = 0.01, key: str = "hcp_id") -> DataFrame:
+    """Mean absolute attribution of each feature and its percentage of the sum.
 
-def attribution_importance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean absolute attribution of each feature and its percentage of the sum."""
-    row = df.agg(*[F.avg(F.abs(c)).alias(c) for c in columns])
-    rows = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs")) for c in columns])).alias("x")).select("x.*")
-    return rows.withColumn("pct_of_total", F.col("mean_abs") / F.sum("mean_abs").over(Window.partitionBy()) * 100)
+    score: also mean_abs_top, the mean among the ceil(n * share) rows of the highest score (ties by key).
+    """
+    aggs = [F.avg(F.abs(c)).alias(c) for c in columns]
+    if score:
+        low = F.coalesce(-F.col(score).cast("double"), F.lit(float("inf"))).alias("_low")
+        df = with_places(df.select(key, low, *columns), [], "_low", key)
+        top = F.col("so_far") <= F.ceil(F.col("total") * F.lit(round(share * 10_000)) / 10_000)
+        aggs += [F.avg(F.when(top, F.abs(c))).alias(f"_top_{c}") for c in columns]
+    row = df.agg(*aggs)
+    rows = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs"), *([F.col(f"_top_{c}").alias("mean_abs_top")] if score else [])) for c in columns])).alias("x")).select("x.*")
+    return rows.withColumn("pct_of_total", F.col("mean_abs") / F.sum("mean_abs").over(Window.partitionBy()) * 100)  # a row for each feature
 
 
 def eval_summary(df: DataFrame, category: str, metric: str) -> DataFrame:
     """By category and over all: mean, median, least, most, count without NaN, nearest-rank 95th percentile."""
-    rows = df.where(F.col(metric).isNotNull() & ~F.isnan(metric))
-    rows = rows.select(F.explode(F.array(F.col(category), F.lit("ALL"))).alias("category"), F.col(metric).alias("x"))
-    place = Window.partitionBy("category").orderBy("x")
-    ranked = rows.withColumns({"i": F.row_number().over(place), "n": F.count(F.lit(1)).over(Window.partitionBy("category"))})
-    return ranked.groupBy("category").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("i") == F.ceil(F.col("n") * 0.95), F.col("x"))).alias("p95"))
+    rows = df.where(F.col(metric).isNotNull() & ~F.isnan(metric)).select(F.col(category).alias("category"), F.col(metric).cast("double").alias("x"))
+    rows = kept(rows.select(F.explode(F.array("category", F.lit("ALL"))).alias("category"), "x"))
+    k = F.ceil(F.col("total") * 0.95)
+    placed = with_places(rows, ["category"], "x", "x")
+    stats = placed.groupBy("category").agg(F.avg("x").alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("n"), F.max(F.when((F.col("below") < k) & (k <= F.col("below") + F.col("same")), F.col("x"))).alias("p95"))
+    median = quantile_columns(rows, {"median": ("x", 0.5)}, ["category"]).withColumnRenamed("category", "_category")
+    return stats.join(median, F.col("category").eqNullSafe(F.col("_category")), "left").drop("_category")
 
 
 def latency_stats(df: DataFrame, by: list[str]) -> DataFrame:
-    ok = F.when(F.col("success"), F.col("seconds"))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.count_if("success").alias("successes"), F.avg(ok).alias("mean"), F.percentile(ok, F.lit(0.5)).alias("median"), F.percentile(ok, F.lit(0.95)).alias("p95"), F.percentile(ok, F.lit(0.99)).alias("p99"), F.coalesce(F.stddev_samp(ok), F.lit(0.0)).alias("std"))
+    df = kept(df.select(*by, "success", F.when(F.col("success"), F.col("seconds").cast("double")).alias("ok")))
+    rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.count_if("success").alias("successes"), F.avg("ok").alias("mean"), F.coalesce(F.stddev_samp("ok"), F.lit(0.0)).alias("std"))
+    cuts = quantile_columns(df, {"median": ("ok", 0.5), "p95": ("ok", 0.95), "p99": ("ok", 0.99)}, by).withColumnsRenamed({c: f"_{c}" for c in by})
+    return rows.join(cuts, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]), "left").drop(*[f"_{c}" for c in by])
 
 
 def eval_delta(current: DataFrame, previous: DataFrame, metric: str = "mean") -> DataFrame:
@@ -369,11 +412,29 @@ def monitoring_report(distribution: DataFrame, patterns: DataFrame, segments: Da
 
 
 def compare_models(df: DataFrame, scores: list[str], label: str, contamination: float = 0.10) -> DataFrame:
-    """A row for each score column: ROC-AUC, average precision, and precision and recall of the rows above the contamination's quantile."""
-
-    def one(score: str) -> DataFrame:
-        cut = df.agg(F.percentile(score, F.lit(1 - contamination)).alias("cut"))
-        at = label_metrics(df.crossJoin(F.broadcast(cut)).select((F.col(score) >= F.col("cut")).cast("int").alias("predicted"), F.col(label).cast("int").alias("label")))  # one row
-        return ranking_metrics(df, score, label).crossJoin(at).select(F.lit(score).alias("model"), "roc_auc", "average_precision", "precision", "recall", "f1")  # one row each
-
-    return reduce(DataFrame.unionByName, [one(s) for s in scores])
+    """A row for each score column: ROC-AUC, average precision, and precision and recall of the rows above the contamination's quantile.
+
+    All scores go through one long table, which is written once.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("s")) for c in scores])).alias("x")
+    long = kept(df.select(F.col(label).cast("int").alias("y"), each).select("x.*", "y"))
+    cut = quantiles(long, ["s"], [1 - contamination], ["model"]).select("model", F.col("q").alias("cut"))
+    p, y = F.col("s") >= F.col("cut"), F.col("y") == 1
+    cells = long.join(F.broadcast(cut), "model").groupBy("model").agg(F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"))  # a row for each score column
+    precision, recall = (F.when(F.col("tp") + F.col(o) > 0, F.col("tp") / (F.col("tp") + F.col(o))).otherwise(0.0) for o in ("fp", "fn"))
+    cells = cells.select("model", precision.alias("precision"), recall.alias("recall"))
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return rankings(long).join(cells, "model").withColumn("f1", f1)
+
+
+def top_groups(df: DataFrame, by: str, amount: str, member: str, order: list[str], n: int = 10) -> DataFrame:
+    """The members of the n groups of the largest total (ties by name), in the order of the list (others after it, by name).
+
+    df: a few rows a group. Gives by, member, amount, total (the group's), place (the group's, from 1) and member_place.
+    """
+    summed = df.groupBy(by, member).agg(F.sum(amount).alias(amount))
+    totals = summed.groupBy(F.col(by).alias("_group")).agg(F.sum(amount).alias("total")).orderBy(F.desc("total"), "_group").limit(n)
+    totals = totals.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "_group")))  # n rows
+    rows = summed.join(F.broadcast(totals), F.col(by).eqNullSafe(F.col("_group"))).drop("_group")
+    known = F.create_map(*[F.lit(x) for p in zip(order, range(len(order)), strict=True) for x in p])[F.col(member)]
+    return rows.withColumn("member_place", F.row_number().over(Window.partitionBy(by).orderBy(F.coalesce(known, F.lit(len(order))), member)))  # the members of one of n groups

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.io import kept
+from .ranks import quantiles
 
 _AGGREGATES = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "std": lambda c: F.coalesce(F.stddev_samp(c), F.lit(0.0))}
 
@@ -66,15 +68,15 @@ def minmax_100(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def robust_parameters(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, median, iqr), an IQR of 0 as 1; all columns in one pass."""
-    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]
-    rows = df.agg(*quartiles).select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns])).alias("x"))
-    iqr = F.col("x.q")[2] - F.col("x.q")[0]
-    return rows.select("x.feature", F.col("x.q")[1].alias("median"), F.when(iqr == 0, 1.0).otherwise(iqr).alias("iqr"))
+    """(feature, median, iqr), an IQR of 0 as 1."""
+    found = quantiles(df, columns, (0.25, 0.5, 0.75)).groupBy(F.col("column").alias("feature")).pivot("p", [0.25, 0.5, 0.75]).agg(F.max("q"))
+    iqr = F.col("`0.75`") - F.col("`0.25`")
+    return found.select("feature", F.col("`0.5`").alias("median"), F.when(iqr == 0, 1.0).otherwise(iqr).alias("iqr"))
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / IQR of each column."""
+    df = kept(df)
     row = robust_parameters(df, columns).groupBy().pivot("feature", columns).agg(F.first(F.struct("median", "iqr")))
     row = row.select(*[F.col(c).alias(f"p_{c}") for c in columns])
     scaled = df.crossJoin(F.broadcast(row)).withColumns({c: (F.col(c) - F.col(f"p_{c}.median")) / F.col(f"p_{c}.iqr") for c in columns})

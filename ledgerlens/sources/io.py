@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,3 +80,24 @@ def write_summary(df: DataFrame, path: str) -> None:
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all executors reach; on a local master without one, a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder or own.isDefined():
+        return folder or own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table of the shared folder: what reads it several times computes it once, and an executor lost later costs nothing of it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
