@@ -39,7 +39,8 @@ class Paths:
         self.slots = max(len(met) for _, met in leaves)
         self.share = np.ones((len(leaves), self.slots))
         # slots that a leaf doesn't use count as met, so that their factor is 1
-        self.start = np.array([(i << self.slots) + (1 << self.slots) - (1 << len(met)) for i, (_, met) in enumerate(leaves)])
+        start = np.array([(i << self.slots) + (1 << self.slots) - (1 << len(met)) for i, (_, met) in enumerate(leaves)])
+        self.start = start.astype(np.int32 if len(leaves) << self.slots < 1 << 31 else np.int64)
         found: dict[int, list[tuple[int, int, float, float]]] = {}
         for i, (_, met) in enumerate(leaves):
             for slot, (feature, (low, high, share)) in enumerate(met.items()):
@@ -55,11 +56,11 @@ class Paths:
         return float(self.length @ self.share.prod(axis=1))
 
     def patterns(self, x: np.ndarray) -> np.ndarray:
-        """(rows, leaves): the leaf's number before a bit for each slot, set where the row meets the bounds."""
-        out = np.repeat(self.start[None], len(x), axis=0)
+        """(leaves, rows): the leaf's number before a bit for each slot, set where the row meets the bounds."""
+        out = np.repeat(self.start[:, None], len(x), axis=1)
         for feature, (leaf, slot, low, high) in self.bounds.items():
-            value = x[:, feature, None]
-            out[:, leaf] += ((value >= low) & (value < high)).astype(np.int64) << slot
+            value = x[:, feature]
+            out[leaf] += ((value >= low[:, None]) & (value < high[:, None])).astype(out.dtype) << slot.astype(out.dtype)[:, None]
         return out
 
     def credits(self, pattern: np.ndarray) -> np.ndarray:
@@ -87,14 +88,14 @@ class Paths:
             there = np.zeros(size, bool)
             there[pattern.ravel()] = True
             distinct = np.flatnonzero(there)
-            place = (np.cumsum(there) - 1)[pattern]
+            place = np.take(np.cumsum(there, dtype=pattern.dtype) - 1, pattern)
         else:
             distinct, place = np.unique(pattern, return_inverse=True)
-            place = place.reshape(pattern.shape)
+            place = place.reshape(pattern.shape).astype(pattern.dtype)
         credit = self.credits(distinct).ravel()
         place *= self.slots
         for feature, (leaf, slot, _, _) in self.bounds.items():
-            out[:, feature] = credit[place[:, leaf] + slot].sum(axis=1)
+            out[:, feature] = np.take(credit, place[leaf] + slot.astype(place.dtype)[:, None]).sum(axis=0)
         return out
 
 
@@ -119,4 +120,6 @@ def attributed(df: DataFrame, trees: list[np.ndarray], columns: list[str], key:
                 yield out.assign(path_length=mean + values.sum(axis=1), mean_path_length=mean)
 
     fields = ", ".join([f"{key} {dict(df.dtypes)[key]}", *[f"attribution_{c} double" for c in columns], "path_length double", "mean_path_length double"])
-    return df.select(key, *[df[c].cast("double").alias(c) for c in columns]).mapInPandas(attribute, fields)
+    # a row costs some milliseconds: few large files would leave most cores idle
+    rows = df.select(key, *[df[c].cast("double").alias(c) for c in columns]).repartition(df.sparkSession.sparkContext.defaultParallelism * 2)
+    return rows.mapInPandas(attribute, fields)

@@ -11,18 +11,21 @@ from .payments import growth
 from .ranks import frac_ranks, median_of_counts, numbered, percent_ranks, quantile_columns, ranked, with_places
 
 
-def with_quantiles(df: DataFrame, group: str, aggs: list[Column], wanted: dict[str, tuple[str, float]], exact: bool) -> DataFrame:
-    """By group, the aggregates and quantiles (name -> (column, p)): interpolated and exact, or of a sketch in the same pass."""
+def with_quantiles(df: DataFrame, group: str, aggs: list[Column], wanted: dict[str, tuple[str, float]], exact: bool, found: DataFrame | None = None) -> DataFrame:
+    """By group, the aggregates and quantiles (name -> (column, p)): interpolated and exact (maybe found already), or of a sketch in the same pass."""
     if not exact:
         return df.groupBy(group).agg(*aggs, *[F.approx_percentile(c, p).alias(name) for name, (c, p) in wanted.items()])
-    found = quantile_columns(df, wanted, [group]).withColumnRenamed(group, "_group")
+    found = (found.select(group, *wanted) if found else quantile_columns(df, wanted, [group])).withColumnRenamed(group, "_group")
     return df.groupBy(group).agg(*aggs).join(found, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
 
 
-def peer_stats(df: DataFrame, group: str, columns: dict[str, tuple[float, ...]], exact: bool = False) -> DataFrame:
+def peer_quantiles(columns: dict[str, tuple[float, ...]]) -> dict[str, tuple[str, float]]:
+    return {f"p{round(p * 100)}_{c}": (c, p) for c, ps in columns.items() for p in ps}
+
+
+def peer_stats(df: DataFrame, group: str, columns: dict[str, tuple[float, ...]], exact: bool = False, found: DataFrame | None = None) -> DataFrame:
     """Number of entities, and mean and quantiles of each column, by group."""
-    wanted = {f"p{round(p * 100)}_{c}": (c, p) for c, ps in columns.items() for p in ps}
-    return with_quantiles(df, group, [F.count_distinct("hcp_id").alias("peer_count"), *[F.avg(c).alias(f"avg_{c}") for c in columns]], wanted, exact)
+    return with_quantiles(df, group, [F.count_distinct("hcp_id").alias("peer_count"), *[F.avg(c).alias(f"avg_{c}") for c in columns]], peer_quantiles(columns), exact, found)
 
 
 def peer_group_size(df: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -82,10 +85,16 @@ def benchmark(entities: DataFrame, industry: DataFrame, competitors: DataFrame,
     rows = entities.withColumns({"specialty": F.coalesce("specialty", F.lit("Unknown")), "state": F.coalesce("state", F.lit("Unknown")), "spend_3yr": spend[y1] + spend[y2] + spend[y3]})
     given, industry, competitors = numbered(rows), kept(industry), kept(competitors)
     rows = peer_ranks(given, {f"rank_{y}": (("specialty",), f"spend_{y}") for y in cfg.years} | {"rank_3yr": (("specialty",), "spend_3yr"), "rank_state": (("state",), f"spend_{y3}"), "rank_specialty_state": (("specialty", "state"), f"spend_{y3}"), "risk_rank": (("specialty",), "combined_raw_risk_score"), "meal_breach_rank": (("specialty",), "meal_breach_rate")})
-    peers = peer_stats(given, "specialty", {f"spend_{y}": (0.9,) for y in cfg.years} | {"spend_3yr": (0.5, 0.9, 0.95), "combined_raw_risk_score": (0.9,)}, exact)
-    ind_columns = [f"industry_spend_{y}" for y in cfg.years]
-    ind = with_quantiles(industry, "specialty", [F.count_distinct("hcp_id").alias("ind_peer_count"), *[F.avg(c).alias(f"ind_avg_{c[-4:]}") for c in ind_columns]], {f"ind_p90_{c[-4:]}": (c, 0.9) for c in ind_columns}, exact)
-    comp = with_quantiles(competitors, "specialty", [F.avg(f"competitor_spend_{y3}").alias("comp_avg")], {"comp_p90": (f"competitor_spend_{y3}", 0.9)}, exact)
+    ind_columns, comp_column = [f"industry_spend_{y}" for y in cfg.years], f"competitor_spend_{y3}"
+    own = {f"spend_{y}": (0.9,) for y in cfg.years} | {"spend_3yr": (0.5, 0.9, 0.95), "combined_raw_risk_score": (0.9,)}
+    of_industry, of_competitors = {f"ind_p90_{c[-4:]}": (c, 0.9) for c in ind_columns}, {"comp_p90": (comp_column, 0.9)}
+    found = None
+    if exact:  # the three tables' columns differ in name, so one call finds all their quantiles
+        three = given.select("specialty", *own).unionByName(industry.select("specialty", *ind_columns), allowMissingColumns=True).unionByName(competitors.select("specialty", comp_column), allowMissingColumns=True)
+        found = kept(quantile_columns(three, peer_quantiles(own) | of_industry | of_competitors, ["specialty"]))
+    peers = peer_stats(given, "specialty", own, exact, found)
+    ind = with_quantiles(industry, "specialty", [F.count_distinct("hcp_id").alias("ind_peer_count"), *[F.avg(c).alias(f"ind_avg_{c[-4:]}") for c in ind_columns]], of_industry, exact, found)
+    comp = with_quantiles(competitors, "specialty", [F.avg(comp_column).alias("comp_avg")], of_competitors, exact, found)
     rows = rows.join(peers, "specialty", "left").join(peer_group_size(given, cfg), ["specialty", "state"], "left")
     rows = rows.join(industry.withColumnRenamed("specialty", "ind_specialty"), "hcp_id", "left").withColumn("ind_key", F.coalesce("ind_specialty", "specialty")).join(ind.withColumnRenamed("specialty", "ind_key"), "ind_key", "left")
     rows = rows.join(competitors.withColumnRenamed("specialty", "comp_specialty"), "hcp_id", "left").withColumn("comp_key", F.coalesce("comp_specialty", "specialty")).join(comp.withColumnRenamed("specialty", "comp_key"), "comp_key", "left")

@@ -101,45 +101,38 @@ def quantiles(df: DataFrame, columns: Sequence[str], ps: Sequence[float], by: Se
     values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
     long = kept(df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.explode(values).alias("x")).select(*names, "x.*").where("v is not null"))
     keys = [*names, "column"]
-    grid = F.approx_percentile("v", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), GRID * 20)
-    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), grid.alias("grid"))
-    place = F.col("p") * (F.col("n") - 1)
-    low = F.when(F.floor(F.col("p") * GRID) >= 1, F.get("grid", (F.floor(F.col("p") * GRID) - 1).cast("int"))).otherwise(F.col("least"))
-    high = F.when(F.ceil(F.col("p") * GRID) < GRID, F.get("grid", (F.ceil(F.col("p") * GRID) + 1).cast("int"))).otherwise(F.col("most"))
-    wanted = sketch.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps]))).select(*keys, "n", "p", place.alias("place"), low.alias("low"), high.alias("high"), "least", "most")
+    ps = [float(p) for p in ps]
+    steps = [(max(int(p * GRID) - 1, 0), min(-int(-p * GRID // 1) + 1, GRID)) for p in ps]
+    cuts = F.approx_percentile("v", F.array(*[F.lit(k / GRID) for pair in steps for k in pair]), GRID * 20)
+    sketch = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), cuts.alias("cuts"))
+    bounds = F.array(*[F.struct(F.lit(p).alias("p"), (F.get("cuts", F.lit(2 * i)) if low else F.col("least")).alias("low"), (F.get("cuts", F.lit(2 * i + 1)) if high < GRID else F.col("most")).alias("high")) for i, (p, (low, high)) in enumerate(zip(ps, steps, strict=True))])
+    wanted = sketch.select(*keys, "n", "least", "most", F.explode(bounds).alias("b")).select(*keys, "n", "least", "most", "b.*").withColumn("place", F.col("p") * (F.col("n") - 1))
     wanted = kept(wanted)
     targets = [f"_t{i}" for i in range(len(keys))]
 
-    def within(bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(counted values within the bounds; number of values below them) for each wanted quantile."""
-        bounds = bounds.select(*[F.col(c).alias(t) for c, t in zip(keys, targets, strict=True)], "p", "low", "high")
-        met = long.join(bounds.groupBy(*targets).agg(F.collect_list(F.struct("p", "low", "high")).alias("b")), _same(dict(zip(keys, targets, strict=True))))  # as many as ps
-        met = met.select(*keys, "v", F.explode("b").alias("b"))
-        inside = met.where("v >= b.low and v <= b.high").groupBy(*keys, F.col("b.p").alias("p"), "v").agg(F.count(F.lit(1)).alias("c"))
-        below = met.where("v < b.low").groupBy(*keys, F.col("b.p").alias("p")).agg(F.count(F.lit(1)).alias("below"))
-        return inside, below
-
-    def checked(inside: DataFrame, below: DataFrame, of: DataFrame) -> DataFrame:
-        counted = inside.groupBy(*keys, "p").agg(F.sum("c").alias("inside"))
-        also = [*keys, "p"]
-        left = of
-        for other, name in ((counted, "inside"), (below, "below")):
-            other = other.select(*[F.col(c).alias(f"_o_{c}") for c in also], name)
-            left = left.join(other, _same({c: f"_o_{c}" for c in also}), "left").drop(*[f"_o_{c}" for c in also])
-        holds = (F.floor("place") >= F.col("below")) & (F.ceil("place") < F.col("below") + F.col("inside"))
-        return left.fillna(0, ["inside", "below"]).withColumn("holds", holds)
-
-    inside, below = within(wanted)
-    inside = kept(inside)
-    found = kept(checked(inside, below, wanted))
+    also = [*keys, "p"]
+    others = {c: f"_o_{c}" for c in also}
+
+    def within(bounds: DataFrame) -> DataFrame:
+        """(keys, p, v, c): values within the bounds of each wanted quantile with their numbers; v null: the number below."""
+        bounds = bounds.select(*[F.col(c).alias(t) for c, t in zip(keys, targets, strict=True)], F.struct("p", "low", "high").alias("b"))
+        met = long.join(bounds.groupBy(*targets).agg(F.collect_list("b").alias("b")), _same(dict(zip(keys, targets, strict=True))))  # as many as ps
+        met = met.select(*keys, "v", F.explode("b").alias("b")).where("v <= b.high")
+        return met.groupBy(*keys, F.col("b.p").alias("p"), F.when(F.col("v") >= F.col("b.low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+
+    counted = kept(within(wanted))
+    below = counted.groupBy(*[F.col(c).alias(o) for c, o in others.items()]).agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("c"))), F.lit(0)).alias("inside"))
+    holds = (F.floor("place") >= F.col("below")) & (F.ceil("place") < F.col("below") + F.col("inside"))
+    found = wanted.join(below, _same(others), "left").drop(*others.values()).fillna(0, ["below", "inside"]).withColumn("holds", holds)
     missed = found.where("not holds")
+    inside = counted.where("v is not null")
     if missed.limit(1).count():
-        again, _ = within(missed.select(*keys, "p", F.col("least").alias("low"), F.col("most").alias("high")))
-        marks = missed.select(*[F.col(c).alias(f"_o_{c}") for c in (*keys, "p")])
-        inside = inside.join(marks, _same({c: f"_o_{c}" for c in (*keys, "p")}), "left_anti").unionByName(again)
+        again = within(missed.select(*also, F.col("least").alias("low"), F.col("most").alias("high")))
+        marks = missed.select(*[F.col(c).alias(o) for c, o in others.items()])
+        inside = inside.join(marks, _same(others), "left_anti").unionByName(again)
         found = found.withColumn("below", F.when(F.col("holds"), F.col("below")).otherwise(0))
-    placed = with_places(inside, [*keys, "p"], "v", "c", weight="c").select(*[F.col(c).alias(f"_o_{c}") for c in (*keys, "p")], "v", (F.col("so_far") - F.col("c")).alias("first"), F.col("so_far").alias("next"))
-    rows = found.join(placed, _same({c: f"_o_{c}" for c in (*keys, "p")}))
+    placed = with_places(inside, [*keys, "p"], "v", "c", weight="c").select(*[F.col(c).alias(o) for c, o in others.items()], "v", (F.col("so_far") - F.col("c")).alias("first"), F.col("so_far").alias("next"))
+    rows = found.join(placed, _same(others))
     at = F.col("place") - F.col("below")
     rows = rows.where((F.floor(at) < F.col("next")) & (F.ceil(at) >= F.col("first")))
     lower = F.max(F.when((F.floor(at) >= F.col("first")) & (F.floor(at) < F.col("next")), F.col("v")))

@@ -23,20 +23,20 @@ def staged(spark, sf_dir):
     return P.stage_payments(view(spark, sf_dir, "payments_raw"), view(spark, sf_dir, "company_map"), C)
 
 
-def target(spark, sf_dir):
-    return P.target_payments(staged(spark, sf_dir))
+def target(spark, sf_dir, payments=None):
+    return P.target_payments(payments or staged(spark, sf_dir))
 
 
-def spend(spark, sf_dir):
-    return P.spend_mart(view(spark, sf_dir, "master"), target(spark, sf_dir), view(spark, sf_dir, "interactions"), C)
+def spend(spark, sf_dir, payments=None):
+    return P.spend_mart(view(spark, sf_dir, "master"), target(spark, sf_dir, payments), view(spark, sf_dir, "interactions"), C)
 
 
 def features_of_events(spark, sf_dir):
     return E.event_features(view(spark, sf_dir, "speaker_events"), view(spark, sf_dir, "attendees"), C)
 
 
-def profile(spark, sf_dir):
-    return E.risk_profile(view(spark, sf_dir, "master"), spend(spark, sf_dir), E.entity_events(features_of_events(spark, sf_dir)), E.entity_interactions(view(spark, sf_dir, "interactions"), C))
+def profile(spark, sf_dir, spent=None):
+    return E.risk_profile(view(spark, sf_dir, "master"), spent or spend(spark, sf_dir), E.entity_events(features_of_events(spark, sf_dir)), E.entity_interactions(view(spark, sf_dir, "interactions"), C))
 
 
 @query(sql("SELECT * FROM staged", doubles="payment_amount", **steps("staged")))

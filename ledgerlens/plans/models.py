@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import quality_checks as Q
+from ..sources.io import kept
 from . import marts, records, scoring
 from .fixtures import sql, view
 from .registry import query
@@ -22,7 +23,7 @@ def features(spark, sf_dir):
 @query()
 def isolation_forest(spark, sf_dir):
     """Seeded random trees: no SQL gives the same; tests compare the ranking with planted outliers."""
-    rows = features(spark, sf_dir)
+    rows = kept(features(spark, sf_dir))  # the fit and the scores read it
     return M.iforest_label(M.iforest_score(rows, M.iforest_fit(rows, FEATURES), FEATURES))
 
 
