@@ -115,21 +115,6 @@ def lof(neighbours: DataFrame) -> DataFrame:
     return neighbours.join(other, "vec_id").groupBy("query_id").agg(F.avg("other").alias("mean_other")).join(density, "query_id").select(F.col("query_id").alias("vec_id"), (F.col("mean_other") / F.col("lrd")).alias("lof"))
 
 
-def exact_neighbours(vectors: DataFrame, k: int, block: int = 500) -> DataFrame:
-    """All rows' k nearest (Euclidean) for tables of moderate size: the rows go in blocks against all rows, each block's table of a bounded size."""
-    from functools import reduce
-
-    parts = max(1, -(-vectors.count() // block))
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    distance = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    found = []
-    for i in range(parts):
-        some = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-        found.append(v.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", distance.alias("distance")))  # block rows at a time
-    rows = reduce(DataFrame.unionByName, found)
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
-
-
 def pca(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """A column ``components`` of the first k principal components."""
     from pyspark.ml.feature import PCA, VectorAssembler

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .patterns import MOST_PATTERNS, pattern_numbers
 
 
 def growth(new: Column, old: Column) -> Column:
@@ -21,12 +22,32 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def match_company(payments: DataFrame, company_map: DataFrame, company: str = "company_raw") -> DataFrame:
-    """Left join on a pattern contained in the lower-cased name; a name with two patterns gives two rows.
+    """Left join on lower(name) LIKE '%' + pattern + '%'; a name with two patterns gives two rows, one with none a row of nulls.
 
-    The map is a seed table of patterns, so it is the side that every task holds.
+    The map's patterns are numbered; each task runs its names through one automaton of them, and the numbers found join the map.
     """
-    seed = F.broadcast(company_map)
-    return payments.join(seed, F.lower(payments[company]).contains(seed.pattern), "left")
+    seed = company_map.where("pattern is not null")
+    patterns = sorted(r.pattern for r in seed.select("pattern").distinct().limit(MOST_PATTERNS + 1).collect())
+    if len(patterns) > MOST_PATTERNS:
+        return _matched_by_grams(payments, seed, company)
+    rows = payments.withColumn("_number", F.explode_outer(pattern_numbers(patterns)(F.lower(payments[company]))))
+    numbered = seed.join(F.broadcast(seed.sparkSession.createDataFrame(list(enumerate(patterns)), "_at int, _text string")), F.col("pattern") == F.col("_text")).drop("_text")  # MOST_PATTERNS rows at most
+    return rows.join(F.broadcast(numbered), F.col("_number") == F.col("_at"), "left").drop("_number", "_at")
+
+
+def _matched_by_grams(payments: DataFrame, seed: DataFrame, company: str) -> DataFrame:
+    """match_company() for maps too large to broadcast: distinct names meet patterns in three characters of theirs.
+
+    Patterns that are shorter or hold wildcards meet every name's first characters by the key ''.
+    """
+    name = F.lower(payments[company])
+    names = payments.select(name.alias("_name")).where("_name is not null").distinct()
+    plain = (F.length("pattern") >= 3) & ~F.col("pattern").rlike("[%_\\\\]")
+    keyed = seed.select("pattern").distinct().withColumn("_gram", F.when(plain, F.substring("pattern", 1, 3)).otherwise(""))
+    grams = F.array_union(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(F.length("_name") - 2, F.lit(1))), lambda i: F.substring(F.col("_name"), i, F.lit(3))))
+    met = names.withColumn("_gram", F.explode(grams)).join(keyed, "_gram").where(F.expr("_name LIKE concat('%', pattern, '%')")).select("_name", F.col("pattern").alias("_text"))
+    found = met.join(seed, F.col("_text") == F.col("pattern")).drop("_text")
+    return payments.join(found, name == found["_name"], "left").drop("_name")
 
 
 def stage_payments(payments: DataFrame, company_map: DataFrame, cfg: Config = Config()) -> DataFrame:

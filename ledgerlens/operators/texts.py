@@ -55,22 +55,6 @@ def cosine(a: str, b: str) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, block: int = 2000) -> DataFrame:
-    """Exact cosine top k of a stated set of queries, which go through the vectors in blocks of bounded size.
-
-    queries: query_id, q. vectors: vec_id, v. The limit of k applies in every task before rows are exchanged.
-    """
-    parts = max(1, -(-queries.count() // block))
-    found = []
-    for i in range(parts):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        pairs = vectors.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", cosine("q", "v").alias("score"))  # block rows at a time
-        found.append(pairs)
-    rows = reduce(DataFrame.unionByName, found)
-    rows = rows.where(F.col("score") >= least) if least is not None else rows
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k)
-
-
 def dedupe_hits(hits: DataFrame, key: str, by: str, order: str) -> DataFrame:
     """The first of each key in a group."""
     return hits.withColumn("n", F.row_number().over(Window.partitionBy(by, key).orderBy(order))).where("n = 1").drop("n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as M
 from ..operators import quality_checks as Q
+from ..operators.nearest import Neighbours
 from ..sources.io import kept
 from . import marts, records, scoring
 from .fixtures import sql, view
@@ -41,7 +42,7 @@ def tail_probabilities(spark, sf_dir):
 kd AS (SELECT q AS vec_id, max(d) AS kd FROM nn GROUP BY q), lrd AS (SELECT q, 1 / (avg(greatest(kd, d)) + 1e-10) AS lrd FROM nn JOIN kd USING (vec_id) GROUP BY q)
 SELECT n.q AS vec_id, round(avg(o.lrd) / any_value(l.lrd) * 1.0000000001::DOUBLE, 4) AS lof FROM nn n JOIN lrd o ON n.vec_id = o.q JOIN lrd l ON n.q = l.q GROUP BY n.q""")
 def local_outlier_factor(spark, sf_dir):
-    return M.lof(M.exact_neighbours(view(spark, sf_dir, "embeddings"), 20))
+    return M.lof(Neighbours(view(spark, sf_dir, "embeddings"), 20).table())
 
 
 @query()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import nearest
 from ..operators import texts as T
 from .fixtures import view
 from .registry import query
@@ -37,16 +38,16 @@ def stable_ids(spark, sf_dir):
 def cosine_top_k(spark, sf_dir):
     """Queries: every vec_id divisible by 20, against all rows."""
     vectors = view(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return T.vector_topk(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), vectors, 5)
+    return nearest.cosine_top_k(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), vectors, 5)
 
 
 TOKENS = "unnest(list_distinct([x for x in string_split_regex(lower(text), '[^a-z0-9_]+') if x <> '']))"
 
 
-@query(f"WITH q AS (SELECT item_id AS query_id, {TOKENS} AS token FROM benchmark), r AS (SELECT source AS rule_id, {TOKENS} AS token FROM (SELECT source, string_agg(substr(text, 1, 40), ' ' ORDER BY doc_id) AS text FROM documents WHERE lang = 'en' GROUP BY source)) SELECT query_id, rule_id, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rule_id) AS place FROM (SELECT query_id, rule_id, count(*) AS score FROM q JOIN r USING (token) GROUP BY ALL)) WHERE place <= 5")
+@query(f"WITH q AS (SELECT item_id AS query_id, {TOKENS} AS token FROM benchmark), r AS (SELECT DISTINCT source AS rule_id, {TOKENS} AS token FROM documents WHERE lang = 'en') SELECT query_id, rule_id, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rule_id) AS place FROM (SELECT query_id, rule_id, count(*) AS score FROM q JOIN r USING (token) GROUP BY ALL)) WHERE place <= 5")
 def keyword_lookup(spark, sf_dir):
-    """Rules: the first 40 characters of a source's English documents, as its SQL has it; keyword_lookup_whole has no such cut."""
-    docs = view(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("source").alias("rule_id"), F.substring("text", 1, 40).alias("text"))
+    """Rules: all words of a source's English documents."""
+    docs = view(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("source").alias("rule_id"), "text")
     return T.lookup_rules(view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs)
 
 
