@@ -184,6 +184,21 @@ def full_priority(spend: DataFrame, cfg: Config = Config()) -> DataFrame:
     )
 
 
+def competitor_benchmarks(own: DataFrame, competitors: DataFrame | None) -> DataFrame:
+    """(hcp_id, own_spend, competitor_spend, competitor_avg_spend, share_of_wallet, available) of each entity.
+
+    own: hcp_id, spend (null: 0). competitors: hcp_id, competitor_spend, competitor_avg_spend; entities it lacks have 0. Without that
+    source its columns and the share are null and ``available`` is false; the share is null too where both sides are 0.
+    """
+    rows = own.select("hcp_id", F.coalesce("spend", F.lit(0.0)).alias("own_spend"))
+    measures = ["competitor_spend", "competitor_avg_spend"]
+    if competitors is None:
+        return rows.withColumns({c: F.lit(None).cast("double") for c in [*measures, "share_of_wallet"]} | {"available": F.lit(False)})
+    rows = rows.join(competitors.select("hcp_id", *measures), "hcp_id", "left").fillna(0.0, measures)
+    total = F.col("own_spend") + F.col("competitor_spend")
+    return rows.withColumns({"share_of_wallet": F.when(total > 0, F.col("own_spend") / total), "available": F.lit(True)})
+
+
 def local_population_average(df: DataFrame, column: str) -> DataFrame:
     """Mean of the specialty's values, a missing value as 0 and a missing specialty as one of its own."""
     named = F.coalesce("specialty", F.lit("Unknown"))

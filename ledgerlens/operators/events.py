@@ -61,14 +61,26 @@ def entity_events(features: DataFrame) -> DataFrame:
 
 
 def entity_interactions(interactions: DataFrame, cfg: Config = Config()) -> DataFrame:
-    n, meal = F.count(F.lit(1)), F.col("interaction_type") == "meal"
+    return merged_interactions(interaction_years(interactions, cfg), interactions.select("hcp_id", "rep_id").where("rep_id is not null"))
+
+
+def interaction_years(interactions: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Each entity's and year's sums, from which merged_interactions() makes the entity's row."""
+    meal = F.col("interaction_type") == "meal"
+    cost = F.when(meal, F.col("meal_cost"))
     vague = F.count_if(F.col("business_rationale").isin(*cfg.vague_texts) | F.col("business_rationale").isNull())
-    approved = F.count_if("fmv_approved").cast("double") / n
+    return interactions.groupBy("hcp_id", "program_year").agg(F.count(F.lit(1)).alias("n"), F.count_if(meal).alias("meals"), F.sum(cost).alias("meal_cost"), F.count(cost).alias("meal_costs"), vague.alias("vague"), F.count_if("fmv_approved").alias("approved"))
+
+
+def merged_interactions(years: DataFrame, reps: DataFrame) -> DataFrame:
+    """An entity's interactions over its years. reps: rows (hcp_id, rep_id), repeats allowed."""
+    n, vague = F.sum("n"), F.sum("vague")
+    approved = F.sum("approved").cast("double") / n
     score = F.least(F.lit(100.0), F.least(F.lit(50.0), n.cast("double") / 100 * 50) + F.least(F.lit(30.0), (1 - approved) * 30) + F.least(F.lit(20.0), vague.cast("double") / n * 20))
-    return interactions.groupBy("hcp_id").agg(
-        n.alias("total_interactions"), F.count_if(meal).alias("total_meals"), F.avg(F.when(meal, F.col("meal_cost"))).alias("avg_meal_cost"), vague.alias("interactions_with_vague_rationale"),
-        approved.alias("fmv_compliance_rate"), F.count_distinct("rep_id").alias("unique_reps_interacted"), score.alias("interaction_frequency_score"),
-    )
+    rows = years.groupBy("hcp_id").agg(n.alias("total_interactions"), F.sum("meals").alias("total_meals"), (F.sum("meal_cost") / F.nullif(F.sum("meal_costs"), F.lit(0))).alias("avg_meal_cost"), vague.alias("interactions_with_vague_rationale"), approved.alias("fmv_compliance_rate"), score.alias("interaction_frequency_score"))
+    met = reps.groupBy(F.col("hcp_id").alias("_hcp")).agg(F.count_distinct("rep_id").alias("unique_reps_interacted"))
+    rows = rows.join(met, F.col("hcp_id").eqNullSafe(F.col("_hcp")), "left").drop("_hcp").fillna(0, ["unique_reps_interacted"])
+    return rows.select("hcp_id", "total_interactions", "total_meals", "avg_meal_cost", "interactions_with_vague_rationale", "fmv_compliance_rate", "unique_reps_interacted", "interaction_frequency_score")
 
 
 SEVERITIES = ("none", "low", "medium", "high")

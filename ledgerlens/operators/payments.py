@@ -114,7 +114,11 @@ def entity_spend(by_year: DataFrame, years: tuple[int, ...]) -> DataFrame:
 
 def rep_concentration(interactions: DataFrame) -> DataFrame:
     """Distinct representatives a year and the largest one's share: their mean and maximum over years."""
-    counts = interactions.where("rep_id is not null").groupBy("hcp_id", "program_year", "rep_id").agg(F.count(F.lit(1)).alias("n"))
+    return rep_years(interactions.where("rep_id is not null").groupBy("hcp_id", "program_year", "rep_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def rep_years(counts: DataFrame) -> DataFrame:
+    """rep_concentration() of interactions counted by entity, year and representative."""
     years = counts.groupBy("hcp_id", "program_year").agg(F.count(F.lit(1)).alias("reps"), (F.max("n").cast("double") / F.sum("n")).alias("top"))
     return years.groupBy("hcp_id").agg(F.avg("reps").alias("avg_unique_reps"), F.max("reps").alias("max_unique_reps"), F.max("top").alias("top_rep_concentration_pct"))
 
@@ -151,7 +155,12 @@ def zero_filled(df: DataFrame, keep_null: tuple[str, ...] = ()) -> DataFrame:
 
 def spend_mart(entities: DataFrame, target: DataFrame, interactions: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row for each entity, with zeros where it has no payments (growth stays null), and the spend risk."""
-    features = spend_features(entity_spend(entity_year_spend(classify_payments(target, cfg)), cfg.years), rep_concentration(interactions), cfg)
+    return spend_mart_of_years(entities, entity_year_spend(classify_payments(target, cfg)), rep_concentration(interactions), cfg)
+
+
+def spend_mart_of_years(entities: DataFrame, by_year: DataFrame, reps: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """spend_mart() of what each year's payments came to."""
+    features = spend_features(entity_spend(by_year, cfg.years), reps, cfg)
     rows = entities.select("hcp_id").distinct().join(features.withColumn("has_payments", F.lit(True)), "hcp_id", "left")
     rows = zero_filled(rows, tuple(c for c in rows.columns if c.startswith("yoy_growth")))
     return rows.withColumn("raw_spend_risk_score", spend_risk())

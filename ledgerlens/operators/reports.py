@@ -303,22 +303,22 @@ def reconcile(internal: DataFrame, reported: DataFrame) -> DataFrame:
 
 
 def reconcile_report(rows: DataFrame, largest: int = 3) -> DataFrame:
-    """By year: entities in each band of the gap, totals, the gap's mean, median, 95th percentile and maximum, and the largest gaps.
+    """By year: entities in each band of the gap, totals, the gap's mean, median, 95th percentile and maximum, and its largest entities.
 
-    largest_gaps: entities whose gap is at least 5 %, the largest first (ties by hcp_id), ``largest`` of them at most.
+    largest: the ``largest`` entities of the largest reported total (ties by hcp_id), each as hcp_id:gap in basis points.
     """
     rows = kept(rows)
     g = F.col("gap")
-    worst = F.struct((-g).alias("order"), "hcp_id", g.alias("gap"), "internal_total", "reported_total")
     report = rows.groupBy("program_year").agg(
         F.count_if(g < 0.01).alias("under_1"), F.count_if((g >= 0.01) & (g < 0.05)).alias("from_1_to_5"), F.count_if((g >= 0.05) & (g < 0.10)).alias("from_5_to_10"), F.count_if(g >= 0.10).alias("over_10"),
         F.sum("internal_total").alias("internal"), F.sum("reported_total").alias("reported"), F.avg(g).alias("mean_gap"), F.max(g).alias("max_gap"),
     )
     cuts = quantile_columns(rows, {"median_gap": ("gap", 0.5), "p95_gap": ("gap", 0.95)}, ["program_year"])
-    # Spark keeps ``largest`` rows of a year in each task before the shuffle (its window group limit)
-    some = top_n_per(rows.where(g >= 0.05).select("program_year", worst.alias("w")), "program_year", [F.col("w")], largest)
-    gaps = some.groupBy("program_year").agg(F.slice(F.array_sort(F.collect_list("w")), 1, largest).alias("w")).select("program_year", F.transform("w", lambda x: F.concat_ws(" ", x["hcp_id"], F.format_string("%.4f", x["gap"]))).alias("largest_gaps"))
-    return report.join(cuts, "program_year", "left").join(gaps, "program_year", "left").withColumn("largest_gaps", F.coalesce("largest_gaps", F.array().cast("array<string>")))
+    # Spark keeps so many rows of a year in each task before it exchanges them
+    top = top_n_per(rows.where("reported_total > 0"), "program_year", [F.desc("reported_total"), F.col("hcp_id")], largest)
+    named = F.concat("hcp_id", F.lit(":"), F.round(g * 10_000 * 1.0000000001).cast("long").cast("string"))
+    top = top.groupBy("program_year").agg(F.array_sort(F.collect_list(F.struct("place", named.alias("x")))).alias("t")).select("program_year", F.array_join(F.col("t.x"), " ").alias("largest"))
+    return report.join(cuts, "program_year", "left").join(top, "program_year", "left")
 
 
 def attribution_importance(df: DataFrame, columns: list[str], score: str | None = None, share: float = 0.01, key: str = "hcp_id") -> DataFrame:
@@ -389,6 +389,18 @@ def vs_population(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("direction", F.when(F.col("value") > F.col("mean"), "high").otherwise("low"))
 
 
+def all_pairs(*sources: tuple[DataFrame, str, str]) -> DataFrame:
+    """The distinct (hcp_id, program_year) of several tables, each named with its two columns; pairs with a null aren't any."""
+    pairs = [df.select(F.col(key).alias("hcp_id"), F.col(year).cast("long").alias("program_year")).distinct() for df, key, year in sources]
+    return reduce(DataFrame.unionByName, pairs).distinct().where("hcp_id is not null and program_year is not null")
+
+
+def rate_by(df: DataFrame, by: str, flags: list[str], sizes: list[str] = ()) -> DataFrame:
+    """By group: rows, the share of each flag (null counts as not set) and the mean of each size."""
+    rates = [F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"{c}_rate") for c in flags]
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *rates, *[F.avg(c).alias(f"mean_{c}") for c in sizes])
+
+
 def filter_options(df: DataFrame, columns: list[str]) -> DataFrame:
     """The distinct values of a few low-cardinality columns, sorted, in one row."""
     return df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns])

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import kept
+
+#: Rules that one part of a word's list holds, about.
+HOT = 4096
+
 #: Phrases by which an answer declines.
 REFUSALS = ("i cannot", "i can't", "not able to", "unable to", "no information", "does not contain", "not found in", "cannot determine", "insufficient information")
 #: Transitions after which a declining answer goes on regardless.
@@ -18,15 +26,22 @@ def words(col: Column) -> Column:
 
 
 def chunk_words(docs: DataFrame, size: int = 512, overlap: int = 64, key: str = "doc_id") -> DataFrame:
-    """Overlapping windows of words: chunk_id, first and last word, text. The last window is the first that reaches the end."""
+    """Overlapping windows of words: chunk_id, first and last word, number of words, text. The last window is the first that reaches the end.
+
+    Words are what stands between white space, so the text has single spaces whatever the document had. A document's
+    chunks are cut before they become rows: no row carries the words of the whole document.
+    """
     step = size - overlap
     rows = docs.select(key, words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0)
-    n = F.size("w")
-    last = F.greatest(F.lit(0), F.ceil((n - size) / F.lit(float(step)))).cast("int")
-    rows = rows.select(key, "w", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    first = F.col("i") * step
-    text = F.array_join(F.slice("w", first + 1, F.lit(size)), " ")
-    return rows.select(key, F.concat(F.col(key).cast("string"), F.lit("_chunk_"), F.lpad(F.col("i").cast("string"), 4, "0")).alias("chunk_id"), F.col("i").alias("chunk_index"), first.alias("first_word"), F.least(first + size, F.col("n")).alias("end_word"), text.alias("text"))
+    last = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / F.lit(float(step)))).cast("int")
+
+    def chunk(i: Column) -> Column:
+        first = i * step
+        return F.struct(i.alias("i"), first.alias("first"), F.least(first + size, F.size("w")).alias("end"), F.array_join(F.slice("w", first + 1, F.lit(size)), " ").alias("text"))
+
+    rows = rows.select(key, F.explode(F.transform(F.sequence(F.lit(0), last), chunk)).alias("c"))
+    number = F.lpad(F.col("c.i").cast("string"), 4, "0")
+    return rows.select(key, F.concat(F.col(key).cast("string"), F.lit("_chunk_"), number).alias("chunk_id"), F.col("c.i").alias("chunk_index"), F.col("c.first").alias("first_word"), F.col("c.end").alias("end_word"), (F.col("c.end") - F.col("c.first")).alias("word_count"), F.col("c.text").alias("text"))
 
 
 def tag_text(df: DataFrame, taxonomy: dict[str, tuple[str, ...]], text: str = "text") -> DataFrame:
@@ -99,6 +114,70 @@ def scope_checks(df: DataFrame, text: str, dimensions: dict[str, tuple[str, ...]
     return df.withColumns({f"names_{k}": low.rlike(r"(^|\W)(" + "|".join(ws) + r")(\W|$)") for k, ws in dimensions.items()})
 
 
+class TermTrie:
+    """Terms of several words each, found in texts by the longest match at each word."""
+
+    def __init__(self, terms: list[tuple[str, str, str]]):
+        self.root: dict = {}
+        for dimension, term, value in terms:
+            node = self.root
+            for word in term_words(term):
+                node = node.setdefault(word, {})
+            if node is not self.root:
+                node.setdefault(None, []).append((dimension, value))
+
+    def found(self, text: str) -> list[tuple[str, str]]:
+        words, out, at = term_words(text), [], 0
+        while at < len(words):
+            node, end, held = self.root, at, []
+            for k in range(at, len(words)):
+                node = node.get(words[k])
+                if node is None:
+                    break
+                if None in node:
+                    end, held = k + 1, node[None]
+            out += held
+            at = max(end, at + 1)
+        return out
+
+
+def term_words(text: str) -> list[str]:
+    return re.findall(r"\w+", text.lower())
+
+
+#: Terms that a trie is made of at most: every task holds them.
+MOST_TERMS = 200_000
+
+
+def scope_gaps(df: DataFrame, terms: DataFrame, rules: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, mismatched, unsupported): what a question names and the rules don't have, each a sorted list of dimension:value.
+
+    terms: dimension, term (one word or several), value. rules: dimension, value of the rules that were retrieved. A value that is named, of a
+    dimension the rules do have, but under no rule, is mismatched; of a dimension that no rule has, unsupported. Of
+    terms that overlap the longest counts (``west virginia`` isn't ``virginia``); a null text names nothing.
+    """
+    found = [tuple(r) for r in terms.select("dimension", "term", "value").where("term is not null").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    of = sorted(found)
+
+    @F.pandas_udf("array<struct<dimension string, value string>>")
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trie = TermTrie(of)
+        for texts in batches:
+            yield pd.Series([[{"dimension": d, "value": v} for d, v in sorted(set(trie.found(t)))] if isinstance(t, str) else [] for t in texts], index=texts.index)
+
+    rows = df.select(*key, named(F.col(text)).alias("named"))
+    has = rules.groupBy("dimension").agg(F.collect_set("value").alias("values")).agg(F.map_from_entries(F.collect_list(F.struct("dimension", "values"))).alias("has"))  # the rules' few dimensions
+    rows = rows.crossJoin(F.broadcast(has))  # one row
+
+    def listed(keep) -> Column:
+        return F.transform(F.filter("named", keep), lambda x: F.concat(x["dimension"], F.lit(":"), x["value"]))
+
+    known = lambda x: F.map_contains_key("has", x["dimension"])
+    return rows.select(*key, listed(lambda x: known(x) & ~F.array_contains(F.element_at("has", x["dimension"]), x["value"])).alias("mismatched"), listed(lambda x: ~known(x)).alias("unsupported"))
+
+
 def answer_confidence(df: DataFrame) -> DataFrame:
     """Both sources high, one medium, none low; a scope warning caps it at medium; without grounds it is low."""
     n = F.col("has_rules").cast("int") + F.col("has_policy").cast("int")
@@ -121,12 +200,20 @@ def assemble_contexts(df: DataFrame, sources: dict[str, str]) -> DataFrame:
 
 
 def lookup_rules(queries: DataFrame, rules: DataFrame, k: int = 5) -> DataFrame:
-    """Rules by the number of distinct words they share with a query, through an inverted list of words.
+    """Rules by the number of distinct words they share with a query.
 
-    A rule's text may stand on any number of rows: its words are made distinct by Spark, not within a row.
+    A rule's text may stand on any number of rows: its words are made distinct by Spark, not within a row. Each side's words
+    become numbers of a dictionary, rare words first; words of one side only are nobody's partner. A word of more than HOT
+    rules is dealt into parts, and each of its queries meets every part, so that no task holds a word's rows alone; what
+    one task then sums for a (query, rule) goes on as a partial count.
     """
     def tokens(df: DataFrame, key: str) -> DataFrame:
         return df.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), r"\W+"), lambda w: w != ""))).alias("token")).distinct()
 
-    hits = tokens(queries, "query_id").join(tokens(rules, "rule_id"), "token").groupBy("query_id", "rule_id").agg(F.count(F.lit(1)).alias("score"))
+    asked, held = kept(tokens(queries, "query_id")), kept(tokens(rules, "rule_id"))
+    counts = held.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts"))
+    counts = kept(counts)
+    held = held.join(counts, "token").select("rule_id", "token", F.pmod(F.xxhash64("rule_id"), F.col("parts")).cast("int").alias("part"))
+    asked = asked.join(counts, "token").select("query_id", "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    hits = asked.join(held, ["token", "part"]).groupBy("query_id", "rule_id").agg(F.count(F.lit(1)).alias("score"))
     return hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rule_id"))).where(F.col("place") <= k)

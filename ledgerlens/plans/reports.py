@@ -127,9 +127,10 @@ def pearson_importance(spark, sf_dir):
     return R.pearson_importance(marts.profile(spark, sf_dir), IMPORTANT, "combined_raw_risk_score")
 
 
-@query(sql("SELECT * EXCLUDE (m), m / sum(m) OVER () * 100 AS pct_of_total, m AS mean_abs FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(abs({c})) AS m FROM profile" for c in IMPORTANT) + ")", doubles="mean_abs pct_of_total", **steps("profile")))
+@query(sql("SELECT * EXCLUDE (m), m / sum(m) OVER () * 100 AS pct_of_total, m AS mean_abs FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(abs({c})) AS m, avg(CASE WHEN i <= ceil(n * 0.01) THEN abs({c}) END) AS mean_abs_top FROM placed" for c in IMPORTANT) + ")", doubles="mean_abs mean_abs_top pct_of_total", **steps("profile", placed="SELECT *, row_number() OVER (ORDER BY combined_raw_risk_score DESC, hcp_id) AS i, count(*) OVER () AS n FROM profile")))
 def attribution_importance(spark, sf_dir):
-    return R.attribution_importance(marts.profile(spark, sf_dir), IMPORTANT)
+    """The features in place of attributions, the heuristic score in place of the model's."""
+    return R.attribution_importance(marts.profile(spark, sf_dir), IMPORTANT, "combined_raw_risk_score")
 
 
 PAIRS = " UNION ALL ".join(f"SELECT '{min(a, b)}' AS flag_a, '{max(a, b)}' AS flag_b, count(*) FILTER (WHERE {a} AND {b}) AS n FROM flags" for i, a in enumerate(FLAGS) for b in FLAGS[i + 1 :])
@@ -234,7 +235,7 @@ def reconciliation(spark, sf_dir):
     return reconciled(spark, sf_dir)
 
 
-@query(sql("SELECT program_year, count(*) FILTER (WHERE gap < 0.01) AS under_1, count(*) FILTER (WHERE gap >= 0.01 AND gap < 0.05) AS from_1_to_5, count(*) FILTER (WHERE gap >= 0.05 AND gap < 0.1) AS from_5_to_10, count(*) FILTER (WHERE gap >= 0.1) AS over_10, sum(internal_total) AS internal, sum(reported_total) AS reported, avg(gap) AS mean_gap, quantile_cont(gap, 0.5) AS median_gap, quantile_cont(gap, 0.95) AS p95_gap, max(gap) AS max_gap FROM reconciled GROUP BY program_year", doubles="internal reported mean_gap median_gap p95_gap max_gap", **steps("target", internal=INTERNAL, reconciled=RECONCILED)))
+@query(sql("SELECT program_year, count(*) FILTER (WHERE gap < 0.01) AS under_1, count(*) FILTER (WHERE gap >= 0.01 AND gap < 0.05) AS from_1_to_5, count(*) FILTER (WHERE gap >= 0.05 AND gap < 0.1) AS from_5_to_10, count(*) FILTER (WHERE gap >= 0.1) AS over_10, sum(internal_total) AS internal, sum(reported_total) AS reported, avg(gap) AS mean_gap, quantile_cont(gap, 0.5) AS median_gap, quantile_cont(gap, 0.95) AS p95_gap, max(gap) AS max_gap, any_value(largest) AS largest FROM reconciled LEFT JOIN (SELECT program_year, string_agg(concat(hcp_id, ':', CAST(CAST(round(gap * 10000 * 1.0000000001::DOUBLE) AS BIGINT) AS VARCHAR)), ' ' ORDER BY k) AS largest FROM (SELECT *, row_number() OVER (PARTITION BY program_year ORDER BY reported_total DESC, hcp_id) AS k FROM reconciled WHERE reported_total > 0) WHERE k <= 3 GROUP BY program_year) USING (program_year) GROUP BY program_year", doubles="internal reported mean_gap median_gap p95_gap max_gap", **steps("target", internal=INTERNAL, reconciled=RECONCILED)))
 def reconciliation_report(spark, sf_dir):
     return R.reconcile_report(reconciled(spark, sf_dir))
 

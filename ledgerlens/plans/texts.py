@@ -14,7 +14,7 @@ W = "[x for x in string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+')
 CHUNKS = f"WITH d AS (SELECT doc_id, {W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 512) / 448.0)) AS INTEGER) + 1)) AS i FROM d WHERE len(w) > 0)"
 
 
-@query(CHUNKS + " SELECT doc_id, concat(CAST(doc_id AS VARCHAR), '_chunk_', lpad(CAST(i AS VARCHAR), 4, '0')) AS chunk_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 448 AS INTEGER) AS first_word, CAST(least(i * 448 + 512, len(w)) AS INTEGER) AS end_word, md5(array_to_string(w[i * 448 + 1:i * 448 + 512], ' ')) AS text_md5 FROM c")
+@query(CHUNKS + " SELECT doc_id, concat(CAST(doc_id AS VARCHAR), '_chunk_', lpad(CAST(i AS VARCHAR), 4, '0')) AS chunk_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 448 AS INTEGER) AS first_word, CAST(least(i * 448 + 512, len(w)) AS INTEGER) AS end_word, CAST(least(i * 448 + 512, len(w)) - i * 448 AS INTEGER) AS word_count, md5(array_to_string(w[i * 448 + 1:i * 448 + 512], ' ')) AS text_md5 FROM c")
 def document_chunks(spark, sf_dir):
     return T.chunk_words(view(spark, sf_dir, "documents")).withColumn("text_md5", F.md5("text")).drop("text")
 

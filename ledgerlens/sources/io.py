@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
+
+from .years import YearTable
 
 PAYMENT_SCHEMA = "record_id string, profile_id string, recipient_type string, specialty string, state string, company_raw string, payment_amount string, payment_date string, nature_of_payment string"
 
@@ -29,20 +30,21 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def _years_there(spark: SparkSession, path: str) -> set[int]:
-    try:
-        return {r[0] for r in spark.read.parquet(path).select("program_year").distinct().collect()}  # a row a year
-    except AnalysisException:
-        return set()
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def ingest_years(spark: SparkSession, source: DataFrame, path: str, years: list[int], company_pattern: str | None = None) -> list[int]:
-    """Writes the years that path doesn't have yet, one partition each, only rows of the company; gives those written."""
-    missing = sorted(set(years) - _years_there(spark, path))
+    """Writes the years that path doesn't have yet, one partition each, only rows of the company; gives those written.
+
+    A year appears whole: what a run that ended early left of it is written anew (see YearTable).
+    """
+    table = YearTable(spark, path)
+    table.recover()
+    missing = sorted(set(years) - table.years())
     if missing:
-        rows = source.where(F.col("program_year").isin(missing))
-        rows = rows.where(F.lower("company_raw").contains(company_pattern.lower())) if company_pattern else rows
-        rows.write.mode("append").partitionBy("program_year").parquet(path)
+        table.publish(source.where(F.lower("company_raw").contains(company_pattern.lower())) if company_pattern else source, missing)
     return missing
 
 
@@ -66,10 +68,7 @@ def register_views(spark: SparkSession, folder: str, names: list[str]) -> None:
 
 def optional_source(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """The table at path, or an empty one of the schema if there is none."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_summary(df: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from ledgerlens.plans.registry import ORACLE_SQL, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 #: A query of each kind; all of them with ALL_QUERIES=1.
-SOME = "staged_payments population_payments company_match_fan_out spend_mart event_features risk_profile benchmark_ratios benchmark_classes peer_statistics full_priority event_matrix rule_flags risk_scores global_percentile interaction_violations event_violations violation_ground_truth flag_patterns systemic_issues two_hop reconciliation_report ranking_metrics topk_evaluation evaluation_summary document_chunks cosine_top_k keyword_lookup copod local_outlier_factor quality_checks".split()
+SOME = "threshold_evaluation top_states question_scopes policy_chunks event_flag_rates competitor_availability entity_year_pairs company_against_industry stored_spend_mart attribution_importance model_comparison peer_benchmark staged_payments population_payments company_match_fan_out spend_mart event_features risk_profile benchmark_ratios benchmark_classes peer_statistics full_priority event_matrix rule_flags risk_scores global_percentile interaction_violations event_violations violation_ground_truth flag_patterns systemic_issues two_hop reconciliation_report ranking_metrics topk_evaluation evaluation_summary document_chunks cosine_top_k keyword_lookup copod local_outlier_factor quality_checks".split()
 
 
 def plain(x):
