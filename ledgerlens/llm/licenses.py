@@ -144,6 +144,9 @@ class Scanner:
             for w in self.texts[k]:
                 state = self.automaton.next[state][number[w]]
             self.phrase_state[k] = state
+        #: Words of the shortest run that may hold a phrase or a match.
+        self.least = 1 if any(len(t) == 1 for t in self.texts[: self.phrases]) else 2
+        self.known: dict[int, tuple[int, list[tuple[int, int]]]] = {}
         #: A phrase ends wherever its own state is the match's state or a suffix link of it.
         self.phrase_at = []
         for s in range(len(self.automaton.link)):
@@ -164,7 +167,7 @@ class Scanner:
         starts, ends, _ = spans(inside, np.array([0, len(ids)]))
         places, ended = [], []
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            if b - a < 2:
+            if b - a < self.least:
                 continue
             before = (0, 0)
             for i, (state, length) in enumerate(self.automaton.statistics(ids[a:b].tolist()), a):
@@ -177,14 +180,21 @@ class Scanner:
             ended.append((b - 1, *before))
         return places, self.chains([e for e in ended if e[2] >= 2])
 
+    def ends_of(self, state: int) -> tuple[int, list[tuple[int, int]]]:
+        """(words that a match must have for any of them, (template, end) of the state's passages in order)."""
+        if state not in self.known:
+            ends = sorted(x for x in self.automaton.ends[state] if x[0] >= self.phrases)
+            self.known[state] = (min((min(LONG, len(self.texts[k])) for k, _ in ends), default=1 << 30), ends)
+        return self.known[state]
+
     def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """matches: (last word, state, length), maximal to the right, in the text's order."""
         open_: dict[int, list[list[int]]] = {}
         closed: list[tuple[int, int, int, int]] = []
         for last, state, length in matches:
-            for k, end in sorted(self.automaton.ends[state]):
-                size = len(self.texts[k])
-                if k < self.phrases or length < min(LONG, size):
+            least, ends = self.ends_of(state)
+            for k, end in ends if length >= least else ():
+                if length < min(LONG, len(self.texts[k])):
                     continue
                 first, start = last - length + 1, end - length + 1
                 for chain in open_.setdefault(k, []):
@@ -222,11 +232,12 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             data = lowered(data)
             starts, ends, first = spans(_LETTER[data], offsets)
             ids = scanner.ids(span_hash(prefix_hash(byte_values(data)), starts, ends))
-            pair = np.zeros(len(ids) + 1, np.int64)
-            pair[1:-1] = np.cumsum((ids[1:] >= 0) & (ids[:-1] >= 0)) if len(ids) else 0
+            # how many runs of the least length begin before each word
+            known = ids >= 0
+            pair = np.concatenate([[0], np.cumsum(known if scanner.least == 1 else known[1:] & known[:-1])])
             out: list[tuple] = []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                places, found = scanner.scan(ids[a:b]) if b - a > 1 and pair[b - 1] > pair[a] else ([], [])
+                places, found = scanner.scan(ids[a:b]) if b - a >= scanner.least and pair[b - scanner.least + 1] > pair[a] else ([], [])
                 base = sorted({scanner.names[k] for k, _ in places})
                 at = [i for _, i in places]
                 score = 1.0 if places else max((x[3] for x in found), default=0.0)
