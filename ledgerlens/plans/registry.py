@@ -30,5 +30,5 @@ def query(sql: str | None = None, places: int = 4) -> Callable:
     return add
 
 
-for _name in ("marts", "benchmarks", "scoring", "records", "reports", "texts", "models", "peers", "scopes"):
+for _name in ("marts", "benchmarks", "scoring", "records", "reports", "texts", "models", "peers", "scopes", "files"):
     import_module(f"ledgerlens.plans.{_name}")
