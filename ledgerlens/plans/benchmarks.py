@@ -18,10 +18,9 @@ INDUSTRY = "SELECT hcp_id, max(specialty) AS specialty, " + ", ".join(f"sum(CASE
 COMPETITORS = "SELECT hcp_id, max(specialty) AS specialty, " + ", ".join(f"sum(CASE WHEN program_year = {y} THEN payment_amount ELSE 0 END) AS competitor_spend_{y}" for y in YEARS) + ", sum(payment_amount) AS competitor_spend_3yr, count(DISTINCT company_name) AS competitor_company_count FROM staged WHERE is_competitor GROUP BY hcp_id"
 
 
-def base(spark, sf_dir, payments=None):
-    spent = kept(marts.spend(spark, sf_dir, payments))  # read by the profile, and here
-    spend = spent.select("hcp_id", *[f"spend_{y}" for y in YEARS])
-    return marts.profile(spark, sf_dir, spent).select("hcp_id", "specialty", "state", "meal_breach_rate", "combined_raw_risk_score").join(spend, "hcp_id")
+def base(spark, sf_dir):
+    spend = marts.spend(spark, sf_dir).select("hcp_id", *[f"spend_{y}" for y in YEARS])
+    return marts.profile(spark, sf_dir).select("hcp_id", "specialty", "state", "meal_breach_rate", "combined_raw_risk_score").join(spend, "hcp_id")
 
 
 def industry(spark, sf_dir, payments=None):
@@ -67,8 +66,8 @@ BENCH_DOUBLES = f"spend_3yr rank_{Y1} rank_{Y2} rank_{Y3} rank_3yr rank_state ra
 
 
 def bench(spark, sf_dir):
-    staged = kept(marts.staged(spark, sf_dir))  # read by all three
-    return B.benchmark(base(spark, sf_dir, staged), industry(spark, sf_dir, staged), competitors(spark, sf_dir, staged), C, exact=True)
+    staged = kept(marts.staged(spark, sf_dir))  # read by both
+    return B.benchmark(base(spark, sf_dir), industry(spark, sf_dir, staged), competitors(spark, sf_dir, staged), C, exact=True)
 
 
 @query(sql(f"SELECT {SHOWN.replace(' ', ', ')} FROM ratios", doubles=BENCH_DOUBLES, **ALL))

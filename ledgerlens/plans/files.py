@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ RAW = "record_id profile_id recipient_type specialty state company_raw payment_a
 
 
 def folder(spark, name):
-    return f"{io.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{io.own_folder(spark, name)}/{name}"
 
 
 @query(sql(f"SELECT {', '.join(RAW)} FROM payments_raw", doubles="payment_amount"))

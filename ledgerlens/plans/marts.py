@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import payments as P
+from ..operators.feature_store import FeatureStore
+from ..sources.io import exists, own_folder
 from .fixtures import CONFIG as C
 from .fixtures import sql, view
 from .registry import query
@@ -23,20 +25,52 @@ def staged(spark, sf_dir):
     return P.stage_payments(view(spark, sf_dir, "payments_raw"), view(spark, sf_dir, "company_map"), C)
 
 
-def target(spark, sf_dir, payments=None):
-    return P.target_payments(payments or staged(spark, sf_dir))
+def target(spark, sf_dir):
+    return P.target_payments(staged(spark, sf_dir))
 
 
-def spend(spark, sf_dir, payments=None):
-    return P.spend_mart(view(spark, sf_dir, "master"), target(spark, sf_dir, payments), view(spark, sf_dir, "interactions"), C)
+#: Folder of the feature store of each (application, folder of tables).
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf_dir):
+    """(spend mart, risk profile) of the application's feature store over these tables.
+
+    The first query that asks brings the store up to date and writes both marts; those after it read them. The views hold
+    payments of the configured years only. The queries spend_mart and risk_profile don't read it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    root = _STORES.get(key)
+    if not root or not exists(spark, f"{root}/profile/_SUCCESS"):
+        root = own_folder(spark, "features")
+        store = FeatureStore(spark, root, C)
+        master, met = view(spark, sf_dir, "master"), view(spark, sf_dir, "interactions")
+        store.update(target(spark, sf_dir), met, sorted({r[0] for r in met.select("program_year").distinct().collect()} | set(C.years)))  # a row a year
+        store.spend_mart(master).write.parquet(f"{root}/spend")
+        events = E.entity_events(features_of_events(spark, sf_dir))
+        E.risk_profile(master, spark.read.parquet(f"{root}/spend"), events, store.entity_interactions()).write.parquet(f"{root}/profile")
+        _STORES[key] = root
+    return spark.read.parquet(f"{root}/spend"), spark.read.parquet(f"{root}/profile")
+
+
+def spend(spark, sf_dir):
+    return stored(spark, sf_dir)[0]
+
+
+def profile(spark, sf_dir):
+    return stored(spark, sf_dir)[1]
+
+
+def direct_spend(spark, sf_dir):
+    return P.spend_mart(view(spark, sf_dir, "master"), target(spark, sf_dir), view(spark, sf_dir, "interactions"), C)
 
 
 def features_of_events(spark, sf_dir):
     return E.event_features(view(spark, sf_dir, "speaker_events"), view(spark, sf_dir, "attendees"), C)
 
 
-def profile(spark, sf_dir, spent=None):
-    return E.risk_profile(view(spark, sf_dir, "master"), spent or spend(spark, sf_dir), E.entity_events(features_of_events(spark, sf_dir)), E.entity_interactions(view(spark, sf_dir, "interactions"), C))
+def direct_profile(spark, sf_dir):
+    return E.risk_profile(view(spark, sf_dir, "master"), direct_spend(spark, sf_dir), E.entity_events(features_of_events(spark, sf_dir)), E.entity_interactions(view(spark, sf_dir, "interactions"), C))
 
 
 @query(sql("SELECT * FROM staged", doubles="payment_amount", **steps("staged")))
@@ -88,7 +122,7 @@ def rep_concentration(spark, sf_dir):
 
 @query(sql("SELECT * FROM spend", doubles=SPEND_DOUBLES, **steps("spend")))
 def spend_mart(spark, sf_dir):
-    return spend(spark, sf_dir)
+    return direct_spend(spark, sf_dir)
 
 
 @query(sql("SELECT * FROM attended", doubles="attendees_signed_pct", **steps("attended")))
@@ -121,7 +155,7 @@ PROFILE_COLUMNS = "hcp_id specialty state fmv_tier is_kol lifetime_total_spend p
 
 @query(sql(f"SELECT {PROFILE_COLUMNS.replace(' ', ', ')} FROM profile", doubles=PROFILE_DOUBLES, **steps("profile")))
 def risk_profile(spark, sf_dir):
-    return profile(spark, sf_dir).select(*PROFILE_COLUMNS.split())
+    return direct_profile(spark, sf_dir).select(*PROFILE_COLUMNS.split())
 
 
 @query(sql("SELECT count(*) FILTER (WHERE has_payments) AS matched, count(*) FILTER (WHERE NOT has_payments) AS unmatched FROM spend", **steps("spend")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import benchmarks as B
@@ -13,7 +11,7 @@ from ..operators import scoring as S
 from ..operators import texts as T
 from ..operators.events import entity_labels
 from ..operators.feature_store import FeatureStore
-from ..sources.io import shared_folder
+from ..sources.io import own_folder
 from . import marts, records
 from .fixtures import CONFIG as C
 from .fixtures import sql, view
@@ -118,7 +116,7 @@ def stored_spend_mart(spark, sf_dir):
     """The spend mart from a feature store that was brought up to date twice: years but the last, then the last."""
     target, met = marts.target(spark, sf_dir), view(spark, sf_dir, "interactions")
     years = sorted({r[0] for df in (target, met) for r in df.select("program_year").distinct().collect()} | set(C.years))  # a row a year
-    store = FeatureStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", C)
+    store = FeatureStore(spark, own_folder(spark, "store"), C)
     store.update(target, met, years[:-1])
     store.update(target, met, years)
     return store.spend_mart(view(spark, sf_dir, "master"))

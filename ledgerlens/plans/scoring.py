@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
-from ..sources.io import kept
 from . import benchmarks, marts
 from .fixtures import CONFIG as C
 from .fixtures import sql
@@ -58,28 +57,24 @@ def matrix(spark, sf_dir):
     return S.event_matrix(marts.features_of_events(spark, sf_dir))
 
 
-def flags(spark, sf_dir, spent=None, profiled=None):
-    """spent, profiled: the written marts, where the caller has them."""
+def flags(spark, sf_dir):
     from ..operators.benchmarks import peer_ranks
 
-    spend = spent or kept(marts.spend(spark, sf_dir))
-    profile = profiled or kept(marts.profile(spark, sf_dir, spend))
+    spend, profile = marts.stored(spark, sf_dir)
     rows = S.merge_all(profile.drop("pct_events_over_fmv"), spend, matrix(spark, sf_dir))
     by_year = profile.select("hcp_id", "specialty").join(spend.select("hcp_id", *[f"spend_{y}" for y in C.years]), "hcp_id")
     ranks = peer_ranks(by_year, {f"r{i}": (("specialty",), f"spend_{y}") for i, y in enumerate(C.years, 1)})
     return S.apply_rules(rows.join(ranks.select("hcp_id", ((F.col("r2") > F.col("r1")) & (F.col("r3") > F.col("r2"))).alias("escalating_rank")), "hcp_id"), C)
 
 
-def summary(spark, sf_dir, spent=None, profiled=None):
-    return S.flag_summary(flags(spark, sf_dir, spent, profiled), C)
+def summary(spark, sf_dir):
+    return S.flag_summary(flags(spark, sf_dir), C)
 
 
 def scores(spark, sf_dir):
-    """Risk scores with the scaled heuristic score in the anomaly score's place. The marts are written once, and read by all parts."""
-    spend = kept(marts.spend(spark, sf_dir))
-    profile = kept(marts.profile(spark, sf_dir, spend))
-    anomalies = S.minmax_100(profile.select("hcp_id", "combined_raw_risk_score"), "combined_raw_risk_score", "anomaly_score")
-    return S.risk_scores(summary(spark, sf_dir, spend, profile), anomalies)
+    """Risk scores with the scaled heuristic score in the anomaly score's place."""
+    anomalies = S.minmax_100(marts.profile(spark, sf_dir).select("hcp_id", "combined_raw_risk_score"), "combined_raw_risk_score", "anomaly_score")
+    return S.risk_scores(summary(spark, sf_dir), anomalies)
 
 
 @query(sql("SELECT * FROM matrix", doubles=MATRIX_DOUBLES, **steps("event_features", matrix=MATRIX)))

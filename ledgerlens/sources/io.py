@@ -94,9 +94,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path within the shared one; the driver deletes it when it ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df as a table of the shared folder: what reads it several times computes it once, and an executor lost later costs nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark, 'kept')}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
