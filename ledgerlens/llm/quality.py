@@ -10,7 +10,7 @@ their doc_id (16,000 by default, in one task); every text is scored whole.
 Defined results: a null text counts as empty; a text without features gets the score of the intercept; a null label or
 a label without its document isn't learned from; with labels of one class only, or none, each score is the share of
 label 1 with one row added to either class; a null doc_id counts as held out; repeated rows get a row each, and of a doc_id
-on several rows the least text is learned from. doc_ids may be of any type. Empty tables give an empty table; texts are
+on several rows one text, that of the least hash, is learned from. doc_ids may be of any type. Empty tables give an empty table; texts are
 handled about a megabyte at a time, a longer one alone; further columns, whatever their names, are ignored by scores and
 kept by keep_good().
 """
@@ -152,19 +152,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> byt
     chosen = chosen.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).withColumn("place", F.xxhash64("doc_id")).drop("doc_id")
+    rows = rows.select(F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("which"), "text", "quality")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, found, order = [], [], []
         for part in chunks(batches):
             kept += list(features(part))
             found += part.column("quality").to_pylist()
-            order += part.column("place").to_pylist()
-        by = np.argsort(np.array(order, np.int64), kind="stable").tolist()
+            order += zip(part.column("place").to_pylist(), part.column("which").to_pylist(), strict=True)
+        by = sorted(range(len(order)), key=order.__getitem__)
+        by = [i for k, i in enumerate(by) if not k or order[i][0] != order[by[k - 1]][0]]  # one row a doc_id
         model = Model.fit([kept[i] for i in by], np.array([found[i] for i in by], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], names=["model"])
 
-    found = rows.select("place", "text", "quality").repartition(1).sortWithinPartitions("place").mapInArrow(fit, "model binary").first()
+    found = rows.repartition(1).mapInArrow(fit, "model binary").first()
     return bytes(found.model) if found else Model.constant(np.zeros(0)).packed()  # no task runs for no rows
 
 
