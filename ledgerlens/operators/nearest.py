@@ -33,22 +33,32 @@ def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def nearest(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k: int, most: np.ndarray | None = None) -> pa.Table:
-    """The k nearest of v for each row of q other than itself (ties to the smaller id), no farther than ``most``."""
+    """The k nearest of v for each row of q other than itself (ties to the smaller id), no farther than ``most``.
+
+    A product of matrices tells which may be among them, with room for its rounding; their distances are then taken exactly.
+    """
     rows, found, far = [], [], []
+    size = (v * v).sum(axis=1)
     for at in range(0, len(q), 256):
-        d = distances(q[at : at + 256], v)
-        d[q_id[at : at + 256, None] == v_id[None]] = np.inf
-        bound = np.full(len(d), np.inf) if most is None else most[at : at + 256]
+        some = q[at : at + 256]
+        own = (some * some).sum(axis=1)[:, None]
+        rough = own + size[None] - 2 * (some @ v.T)
+        room = 1e-13 * (own[:, 0] + size.max(initial=0.0)) * max(1, q.shape[1])
+        rough[q_id[at : at + 256, None] == v_id[None]] = np.inf
+        bound = np.full(len(some), np.inf) if most is None else most[at : at + 256] ** 2
         if len(v) > k:
-            bound = np.minimum(bound, np.partition(d, k - 1, axis=1)[:, k - 1])
-        i, j = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
-        order = np.lexsort((v_id[j], d[i, j], i))
-        i, j = i[order], j[order]
+            bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero((rough <= (bound + 2 * room)[:, None]) & np.isfinite(rough))
+        d = np.sqrt(((some[i] - v[j]) ** 2).sum(axis=1))
+        if most is not None:
+            near = d <= most[at + i]
+            i, j, d = i[near], j[near], d[near]
+        order = np.lexsort((v_id[j], d, i))
+        i, j, d = i[order], j[order], d[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
-        i, j = i[place < k], j[place < k]
-        rows.append(q_id[at + i])
-        found.append(v_id[j])
-        far.append(d[i, j])
+        rows.append(q_id[at + i[place < k]])
+        found.append(v_id[j[place < k]])
+        far.append(d[place < k])
     return pa.table({"query_id": pa.array(np.concatenate(rows or [np.zeros(0, np.int64)]), pa.int64()), "vec_id": pa.array(np.concatenate(found or [np.zeros(0, np.int64)]), pa.int64()), "distance": pa.array(np.concatenate(far or [np.zeros(0)]), pa.float64())})
 
 
@@ -84,14 +94,19 @@ class Neighbours:
             ids, v = rows.column("vec_id").to_numpy(), matrix(rows.column("embedding").combine_chunks())
             return nearest(ids, v, ids, v, k)
 
-        self.own = kept(self.rows.groupBy("cell", "part").applyInArrow(within, FOUND))
+        self.own = kept(self.dealt(self.rows, ["cell", "part"]).groupBy("cell", "part").applyInArrow(within, FOUND))
         self.visits = kept(self._routed(chosen))
 
+    def dealt(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """By the keys to a number of partitions that stays: blocks are few bytes and much work, so small ones aren't put together."""
+        n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return rows.repartition(n, *keys)
+
     def _routed(self, chosen: np.ndarray) -> DataFrame:
         """(cell, part, query_id, q, bound) for each block that a row has to visit besides its own."""
         k, blocks = self.k, self.blocks
         bounds = self.own.groupBy("query_id").agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "bound")
-        rows = self.rows.join(bounds, "vec_id", "left")
+        rows = self.dealt(self.rows.join(bounds, "vec_id", "left"), ["vec_id"])
         cell, part, least, most, size = (blocks[c].to_numpy() for c in ("cell", "part", "least", "most", "n"))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +149,9 @@ class Neighbours:
             return nearest(queries.column("query_id").to_numpy(), matrix(queries.column("q").combine_chunks()), rows.column("vec_id").to_numpy(), matrix(rows.column("embedding").combine_chunks()), k, queries.column("bound").to_numpy())
 
         keys = ["cell", "part", "deal"]
-        other = asked.select(*keys, "query_id", "q", "bound").groupBy(*keys).cogroup(held.select(*[F.col(c).alias(f"_{c}") for c in keys], "vec_id", "embedding").groupBy(*[f"_{c}" for c in keys])).applyInArrow(meet, FOUND)
+        asked = self.dealt(asked.select(*keys, "query_id", "q", "bound"), keys)
+        held = self.dealt(held.select(*[F.col(c).alias(f"_{c}") for c in keys], "vec_id", "embedding"), [f"_{c}" for c in keys])
+        other = asked.groupBy(*keys).cogroup(held.groupBy(*[f"_{c}" for c in keys])).applyInArrow(meet, FOUND)
         return best_of(self.own.unionByName(other), "query_id", [F.col("distance"), F.col("vec_id")], k, "rank")
 
 
