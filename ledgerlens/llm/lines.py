@@ -1,11 +1,13 @@
 """Operator 5: fuzzy line dedup.
 
 A line's words (runs of letters, digits and bytes beyond ASCII, A-Z in lower case) joined by one space are its normal
-form. Lines of one normal form are one class, whatever their length. A class's SimHash has 512 bits, the majority
-of the hashes of its words (each counted twice at most): 16 pigeonhole blocks of 24 bits and 88 check bits. Two lines
-that differ in 15 bits or fewer agree in a block, and those that differ in more do so less and less often. Classes that
-agree in a block, differ in CHECKED of the check bits at most and aren't too unlike in length are candidates; the edit
-similarity of their normal forms (0.8 or more) decides. Of each connected group one occurrence stays: the one of the least (doc_id, text's hash, place).
+form. Lines of one normal form are one class, whatever their length. A class's SimHash has pigeonhole blocks of 24 bits:
+each block is the majority of the hashes of those PER_BLOCK features of the line that the block's own hash puts first, so
+an edit leaves the blocks whole whose features it doesn't touch. Features are the distinct words; lines of few
+characters, in which one edit touches a large share of the words, have most blocks from their runs of GRAM bytes. 128
+check bits are the majority of the hashes of all words, each counted twice at most. Classes that agree in a block,
+differ in few check bits and aren't too unlike in length are candidates; the edit similarity of their normal forms (0.8
+or more) decides. Of each connected group one occurrence stays: the one of the least (doc_id, text's hash, place).
 
 Texts travel only for classes that have a candidate. The classes that candidates connect are verified together; where
 they are more than TOGETHER, they are dealt into parts, and every two parts are verified together, so no task holds
@@ -36,10 +38,16 @@ from .components import components
 from .simhash import whole_groups
 
 SIMILARITY = 0.8
-#: 64-bit words of a line's SimHash; its blocks of bits; the check bits in which candidates may differ, of 88; the bits
-#: in which linked lines may differ, of 512 (lines that share 0.78 of their words differ in so many). BLOCK_BITS sets how many unlike lines meet: of N classes,
-#: each meets BLOCKS * N / 2 ** BLOCK_BITS others by chance, which the check bits then part.
-WORDS, BLOCKS, BLOCK_BITS, CHECKED, RADIUS = 8, 16, 24, 22, 110
+#: 64-bit words of a SimHash's check bits; bits of a block; features of a block; bytes of a feature of short lines.
+WORDS, BLOCK_BITS, PER_BLOCK, GRAM = 2, 24, 5, 3
+#: Blocks of words in a line; of a short line, and its blocks of runs of bytes. A block's bits are 3 bytes of SLOTS.
+LONG, OF_WORDS, OF_BYTES = 12, 4, 12
+SLOTS = OF_WORDS + OF_BYTES
+BLOCK_BYTES = SLOTS * BLOCK_BITS // 8
+#: Lines whose length is at most this many steps of a quarter (108 characters) are short.
+SHORT = 20
+#: Bits in which candidates may differ, of the 88 check bits beside a block, and linked lines, of 128; each for long lines, and where one is short.
+CHECKED, RADIUS = (22, 30), (34, 48)
 #: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
 TOGETHER, FEW = 2048, 1_000_000
 #: Words whose bits are counted together, and the binary digits of their number.
@@ -47,6 +55,41 @@ RUN, PLANES = 255, 8
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
 
 
+def steps(length: np.ndarray) -> np.ndarray:
+    """Lengths in steps of a quarter: lines of 0.8 of each other's length are one step apart at most."""
+    return np.floor(np.log(np.maximum(length, 1)) / np.log(1.25)).astype(np.int64)
+
+
+def once(line: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (line, 40 bits of the feature's hash), in order."""
+    x = np.sort(line.astype(np.uint64) << np.uint64(40) | feature >> np.uint64(24))
+    x = x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+    return (x >> np.uint64(40)).astype(np.int64), x & np.uint64((1 << 40) - 1)
+
+
+def dealt(line: np.ndarray, feature: np.ndarray, n: int, blocks: range) -> np.ndarray:
+    """(n, blocks): for each of n lines the majority of the hashes of the PER_BLOCK features that each block's hash puts first. In order, as once() gives them."""
+    out = np.zeros((n, len(blocks)), np.uint64)
+    if not n:
+        return out
+    start = np.searchsorted(line, np.arange(n))
+    held = np.minimum(np.diff(np.append(start, len(line))), PER_BLOCK)
+    at, kept = start + np.minimum(np.arange(PER_BLOCK)[:, None], held - 1), np.arange(PER_BLOCK)[:, None] < held
+    base = line.astype(np.uint64) << np.uint64(40)
+    for k, block in enumerate(blocks):
+        order = base | mixed(feature + np.uint64((block + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(24)
+        order.sort()
+        planes = np.zeros((3, n, 1), np.uint64)
+        # the 24 lowest bits, which the order hardly depends on
+        for carry in np.where(kept, order[at], np.uint64(0))[:, :, None]:
+            for plane in planes:
+                over = plane & carry
+                plane ^= carry
+                carry = over
+        out[:, k] = more_than(planes, held // 2)[:, 0] & np.uint64((1 << BLOCK_BITS) - 1)
+    return out
+
+
 class Lines:
     """The lines of a chunk of texts that have words: row, place, first and last + 1 word; and the chunk's words."""
 
@@ -85,6 +128,42 @@ class Lines:
         so_far = np.concatenate([[0], np.cumsum(letters[self.ends] - letters[self.starts] + 1)])
         return (so_far[self.last] - so_far[self.first] - 1).astype(np.int32)
 
+    def _runs(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``of``, hash) of each run of GRAM bytes in the normal forms, a space after each, of the lines ``of``."""
+        n = (self.last - self.first)[of]
+        line = np.repeat(np.arange(len(of)), n)
+        word = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[of], n)
+        size = self.ends[word] - self.starts[word] + 1
+        end = np.cumsum(size)
+        at = np.arange(size.sum()) - np.repeat(end - size, size) + np.repeat(self.starts[word], size)
+        data = np.append(self.data, np.uint8(32))[at].astype(np.uint64)
+        data[end - 1] = 32
+        line = np.repeat(line, size)
+        first = np.searchsorted(line, np.arange(len(of)))
+        data, after = np.append(data, np.full(GRAM, 32, np.uint64)), np.append(line, np.full(GRAM, -1))
+        value = np.zeros(len(line), np.uint64)
+        for j in range(GRAM):
+            value |= data[j : len(line) + j] << np.uint64(8 * j)
+        whole = after[GRAM - 1 : len(line) + GRAM - 1] == line
+        whole[first] = True  # the run of a line that is shorter
+        return line[whole], mixed(value[whole])
+
+    def blocks(self) -> np.ndarray:
+        """(lines, SLOTS): the lines' blocks; of long lines the first LONG."""
+        n = self.last - self.first
+        line = np.repeat(np.arange(len(n)), n)
+        line, word = once(line, self.words[np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first, n)])
+        short = steps(self.lengths()) <= SHORT
+        out = np.zeros((len(n), SLOTS), np.uint64)
+        for some, blocks in ((np.flatnonzero(short), OF_WORDS), (np.flatnonzero(~short), LONG)):
+            place = np.full(len(n), -1)
+            place[some] = np.arange(len(some))
+            use = place[line] >= 0
+            out[some, :blocks] = dealt(place[line[use]], word[use], len(some), range(blocks))
+        some = np.flatnonzero(short)
+        out[some, OF_WORDS:] = dealt(*once(*self._runs(some)), len(some), range(LONG, LONG + OF_BYTES))
+        return out
+
     def simhashes(self, words: int = WORDS, of: np.ndarray | slice = slice(None)) -> np.ndarray:
         """(lines, words): the majorities of the words' hashes of the lines ``of``, each word of a line counted twice at most."""
         n = self.last[of] - self.first[of]
@@ -136,18 +215,31 @@ def more_than(planes: np.ndarray, least: np.ndarray) -> np.ndarray:
     return more
 
 
-def block_keys(fp: np.ndarray) -> np.ndarray:
-    """(lines, blocks): each block's number and value, before 32 check bits."""
-    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1)
-    value, end = 1 << np.arange(32, dtype=np.int64), BLOCKS * BLOCK_BITS
-    blocks = bits[:, :end].reshape(len(fp), BLOCKS, BLOCK_BITS) @ value[:BLOCK_BITS] + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)
-    return blocks << 32 | (bits[:, end : end + 32] @ value)[:, None]
+def fingerprints(lines: Lines) -> np.ndarray:
+    """(lines, bytes): the bits of the blocks, then the check bits."""
+    blocks = lines.blocks().astype("<u8").view(np.uint8).reshape(-1, SLOTS, 8)[:, :, : BLOCK_BITS // 8]
+    return np.concatenate([blocks.reshape(-1, BLOCK_BYTES), lines.simhashes().view(np.uint8).reshape(-1, 8 * WORDS)], axis=1)
+
+
+def check_bits(fp: np.ndarray) -> np.ndarray:
+    """The check bits of fingerprints, in WORDS numbers."""
+    return np.ascontiguousarray(fp[:, -8 * WORDS :]).view(np.uint64)
+
+
+def block_keys(fp: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): the number and value of each block of each row, before 32 check bits."""
+    parts = fp[:, :BLOCK_BYTES].reshape(-1, SLOTS, BLOCK_BITS // 8).astype(np.int64)
+    value = parts[:, :, 0] | parts[:, :, 1] << 8 | parts[:, :, 2] << 16
+    slot, short = np.arange(SLOTS), (steps(length) <= SHORT)[:, None]
+    number = np.where(short & (slot >= OF_WORDS), slot - OF_WORDS + LONG, slot)
+    row, used = np.nonzero(short | (slot < LONG))
+    check = (check_bits(fp)[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (number[row, used] << BLOCK_BITS | value[row, used]) << 32 | check[row], row
 
 
 def more_bits(fp: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """56 check bits, before the length in steps of a quarter: lines of 0.8 of each other's length are one step apart at most."""
-    step = np.floor(np.log(np.maximum(length, 1)) / np.log(1.25)).astype(np.uint64)
-    return (fp[:, -1] & ~np.uint64(0xFF) | step).view(np.int64)
+    """56 check bits, before the length in steps."""
+    return (check_bits(fp)[:, -1] & ~np.uint64(0xFF) | steps(length).astype(np.uint64)).view(np.int64)
 
 
 def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -214,7 +306,7 @@ def maybe_similar(one: np.ndarray, others: np.ndarray, most: np.ndarray, letters
 
 
 def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the rows at RADIUS bits or fewer whose texts are similar."""
+    """Links of a spanning forest of the rows at RADIUS check bits or fewer whose texts are similar."""
     found, rest = [], np.arange(len(fp))
     length = np.array([len(t) for t in texts])
     counts: dict[int, np.ndarray] = {}
@@ -229,7 +321,8 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
         while queue and len(rest):
             i = queue.pop()
             longer = np.maximum(length[rest], length[i])
-            near = rest[(np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1) <= RADIUS) & (np.minimum(length[rest], length[i]) >= least * longer - 1e-9)]
+            most = np.where(steps(np.minimum(length[rest], length[i])) <= SHORT, RADIUS[1], RADIUS[0])
+            near = rest[(np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1) <= most) & (np.minimum(length[rest], length[i]) >= least * longer - 1e-9)]
             got = []
             for some in np.split(near, range(256, len(near), 256)):
                 if len(some) > 4:
@@ -252,7 +345,8 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check, bits, step = (key & 0xFFFFFFFF).astype(np.uint32), more.view(np.uint64) >> np.uint64(8), more & 0xFF
 
         def near(i, j, check=check, bits=bits, step=step):
-            return (np.bitwise_count(check[i] ^ check[j]) + np.bitwise_count(bits[i] ^ bits[j]) <= CHECKED) & (np.abs(step[i] - step[j]) <= 1)
+            most = np.where(np.minimum(step[i], step[j]) <= SHORT, CHECKED[1], CHECKED[0])
+            return (np.bitwise_count(check[i] ^ check[j]) + np.bitwise_count(bits[i] ^ bits[j]) <= most) & (np.abs(step[i] - step[j]) <= 1)
 
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key >> 32)) + 1])
         size = np.diff(np.append(starts, len(key)))
@@ -289,19 +383,19 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             lines = Lines(*utf8(part.column("text")))
-            row, fp = pa.array(lines.row), lines.simhashes()
-            ends = np.arange(len(fp) + 1, dtype=np.int32) * 8 * WORDS
+            row, fp = pa.array(lines.row), fingerprints(lines)
+            ends = np.arange(len(fp) + 1, dtype=np.int32) * fp.shape[1]
             columns = [part.column("id").take(row), part.column("th").take(row), pa.array(lines.place.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in lines.keys()), pa.array(lines.lengths())]
             yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(ends), pa.py_buffer(fp)])], names=["id", "th", "place", "k1", "k2", "length", "fp"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS)
-            more, pick = more_bits(fp, batch.column("length").to_numpy()), np.repeat(np.arange(len(fp)), BLOCKS)
-            yield pa.RecordBatch.from_arrays([pa.array(block_keys(fp).ravel()), pa.array(more[pick]), batch.column("node").take(pa.array(pick))], names=["key", "more", "node"])
+            fp, length = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, BLOCK_BYTES + 8 * WORDS), batch.column("length").to_numpy()
+            (key, pick), more = block_keys(fp, length), more_bits(fp, length)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(more[pick]), batch.column("node").take(pa.array(pick))], names=["key", "more", "node"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The normal forms, each with its SimHash and the groups in which it is verified."""
+        """The normal forms, each with its check bits and the groups in which it is verified."""
         for part in chunks(batches):
             lines = Lines(*utf8(part.column("text")))
             at = {k: i for i, k in enumerate(zip(lines.row.tolist(), lines.place.tolist(), strict=True))}
