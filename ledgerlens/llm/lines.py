@@ -41,13 +41,13 @@ SIMILARITY = 0.8
 #: 64-bit words of a SimHash's check bits; bits of a block; features of a block; bytes of a feature of short lines.
 WORDS, BLOCK_BITS, PER_BLOCK, GRAM = 2, 24, 5, 3
 #: Blocks of words in a line; of a short line, and its blocks of runs of bytes. A block's bits are 3 bytes of SLOTS.
-LONG, OF_WORDS, OF_BYTES = 12, 4, 12
+LONG, OF_WORDS, OF_BYTES = 10, 4, 10
 SLOTS = OF_WORDS + OF_BYTES
 BLOCK_BYTES = SLOTS * BLOCK_BITS // 8
 #: Lines whose length is at most this many steps of a quarter (108 characters) are short.
 SHORT = 20
 #: Bits in which candidates may differ, of the 88 check bits beside a block, and linked lines, of 128; each for long lines, and where one is short.
-CHECKED, RADIUS = (22, 30), (34, 48)
+CHECKED, RADIUS = (18, 20), (34, 48)
 #: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
 TOGETHER, FEW = 2048, 1_000_000
 #: Words whose bits are counted together, and the binary digits of their number.
