@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +14,8 @@ from .ranks import with_places
 
 #: Pivots at most; rows of a block of vectors; room for the rounding of distances in bounds.
 PIVOTS, BLOCK, SLACK = 1024, 1024, 1e-9
+#: Queries and rows of a tile of the cosine search; numbers multiplied exactly at once.
+TILE, PAIRS = 512, 1 << 20
 FOUND = "query_id long, vec_id long, distance double"
 
 
@@ -161,12 +161,29 @@ def best_of(rows: DataFrame, by: str, order: list, k: int, name: str) -> DataFra
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(name) <= k)  # k of each task's
 
 
+class Best:
+    """The k best (score, smaller id at ties) of each query of a block, as arrays that candidates are merged into."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.i, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(queries, -np.inf)
+
+    def merge(self, i: np.ndarray, number: np.ndarray, score: np.ndarray) -> None:
+        i, number, score = np.concatenate([self.i, i]), np.concatenate([self.id, number]), np.concatenate([self.score, score])
+        order = np.lexsort((number, -score, i))
+        i, number, score = i[order], number[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        self.i, self.id, self.score = (x[place < self.k] for x in (i, number, score))
+        self.floor[i[place == self.k - 1]] = score[place == self.k - 1]
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None, where: str | None = None, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, score, place): the exact cosine top k of a stated set of queries against the vectors.
 
     queries: query_id, q. vectors: vec_id, v, and what the filter ``where`` reads, which reaches the scan. Queries go through the
-    vectors ``block`` at a time, with their norms; a task multiplies each Arrow batch with all of them and keeps a heap of k
-    a query, so it gives queries x k rows at most, whatever it read. A zero vector has score 0.
+    vectors ``block`` at a time, with their norms; a task multiplies ``TILE`` queries with as many rows of an Arrow batch at once and
+    keeps the best k a query, so it holds a tile, PAIRS numbers of exact sums and queries x k rows, whatever it read. A zero vector has score 0.
     """
     rows = (vectors.where(where) if where else vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q")).where("query_id is not null and q is not null")
@@ -182,29 +199,38 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float |
 
         def multiply(batches: Iterator[pa.RecordBatch], of=of) -> Iterator[pa.RecordBatch]:
             ids, q, norms = of.value
-            heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+            tiles = range(0, len(ids), TILE)
+            best = [Best(len(ids[a : a + TILE]), k) for a in tiles]
             for whole in batches if len(ids) else ():
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
+                for at in range(0, whole.num_rows, TILE):
+                    batch = whole.slice(at, TILE)
                     v, v_id = matrix(batch.column("v")), batch.column("vec_id").to_numpy()
-                    size = norms[:, None] * np.sqrt((v * v).sum(axis=1))[None]
-                    score = np.divide(q @ v.T, size, out=np.zeros_like(size), where=size > 0)
-                    score[ids[:, None] == v_id[None]] = -np.inf
-                    if least is not None:
-                        score[score < least] = -np.inf
-                    floor = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
-                    i_, j_ = np.nonzero((score >= floor[:, None] - SLACK) & (score > -np.inf))
-                    # summed in one order whatever the batch, so that equal vectors tie
-                    exact = (q[i_] * v[j_]).sum(axis=1) / np.where(size[i_, j_] > 0, size[i_, j_], 1.0)
-                    for i, x, number in zip(i_.tolist(), exact.tolist(), v_id[j_].tolist(), strict=True):
-                        entry = (x, -number)
-                        if len(heaps[i]) < k:
-                            heapq.heappush(heaps[i], entry)
-                        elif entry > heaps[i][0]:
-                            heapq.heapreplace(heaps[i], entry)
-            out = [(int(x), -i, s) for x, h in zip(ids, heaps, strict=True) for s, i in h]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
+                    far = np.sqrt((v * v).sum(axis=1))
+                    for a, top in zip(tiles, best, strict=True):
+                        tile(ids[a : a + TILE], q[a : a + TILE], norms[a : a + TILE], v_id, v, far, top, least)
+            for a, top in zip(tiles, best, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + top.i]), pa.array(top.id), pa.array(top.score)], names=["query_id", "vec_id", "score"])
 
         one = rows.mapInArrow(multiply, "query_id long, vec_id long, score double")
         found = one if found is None else found.unionByName(one)
     return best_of(found, "query_id", [F.desc("score"), F.col("vec_id")], k, "place")
+
+
+def tile(ids: np.ndarray, q: np.ndarray, norms: np.ndarray, v_id: np.ndarray, v: np.ndarray, far: np.ndarray, top: Best, least: float | None) -> None:
+    """Merges a tile of queries and rows into the best found. A product of matrices tells which pairs may be among the best k; only
+    their scores are summed exactly, PAIRS numbers at a time."""
+    size = norms[:, None] * far[None]
+    score = np.divide(q @ v.T, size, out=np.zeros_like(size), where=size > 0)
+    score[np.isnan(score) | (ids[:, None] == v_id[None])] = -np.inf
+    if least is not None:
+        score[score < least] = -np.inf
+    floor = top.floor
+    if len(v_id) > top.k:
+        floor = np.maximum(floor, np.partition(score, -top.k, axis=1)[:, -top.k] - SLACK)
+    i, j = np.nonzero((score >= floor[:, None] - SLACK) & (score > -np.inf))
+    step = max(1, PAIRS // max(1, q.shape[1]))
+    for at in range(0, len(i), step):
+        i_, j_ = i[at : at + step], j[at : at + step]
+        # summed in one order whatever the batch, so that equal vectors tie
+        exact = (q[i_] * v[j_]).sum(axis=1) / np.where(size[i_, j_] > 0, size[i_, j_], 1.0)
+        top.merge(i_, v_id[j_], exact)

@@ -45,3 +45,18 @@ def test_cosine_top_k(spark):
                 want |= {(q, r + 1): int(j) for r, j in enumerate(np.lexsort((np.arange(500), -s))[:4])}
             assert got == want
     assert nearest.cosine_top_k(queries, df, 4, least=2.0).count() == 0
+
+
+def test_cosine_of_copies_in_bounded_memory():
+    """Equal vectors all tie with the k-th best: their exact sums are taken in parts, and the smaller ids stay."""
+    import tracemalloc
+
+    v, ids = np.ones((512, 64)), np.arange(512)
+    best, norms = nearest.Best(512, 5), np.full(512, 8.0)
+    tracemalloc.start()
+    for first in (1512, 1000):
+        nearest.tile(ids, v, norms, ids + first, v, norms, best, None)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6  # all pairs at once: 134 MB for each of three arrays
+    assert np.array_equal(best.id.reshape(512, 5), np.tile(np.arange(1000, 1005), (512, 1))) and np.allclose(best.score, 1.0)
