@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..sources.io import kept
-from .payments import growth
+from .payments import growth, steady
 from .ranks import frac_ranks, median_of_counts, numbered, percent_ranks, quantile_columns, ranked, with_places
 
 
@@ -42,7 +42,7 @@ def industry_spend(payments: DataFrame, years: tuple[int, ...]) -> DataFrame:
     """Spend of all companies on an entity by year; companies and payments of the last year; its last specialty by name."""
     y, amount = F.col("program_year"), F.col("payment_amount")
     return payments.where("hcp_id is not null").groupBy("hcp_id").agg(
-        F.max(F.coalesce("specialty", F.lit("Unknown"))).alias("specialty"), *[F.sum(F.when(y == k, amount).otherwise(0.0)).alias(f"industry_spend_{k}") for k in years],
+        F.max(F.coalesce("specialty", F.lit("Unknown"))).alias("specialty"), *[steady(F.sum(F.when(y == k, amount).otherwise(0.0))).alias(f"industry_spend_{k}") for k in years],
         F.count_distinct(F.when(y == years[-1], F.col("company_name"))).alias("industry_company_count"), F.count_if(y == years[-1]).alias("industry_payment_count"),
     )
 
@@ -50,8 +50,8 @@ def industry_spend(payments: DataFrame, years: tuple[int, ...]) -> DataFrame:
 def competitor_spend(payments: DataFrame, years: tuple[int, ...]) -> DataFrame:
     y, amount = F.col("program_year"), F.col("payment_amount")
     return payments.where("hcp_id is not null").groupBy("hcp_id").agg(
-        F.max(F.coalesce("specialty", F.lit("Unknown"))).alias("specialty"), *[F.sum(F.when(y == k, amount).otherwise(0.0)).alias(f"competitor_spend_{k}") for k in years],
-        F.sum(amount).alias("competitor_spend_3yr"), F.count_distinct("company_name").alias("competitor_company_count"),
+        F.max(F.coalesce("specialty", F.lit("Unknown"))).alias("specialty"), *[steady(F.sum(F.when(y == k, amount).otherwise(0.0))).alias(f"competitor_spend_{k}") for k in years],
+        steady(F.sum(amount)).alias("competitor_spend_3yr"), F.count_distinct("company_name").alias("competitor_company_count"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .payments import share, zero_filled
+from .payments import share, steady, zero_filled
 
 
 def attendance(attendees: DataFrame) -> DataFrame:
@@ -113,4 +113,4 @@ def combined_risk(has: list[Column]) -> Column:
     weights, scores = (0.40, 0.35, 0.25), ("raw_spend_risk_score", "avg_event_risk_score", "interaction_frequency_score")
     weight = sum((F.when(h, w).otherwise(0.0) for h, w in zip(has, weights, strict=True)), F.lit(0.0))
     total = sum((F.when(h, F.col(s) * w).otherwise(0.0) for h, s, w in zip(has, scores, weights, strict=True)), F.lit(0.0))
-    return F.when(weight > 0, total / weight).otherwise(0.0)
+    return steady(F.when(weight > 0, total / weight).otherwise(0.0))

@@ -11,6 +11,11 @@ from ..config import Config
 from .patterns import MOST_PATTERNS, pattern_numbers
 
 
+def steady(total: Column) -> Column:
+    """A sum or mean of doubles without its last digits, which change with the order of the rows: equal ones compare and rank as equal."""
+    return F.round(total, 8)
+
+
 def growth(new: Column, old: Column) -> Column:
     """(new - old) / old, null without a positive base."""
     return F.when(old > 0, (new - old) / old)
@@ -94,7 +99,7 @@ def entity_year_spend(classified: DataFrame) -> DataFrame:
         classified.where("hcp_id is not null and payment_amount is not null")
         .groupBy("hcp_id", "program_year")
         .agg(
-            F.sum(amount).alias("year_spend"), F.count(F.lit(1)).alias("year_payment_count"), total("is_meal").alias("year_food_beverage"),
+            steady(F.sum(amount)).alias("year_spend"), F.count(F.lit(1)).alias("year_payment_count"), total("is_meal").alias("year_food_beverage"),
             total("is_speaking_fee").alias("year_speaking_fee"), total("is_consulting").alias("year_consulting"), F.count_if("is_speaking_fee").alias("year_speaking_count"),
             F.count_if("is_meal").alias("year_meal_count"), F.count_if("meal_over_limit").alias("year_meals_over_limit"), F.max("meal_overage_pct").alias("year_max_meal_overage_pct"),
         )
