@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of five-word shingles 0.8 or more) the document of the least doc_id stays."""
+    """Of each group of near copies (found by operator 4's SimHash and by MinHash; Jaccard similarity of five-word shingles 0.8 or more) the document of the least doc_id stays."""
     return one_of_each(docs)
 
 

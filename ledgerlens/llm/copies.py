@@ -1,8 +1,9 @@
-"""Near copies by the Jaccard similarity of five-word shingles.
+"""Near copies by operator 4's SimHash and MinHash, checked by the Jaccard similarity of five-word shingles.
 
 Words are runs of bytes other than spaces, A-Z in lower case; a text of fewer than five words is one shingle. Texts of
-equal words are one class. Candidates come from MinHash: 24 bands of 5 least values, so that two texts at similarity s
-share no band with probability (1 - s ** 5) ** 24, which is 7e-5 at 0.8 and 1e-9 at 0.9. Candidates are verified by the
+equal words are one class. Candidates come from operator 4: fingerprints that differ in three bits at most, found by its
+Golay-code keys. Most near copies at similarity 0.8 lie farther apart than that; these come from MinHash: 24 bands of 5 least values, so that two texts at similarity s
+share no band with probability (1 - s ** 5) ** 24, which is 7e-5 at 0.8 and 1e-9 at 0.9. All candidates are verified by the
 similarity itself, and only a spanning forest of the verified links is given.
 
 Shingles travel only for classes that share a band with another: once where the candidates connect few classes, else
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import byte_values, chunks, is_word, lowered, mixed, only, prefix_hash, span_hash, spans, utf8, written
 from .components import components
 from .lines import fresh
-from .simhash import whole_groups
+from .simhash import chunk_fingerprints, fingerprint_links, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -101,7 +102,8 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             found = Shingles(part)
             offsets = np.concatenate([[0], np.cumsum(np.diff(found.first) > 0)]) * BANDS
             keys = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.bands().view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(found.k1.view(np.int64)), pa.array(found.k2.view(np.int64)), keys], names=["id", "th", "k1", "k2", "bands"])
+            fp = chunk_fingerprints(*utf8(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(found.k1.view(np.int64)), pa.array(found.k2.view(np.int64)), keys, pa.array(fp.view(np.int64))], names=["id", "th", "k1", "k2", "bands", "fp"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A link from each row of (key, node) to the one before it, of rows that come sorted by key."""
@@ -116,10 +118,13 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for part in chunks(batches):
             found = Shingles(part)
             bands, large = found.bands(), part.column("large").to_pylist()
-            n = np.where(np.array(large, bool), BANDS, 1)
-            # a group that is verified whole has the key of its root
+            # a group that is verified whole has the key of its root, others those of the bands and of what fingerprints connect
             roots = mixed(part.column("root").to_numpy().view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-            key = np.concatenate([bands[r] if large[r] else roots[r : r + 1] for r in range(len(large))])
+            known = part.column("print").is_valid().to_numpy(zero_copy_only=False)
+            prints = mixed(part.column("print").fill_null(0).to_numpy().view(np.uint64) + np.uint64(0xD1B54A32D192ED03))
+            own_keys = [np.append(bands[r], prints[r : r + 1][known[r : r + 1]]) if large[r] else roots[r : r + 1] for r in range(len(large))]
+            n = np.array([len(x) for x in own_keys], np.int64)
+            key = np.concatenate(own_keys)
             own = pa.array([np.unique(found.hashes[a:b]).tobytes() for a, b in zip(found.first[:-1], found.first[1:], strict=True)], pa.binary())
             pick = pa.array(np.repeat(np.arange(len(large)), n))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("node").take(pick), own.take(pick)], names=["key", "node", "own"])
@@ -135,14 +140,17 @@ def copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, k1 long, k2 long, bands array<long>"))
-    classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("first"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.first("bands").alias("bands"))
+    rows = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, k1 long, k2 long, bands array<long>, fp long"))
+    classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "th")).alias("first"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))  # equal words have equal bands and fingerprints
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     keys = classes.select(F.explode("bands").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key")
-    near = components(keys.mapInArrow(candidates, "u long, v long"))
+    prints = written(classes.groupBy("fp").agg(F.min("node").alias("node")))  # a row a fingerprint
+    equal = classes.select("fp", F.col("node").alias("u")).join(prints.withColumnRenamed("node", "v"), "fp").where("u <> v").select("u", "v")
+    prints = written(components(fingerprint_links(prints).unionByName(equal)).withColumnRenamed("root", "print"))
+    near = components(keys.mapInArrow(candidates, "u long, v long").unionByName(prints.where("node <> print").select(F.col("node").alias("u"), F.col("print").alias("v"))))
     sizes = near.groupBy("root").agg((F.count(F.lit(1)) > TOGETHER).cast("int").alias("large"))
-    wanted = classes.join(near.join(sizes, "root"), "node").select("first.id", "first.th", "node", "root", "large")
-    texts = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "node", "root", "large")
+    wanted = classes.join(near.join(sizes, "root"), "node").join(prints, "node", "left").select("first.id", "first.th", "node", "root", "large", "print")
+    texts = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "node", "root", "large", "print")
     links = texts.mapInArrow(sets, "key long, node long, own binary").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
     named = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).select("k1", "k2", "root", "least")
     least = named.groupBy("root").agg(F.min("least").alias("least"))

@@ -72,3 +72,33 @@ def test_a_doc_id_on_two_texts_loses_only_the_copy(spark):
     one, two = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
     docs = spark.createDataFrame([(1, one), (2, one), (2, two), (3, two), (None, one)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in copies.one_of_each(docs).collect()) == [(0, one), (1, one), (2, two)]
+
+
+@pytest.mark.parametrize("together", [copies.TOGETHER, 1])
+def test_operator_4_gives_candidates(spark, monkeypatch, together):
+    """Operator 4's links are among the candidates, and documents that only they join stay apart below the similarity."""
+    import corpus_pipeline as pipeline
+    from ledgerlens.llm.simhash import chunk_fingerprints
+
+    def fingerprint(text):
+        data = text.encode()
+        return int(chunk_fingerprints(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
+
+    def altered(words, at):
+        return " ".join(w if i not in at else f"other{i}" for i, w in enumerate(words))
+
+    random = np.random.default_rng(3)
+    rows, phrase = [], "always the same few words stand here ".split() * 40
+    for i in range(8):
+        words = [f"w{x}" for x in random.integers(0, 5000, 600)]
+        near = next(t for t in (altered(words, {k}) for k in range(600)) if 0 < (fingerprint(t) ^ fingerprint(" ".join(words))).bit_count() <= 3)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, near)]
+    unlike = [" ".join(phrase + [f"{c}{k}" for k in range(20)]) for c in "ab"]
+    assert (fingerprint(unlike[0]) ^ fingerprint(unlike[1])).bit_count() <= 3 and not similar(*map(shingles, unlike))
+    rows += [(16, unlike[0]), (17, unlike[1])]
+    found, links = [], copies.fingerprint_links
+    monkeypatch.setattr(copies, "TOGETHER", together)
+    monkeypatch.setattr(copies, "fingerprint_links", lambda classes: found.append(links(classes)) or found[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()) == brute(rows) == [0, 2, 4, 6, 8, 10, 12, 14, 16, 17]
+    assert len(found) == 1 and len({frozenset((r.u, r.v)) for r in found[0].collect()}) == 8
