@@ -50,6 +50,8 @@ SHORT = 20
 CHECKED, RADIUS = (18, 20), (34, 48)
 #: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
 TOGETHER, FEW = 2048, 1_000_000
+#: Text whose lines are fingerprinted at a time: a byte takes some hundred bytes of numbers.
+SCAN_BYTES = 1 << 18
 #: Words whose bits are counted together, and the binary digits of their number.
 RUN, PLANES = 255, 8
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
@@ -381,7 +383,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(id, th, gone): the places of the lines to remove from each document that has any. docs: id, th, text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=SCAN_BYTES):
             lines = Lines(*utf8(part.column("text")))
             row, fp = pa.array(lines.row), fingerprints(lines)
             ends = np.arange(len(fp) + 1, dtype=np.int32) * fp.shape[1]

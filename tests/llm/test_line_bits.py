@@ -22,3 +22,24 @@ def test_simhashes_by_bit():
     some = np.array([4, 0, 5, 4])
     assert np.array_equal(lines.simhashes(of=some), got[some])
     assert lines.simhashes(of=some[:0]).shape == (0, WORDS)
+
+
+def test_a_scan_of_lines_holds_few_numbers():
+    """The text fingerprinted at a time is small, and the slices give what the whole gives."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ledgerlens.llm.common import chunks, utf8
+    from ledgerlens.llm.lines import SCAN_BYTES, Lines, fingerprints
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"line {i} of a text with words w{i % 97}\n" * 40 for i in range(600)])], names=["text"])
+    whole = np.concatenate([fingerprints(Lines(*utf8(p.column("text")))) for p in chunks(iter([batch]), most=1 << 30)])
+    parts = []
+    tracemalloc.start()
+    for p in chunks(iter([batch]), most=SCAN_BYTES):
+        parts.append(fingerprints(Lines(*utf8(p.column("text")))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(whole, np.concatenate(parts))
+    assert peak - whole.nbytes < 40 * SCAN_BYTES * 4
