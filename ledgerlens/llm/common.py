@@ -43,19 +43,27 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Bytes of an Arrow batch that Spark gives a task's function at a time.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: what follows doesn't compute it anew, nor depends on an executor.
 
-    The shuffles behind it are deleted once it stands: nothing reads them again.
+    The shuffles behind it are deleted once it stands: nothing reads them again. batch_bytes: the Arrow batches that functions
+    get meanwhile end at about so many bytes.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_BATCH: str(batch_bytes)} if batch_bytes else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -73,13 +73,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, batch_bytes: int | None = None) -> DataFrame:
     """(node, root) for every node that has a link: root is the least node reachable.
 
     edges: columns u and v of longs; loops, repeats and either direction are allowed, nulls are not links.
     No table of nodes or links reaches the driver: only the count and checksum that tell whether a round changed anything.
+    batch_bytes: as of written(), while the links are made.
     """
-    edges = written(edges.select("u", "v").where("u <> v").mapInArrow(_contracted, "u long, v long"))
+    edges = written(edges.select("u", "v").where("u <> v").mapInArrow(_contracted, "u long, v long"), batch_bytes)
 
     def digest(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -52,6 +52,8 @@ CHECKED, RADIUS = (18, 20), (34, 48)
 TOGETHER, FEW = 2048, 1_000_000
 #: Text whose lines are fingerprinted at a time: a byte takes some hundred bytes of numbers.
 SCAN_BYTES = 1 << 18
+#: Bytes of an Arrow batch, which stands in the executor's memory and in its Python process's.
+BATCH_BYTES = 1 << 21
 #: Words whose bits are counted together, and the binary digits of their number.
 RUN, PLANES = 255, 8
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
@@ -398,7 +400,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The normal forms, each with its check bits and the groups in which it is verified."""
-        for part in chunks(batches):
+        for part in chunks(batches, most=SCAN_BYTES):
             lines = Lines(*utf8(part.column("text")))
             at = {k: i for i, k in enumerate(zip(lines.row.tolist(), lines.place.tolist(), strict=True))}
             wanted = [(at[r, x["place"]], x["node"], x["groups"]) for r, found in enumerate(part.column("wanted").to_pylist()) for x in found]
@@ -418,7 +420,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    occurrences = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, place int, k1 long, k2 long, length int, fp binary"))
+    occurrences = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, place int, k1 long, k2 long, length int, fp binary"), BATCH_BYTES)
     classes = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.min("length").alias("length"), F.min("fp").alias("fp"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
     dealt = classes.select("fp", "length", "node").mapInArrow(keys, "key long, more long, node long").repartition(parts, F.shiftright("key", 32)).sortWithinPartitions("key")
@@ -430,13 +432,21 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     wanted = classes.join(members, "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "groups")).alias("wanted"))  # one document's own
     lines = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(texts, "key long, fp binary, node long, line string")
     links = lines.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
-    named = classes.select("k1", "k2", "first", "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("k1", "k2", "first", "node").join(components(links, batch_bytes=BATCH_BYTES), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("first").alias("stays"))
     stays = named.join(first, "root").select("k1", "k2", "stays")
     gone = occurrences.select("id", "th", "place", "k1", "k2").join(stays, ["k1", "k2"]).where(F.struct("id", "th", "place") != F.col("stays"))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("place")).alias("gone"))  # one document's own
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about ``most`` bytes on average."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as no column of docs needs."""
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -454,7 +464,7 @@ def without_lines(docs: DataFrame, similarity: float = SIMILARITY, count_as: str
     names = schema.names
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, SCAN_BYTES):
             lost, all_go = batch.column(gone), batch.column(whole).to_pylist()
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()

@@ -43,3 +43,31 @@ def test_a_scan_of_lines_holds_few_numbers():
     tracemalloc.stop()
     assert np.array_equal(whole, np.concatenate(parts))
     assert peak - whole.nbytes < 40 * SCAN_BYTES * 4
+
+
+def test_a_scan_gets_small_batches(spark, monkeypatch):
+    """Tasks of the scan and of the texts get batches of a few bytes, not of 10,000 texts; the setting is as it was afterwards."""
+    import pyarrow as pa
+
+    from ledgerlens.llm import common, lines
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["bytes"])
+
+    texts = spark.range(0, 3000, 1, 2).selectExpr("repeat('abcdefgh', 125) AS text")
+    assert max(r.bytes for r in common.written(texts.mapInArrow(sizes, "bytes long"), 100_000).collect()) < 200_000
+    assert spark.conf.get(name, None) == before
+    used = []
+    real = common.written
+    for module in (lines, lines.components.__globals__):
+        wrapped = lambda df, batch_bytes=None: used.append(batch_bytes) or real(df, batch_bytes)
+        monkeypatch.setitem(module, "written", wrapped) if isinstance(module, dict) else monkeypatch.setattr(module, "written", wrapped)
+    docs = spark.createDataFrame([(i, f"one line of text number {i // 2}\nand a common line") for i in range(6)], "doc_id long, text string")
+    assert lines.without_lines(docs).count() == 6
+    assert used.count(lines.BATCH_BYTES) == 2
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 50)], names=["text"])
+    assert pa.Table.from_batches(list(lines.slices(iter([batch]), 5000))).num_rows == 50 and len(list(lines.slices(iter([batch]), 5000))) > 9
