@@ -14,6 +14,8 @@ from .ranks import with_places
 
 #: Pivots at most; rows of a block of vectors; room for the rounding of distances in bounds.
 PIVOTS, BLOCK, SLACK = 1024, 1024, 1e-9
+#: Shards into which the blocks, and deals into which their visitors, are put; numbers that the vectors of either hold at most.
+SHARDS, NUMBERS = 8, 1 << 22
 #: Queries and rows of a tile of the cosine search; numbers multiplied exactly at once.
 TILE, PAIRS = 512, 1 << 20
 FOUND = "query_id long, vec_id long, distance double"
@@ -62,14 +64,24 @@ def nearest(q_id: np.ndarray, q: np.ndarray, v_id: np.ndarray, v: np.ndarray, k:
     return pa.table({"query_id": pa.array(np.concatenate(rows or [np.zeros(0, np.int64)]), pa.int64()), "vec_id": pa.array(np.concatenate(found or [np.zeros(0, np.int64)]), pa.int64()), "distance": pa.array(np.concatenate(far or [np.zeros(0)]), pa.float64())})
 
 
+def of_each(found: pa.Table, k: int) -> pa.Table:
+    """The k nearest of each query, of what nearest() gave for it in parts."""
+    q, v, d = (found.column(c).to_numpy() for c in ("query_id", "vec_id", "distance"))
+    order = np.lexsort((v, d, q))
+    ordered = q[order]
+    return found.take(pa.array(order[np.arange(len(q)) - np.searchsorted(ordered, ordered) < k]))
+
+
 class Neighbours:
     """All rows' k nearest (Euclidean), without all pairs.
 
     Every vector goes to its nearest pivot's cell; a cell's rows, in the order of their distance to the pivot, are cut
     into blocks of ``block`` rows, so that dense cells and copies make many blocks. A row's k nearest within its own block bound
     how far the others may be. It then visits the blocks that the triangle inequality doesn't rule out: those whose range of distances to
-    their pivot comes that near to its own distance to that pivot. Blocks with many visitors are joined in parts.
-    The driver holds the pivots and two numbers a block.
+    their pivot comes that near to its own distance to that pivot. Blocks travel in shards of many: a row goes once to each shard
+    of which it visits blocks, with their numbers, and each shard meets its visitors in a few deals. So a vector is sent SHARDS
+    times on either side, and more often only where a shard would hold more than NUMBERS numbers.
+    The driver holds the pivots and a few numbers a block.
     """
 
     def __init__(self, vectors: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK):
@@ -95,7 +107,11 @@ class Neighbours:
             return nearest(ids, v, ids, v, k)
 
         self.own = kept(self.dealt(self.rows, ["cell", "part"]).groupBy("cell", "part").applyInArrow(within, FOUND))
-        self.visits = kept(self._routed(chosen))
+        size = int(max(block, min(-(-n // SHARDS), NUMBERS // max(1, chosen.shape[-1] if chosen.size else 1))))
+        before = self.blocks["n"].cumsum() - self.blocks["n"]
+        self.blocks["shard"] = (before // size).astype("int32")
+        self.deals = max(1, -(-n // size))
+        self.visits = self._routed(chosen)
 
     def dealt(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """By the keys to a number of partitions that stays: blocks are few bytes and much work, so small ones aren't put together."""
@@ -103,11 +119,11 @@ class Neighbours:
         return rows.repartition(n, *keys)
 
     def _routed(self, chosen: np.ndarray) -> DataFrame:
-        """(cell, part, query_id, q, bound) for each block that a row has to visit besides its own."""
+        """(shard, query_id, q, bound, blocks) for each shard with blocks that a row has to visit besides its own; blocks: their numbers."""
         k, blocks = self.k, self.blocks
         bounds = self.own.groupBy("query_id").agg(F.max("distance").alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "bound")
         rows = self.dealt(self.rows.join(bounds, "vec_id", "left"), ["vec_id"])
-        cell, part, least, most, size = (blocks[c].to_numpy() for c in ("cell", "part", "least", "most", "n"))
+        cell, part, least, most, size, shard = (blocks[c].to_numpy() for c in ("cell", "part", "least", "most", "n", "shard"))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -124,33 +140,56 @@ class Neighbours:
                     bound = bound * (1 + SLACK) + SLACK
                     meets = (to - most <= bound[:, None]) & (least - to <= bound[:, None])
                     meets &= (cell != batch.column("cell").to_numpy()[:, None]) | (part != batch.column("part").to_numpy()[:, None])
-                    i, j = np.nonzero(meets)
-                    pick = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[j], pa.int32()), pa.array(part[j], pa.int32()), batch.column("vec_id").take(pick), batch.column("embedding").take(pick), pa.array(bound[i])], names=["cell", "part", "query_id", "q", "bound"])
+                    i, j = np.nonzero(meets)  # by row, then by block, whose shards ascend
+                    first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (shard[j[1:]] != shard[j[:-1]]))) if len(i) else i
+                    pick, ends = pa.array(i[first]), pa.array(np.append(first, len(j)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[j[first]], pa.int32()), batch.column("vec_id").take(pick), batch.column("embedding").take(pick), pa.array(bound[i[first]]), pa.ListArray.from_arrays(ends, pa.array(j, pa.int32()))], names=["shard", "query_id", "q", "bound", "blocks"])
 
-        return rows.select("vec_id", "embedding", "cell", "part", "bound").mapInArrow(route, "cell int, part int, query_id long, q array<double>, bound double")
+        return rows.select("vec_id", "embedding", "cell", "part", "bound").mapInArrow(route, "shard int, query_id long, q array<double>, bound double, blocks array<int>")
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """rows with the block's number and shard."""
+        blocks = self.spark.createDataFrame(list(zip(*(self.blocks[c].tolist() for c in ("cell", "part", "shard")), range(len(self.blocks)), strict=True)), "cell int, part int, shard int, number int")
+        return rows.join(F.broadcast(blocks), ["cell", "part"])  # a few numbers a block
 
     def compared(self) -> int:
         """Pairs of a row and a row of a block that it meets, its own included."""
-        sizes = self.rows.groupBy("cell", "part").count()
-        met = self.visits.groupBy("cell", "part").count().withColumnRenamed("count", "m").join(sizes, ["cell", "part"]).agg(F.sum(F.col("m") * F.col("count"))).first()[0]
+        sizes = self._numbered(self.rows).groupBy("number").count()
+        met = self.visits.select(F.explode("blocks").alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("m")).join(sizes, "number").agg(F.sum(F.col("m") * F.col("count"))).first()[0]
         return int(met or 0) + int(sizes.agg(F.sum(F.col("count") * F.col("count"))).first()[0] or 0)
 
     def table(self) -> DataFrame:
         """(query_id, vec_id, distance, rank), nearest first, ties to the smaller id."""
-        deals = self.visits.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / (4 * self.block)).cast("int").alias("deals"))
-        asked = self.visits.join(F.broadcast(deals), ["cell", "part"]).withColumn("deal", F.pmod(F.xxhash64("query_id"), F.col("deals")).cast("int"))  # as many rows as blocks
-        held = self.rows.join(F.broadcast(deals), ["cell", "part"]).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+        asked = self.visits.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(self.deals)).cast("int"))
+        held = self._numbered(self.rows).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(self.deals - 1))))
         k = self.k
 
         def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
             if not len(queries) or not len(rows):
                 return nearest(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), k)
-            return nearest(queries.column("query_id").to_numpy(), matrix(queries.column("q").combine_chunks()), rows.column("vec_id").to_numpy(), matrix(rows.column("embedding").combine_chunks()), k, queries.column("bound").to_numpy())
-
-        keys = ["cell", "part", "deal"]
-        asked = self.dealt(asked.select(*keys, "query_id", "q", "bound"), keys)
-        held = self.dealt(held.select(*[F.col(c).alias(f"_{c}") for c in keys], "vec_id", "embedding"), [f"_{c}" for c in keys])
+            q_id, q, bound = queries.column("query_id").to_numpy(), matrix(queries.column("q").combine_chunks()), queries.column("bound").to_numpy()
+            visited = queries.column("blocks").combine_chunks()
+            visitor, to = np.repeat(np.arange(len(q_id)), visited.value_lengths().to_numpy()), visited.flatten().to_numpy()
+            visitor, to = (x[np.argsort(to, kind="stable")] for x in (visitor, to))
+            number = rows.column("number").to_numpy()
+            order = np.argsort(number, kind="stable")
+            number, v_id, v = number[order], rows.column("vec_id").to_numpy()[order], matrix(rows.column("embedding").combine_chunks())[order]
+            best, found = bound.copy(), [nearest(q_id[:0], q[:0], v_id[:0], v[:0], k)]
+            for block in np.unique(to):
+                who, some = visitor[slice(*np.searchsorted(to, (block, block + 1)))], slice(*np.searchsorted(number, (block, block + 1)))
+                near = nearest(q_id[who], q[who], v_id[some], v[some], k, best[who])
+                found.append(near)
+                # rows of a query stand together: the k-th of a block bounds those of the next
+                ids, far = near.column("query_id").to_numpy(), near.column("distance").to_numpy()
+                full = np.flatnonzero(ids[k - 1 :] == ids[: len(ids) - k + 1]) if len(ids) >= k else np.zeros(0, np.int64)
+                by_id = np.argsort(q_id[who], kind="stable")
+                at = who[by_id][np.searchsorted(q_id[who][by_id], ids[full])]
+                best[at] = np.minimum(best[at], far[full + k - 1])
+            return of_each(pa.concat_tables(found), k)
+
+        keys = ["shard", "deal"]
+        asked = self.dealt(asked.select(*keys, "query_id", "q", "bound", "blocks"), keys)
+        held = self.dealt(held.select(*[F.col(c).alias(f"_{c}") for c in keys], "number", "vec_id", "embedding"), [f"_{c}" for c in keys])
         other = asked.groupBy(*keys).cogroup(held.groupBy(*[f"_{c}" for c in keys])).applyInArrow(meet, FOUND)
         return best_of(self.own.unionByName(other), "query_id", [F.col("distance"), F.col("vec_id")], k, "rank")
 

@@ -60,3 +60,19 @@ def test_cosine_of_copies_in_bounded_memory():
     tracemalloc.stop()
     assert most < 100e6  # all pairs at once: 134 MB for each of three arrays
     assert np.array_equal(best.id.reshape(512, 5), np.tile(np.arange(1000, 1005), (512, 1))) and np.allclose(best.score, 1.0)
+
+
+@pytest.mark.parametrize("numbers", [1 << 22, 16 * 70])
+def test_a_vector_goes_once_to_a_shard(spark, monkeypatch, numbers):
+    """Without structure every row visits every block, but its vector is sent a few times, not once a block."""
+    monkeypatch.setattr(nearest, "NUMBERS", numbers)
+    x = np.random.default_rng(6).standard_normal((1500, 16))
+    x[100:130] = x[0]
+    found = nearest.Neighbours(frame(spark, x), 7, block=32)
+    blocks, sent = found.rows.select("cell", "part").distinct().count(), found.visits.count()
+    visits = found.visits.agg(F.sum(F.size("blocks"))).first()[0]
+    assert visits > 0.5 * blocks * len(x) and sent <= (found.blocks["shard"].max() + 1) * len(x)
+    if numbers == 1 << 22:
+        assert sent <= (nearest.SHARDS + 1) * len(x)
+    got = {(r.query_id, r.rank): r.vec_id for r in found.table().collect()}
+    assert got == brute(x, 7)
