@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns that an automaton is made of at most; names that a task remembers.
-MOST_PATTERNS, REMEMBERED = 200_000, 100_000
+#: Patterns that an automaton is made of at most; names that a task remembers; patterns that one column expression tries in turn.
+MOST_PATTERNS, REMEMBERED, FEW_PATTERNS = 200_000, 100_000, 32
 
 
 def like(pattern: str) -> re.Pattern:
@@ -65,3 +66,12 @@ def pattern_numbers(patterns: list[str]) -> Callable:
             yield pd.Series([matcher(None if name is None or name != name else name) for name in names], index=names.index)
 
     return numbers
+
+
+def contained_numbers(patterns: list[str]) -> Callable[[Column], Column]:
+    """What pattern_numbers() gives, for a few patterns without backslashes, as an expression of their LIKEs."""
+
+    def numbers(name: Column) -> Column:
+        return F.array_compact(F.array(F.lit(None).cast("int"), *[F.when(name.like(f"%{p}%"), F.lit(i)) for i, p in enumerate(patterns)]))
+
+    return numbers

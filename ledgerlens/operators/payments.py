@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from .patterns import MOST_PATTERNS, pattern_numbers
+from .patterns import FEW_PATTERNS, MOST_PATTERNS, contained_numbers, pattern_numbers
 
 
 def steady(total: Column) -> Column:
@@ -29,13 +29,15 @@ def share(part: Column, whole: Column) -> Column:
 def match_company(payments: DataFrame, company_map: DataFrame, company: str = "company_raw") -> DataFrame:
     """Left join on lower(name) LIKE '%' + pattern + '%'; a name with two patterns gives two rows, one with none a row of nulls.
 
-    The map's patterns are numbered; each task runs its names through one automaton of them, and the numbers found join the map.
+    The map's patterns are numbered; each task runs its names through one automaton of them (a few patterns: through a column of
+    their LIKEs, without Python), and the numbers found join the map.
     """
     seed = company_map.where("pattern is not null")
     patterns = sorted(r.pattern for r in seed.select("pattern").distinct().limit(MOST_PATTERNS + 1).collect())
     if len(patterns) > MOST_PATTERNS:
         return _matched_by_grams(payments, seed, company)
-    rows = payments.withColumn("_number", F.explode_outer(pattern_numbers(patterns)(F.lower(payments[company]))))
+    numbers = contained_numbers if len(patterns) <= FEW_PATTERNS and not any("\\" in p for p in patterns) else pattern_numbers
+    rows = payments.withColumn("_number", F.explode_outer(numbers(patterns)(F.lower(payments[company]))))
     numbered = seed.join(F.broadcast(seed.sparkSession.createDataFrame(list(enumerate(patterns)), "_at int, _text string")), F.col("pattern") == F.col("_text")).drop("_text")  # MOST_PATTERNS rows at most
     return rows.join(F.broadcast(numbered), F.col("_number") == F.col("_at"), "left").drop("_number", "_at")
 
