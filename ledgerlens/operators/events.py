@@ -60,6 +60,16 @@ def entity_events(features: DataFrame) -> DataFrame:
     )
 
 
+def events_of_matrix(matrix: DataFrame) -> DataFrame:
+    """entity_events() from scoring.event_matrix(), which holds the same aggregates."""
+    n = F.col("total_events_as_speaker")
+    return matrix.select(
+        "hcp_id", n, F.col("raw_event_risk_score_mean").alias("avg_event_risk_score"), F.col("raw_event_risk_score_max").alias("max_event_risk_score"),
+        F.col("low_attendance_flag_sum").alias("events_with_low_attendance"), F.col("speaker_fee_over_fmv_flag_sum").alias("events_over_fmv"), F.col("missing_attestation_flag_sum").alias("events_missing_attestation"),
+        F.col("rapid_repeat_flag_sum").alias("events_rapid_repeat"), F.col("speaker_fee_sum").alias("total_speaker_fees_events"), (F.col("speaker_fee_over_fmv_flag_sum").cast("double") / n).alias("pct_events_over_fmv"),
+    )
+
+
 def entity_interactions(interactions: DataFrame, cfg: Config = Config()) -> DataFrame:
     return merged_interactions(interaction_years(interactions, cfg), interactions.select("hcp_id", "rep_id").where("rep_id is not null"))
 

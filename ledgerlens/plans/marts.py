@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as E
 from ..operators import payments as P
+from ..operators import scoring as S
 from ..operators.feature_store import FeatureStore
 from ..sources.io import exists, own_folder
 from .fixtures import CONFIG as C
@@ -33,10 +34,11 @@ def target(spark, sf_dir):
 _STORES: dict[tuple[str, str], str] = {}
 
 
-def stored(spark, sf_dir):
-    """(spend mart, risk profile) of the application's feature store over these tables.
+def stored(spark, sf_dir, with_matrix=False):
+    """(spend mart, risk profile; with_matrix: event matrix) of the application's feature store over these tables.
 
-    The first query that asks brings the store up to date and writes both marts; those after it read them. The views hold
+    The first query that asks brings the store up to date and writes the marts; those after it read them. Where the first
+    query wants the matrix, the events are aggregated once for it, and the profile's signals follow from it. The views hold
     payments of the configured years only. The queries spend_mart and risk_profile don't read it.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -47,10 +49,17 @@ def stored(spark, sf_dir):
         master, met = view(spark, sf_dir, "master"), view(spark, sf_dir, "interactions")
         store.update(target(spark, sf_dir), met, sorted({r[0] for r in met.select("program_year").distinct().collect()} | set(C.years)))  # a row a year
         store.spend_mart(master).write.parquet(f"{root}/spend")
-        events = E.entity_events(features_of_events(spark, sf_dir))
+        events = E.events_of_matrix(_written_matrix(spark, sf_dir, root)) if with_matrix else E.entity_events(features_of_events(spark, sf_dir))
         E.risk_profile(master, spark.read.parquet(f"{root}/spend"), events, store.entity_interactions()).write.parquet(f"{root}/profile")
         _STORES[key] = root
-    return spark.read.parquet(f"{root}/spend"), spark.read.parquet(f"{root}/profile")
+    found = spark.read.parquet(f"{root}/spend"), spark.read.parquet(f"{root}/profile")
+    return (*found, _written_matrix(spark, sf_dir, root)) if with_matrix else found
+
+
+def _written_matrix(spark, sf_dir, root):
+    if not exists(spark, f"{root}/matrix/_SUCCESS"):
+        S.event_matrix(features_of_events(spark, sf_dir)).write.mode("overwrite").parquet(f"{root}/matrix")
+    return spark.read.parquet(f"{root}/matrix")
 
 
 def spend(spark, sf_dir):

@@ -60,8 +60,8 @@ def matrix(spark, sf_dir):
 def flags(spark, sf_dir):
     from ..operators.benchmarks import peer_ranks
 
-    spend, profile = marts.stored(spark, sf_dir)
-    rows = S.merge_all(profile.drop("pct_events_over_fmv"), spend, matrix(spark, sf_dir))
+    spend, profile, matrix = marts.stored(spark, sf_dir, with_matrix=True)
+    rows = S.merge_all(profile.drop("pct_events_over_fmv"), spend, matrix)
     by_year = profile.select("hcp_id", "specialty").join(spend.select("hcp_id", *[f"spend_{y}" for y in C.years]), "hcp_id")
     ranks = peer_ranks(by_year, {f"r{i}": (("specialty",), f"spend_{y}") for i, y in enumerate(C.years, 1)})
     return S.apply_rules(rows.join(ranks.select("hcp_id", ((F.col("r2") > F.col("r1")) & (F.col("r3") > F.col("r2"))).alias("escalating_rank")), "hcp_id"), C)
@@ -73,8 +73,9 @@ def summary(spark, sf_dir):
 
 def scores(spark, sf_dir):
     """Risk scores with the scaled heuristic score in the anomaly score's place."""
+    flagged = summary(spark, sf_dir)  # first, as it wants the event matrix
     anomalies = S.minmax_100(marts.profile(spark, sf_dir).select("hcp_id", "combined_raw_risk_score"), "combined_raw_risk_score", "anomaly_score")
-    return S.risk_scores(summary(spark, sf_dir), anomalies)
+    return S.risk_scores(flagged, anomalies)
 
 
 @query(sql("SELECT * FROM matrix", doubles=MATRIX_DOUBLES, **steps("event_features", matrix=MATRIX)))
