@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import payments as P
 from ..operators import reports as R
 from ..operators import scoring as S
+from ..sources.io import kept
 from . import marts, records, scoring
 from .fixtures import CONFIG as C
 from .fixtures import sql, view
@@ -312,5 +313,5 @@ def investigation_reports(spark, sf_dir):
 
 @query()
 def monitoring_report(spark, sf_dir):
-    rows = scores(spark, sf_dir)
+    rows = kept(scores(spark, sf_dir).select("hcp_id", "specialty", "state", "risk_tier", "risk_score", "total_rule_flags", *FLAGS))  # read by all four
     return R.monitoring_report(R.risk_distribution(rows), R.flag_patterns(rows, FLAGS, SEVERITY), R.risk_segments(rows, "state", FLAGS), R.systemic_issues(rows, FLAGS))
