@@ -66,7 +66,7 @@ BENCH_DOUBLES = f"spend_3yr rank_{Y1} rank_{Y2} rank_{Y3} rank_3yr rank_state ra
 
 
 def bench(spark, sf_dir):
-    staged = kept(marts.staged(spark, sf_dir))  # read by both
+    staged = kept(marts.staged(spark, sf_dir).select("hcp_id", "specialty", "program_year", "payment_amount", "company_name", "is_target", "is_competitor"))  # read by both, which need no more
     return B.benchmark(base(spark, sf_dir), industry(spark, sf_dir, staged), competitors(spark, sf_dir, staged), C, exact=True)
 
 
