@@ -23,6 +23,7 @@ text or line comes alone, with some 30 bytes of arrays a byte.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 from os.path import commonprefix
@@ -54,6 +55,8 @@ TOGETHER, FEW = 2048, 1_000_000
 SCAN_BYTES = 1 << 18
 #: Bytes of an Arrow batch, which stands in the executor's memory and in its Python process's.
 BATCH_BYTES = 1 << 21
+#: Characters of the texts whose edit distances to one text are found together.
+COLUMNS = 1 << 16
 #: Words whose bits are counted together, and the binary digits of their number.
 RUN, PLANES = 255, 8
 _LETTER = is_word((*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)))
@@ -189,12 +192,19 @@ class Lines:
         run = np.unique(np.concatenate([start, *([np.arange(s, s + h, RUN) for s, h in zip(start[held > RUN], held[held > RUN], strict=True)])]))
         size = np.diff(np.append(run, len(found)))
         order = np.argsort(-size, kind="stable")
-        begin, left = run[order], np.searchsorted(-size[order], -np.arange(RUN))
+        begin, left_of, left = run[order], size[order], np.searchsorted(-size[order], -np.arange(RUN))
         planes = np.zeros((PLANES, len(run), words), np.uint64)
         seeds = np.array([(k + 1) * 0x9E3779B97F4A7C15 % 2**64 for k in range(words)], np.uint64)
-        for j in range(int(size.max())):
-            carry = mixed(found[begin[: left[j]] + j][:, None] + seeds)
-            for plane in planes[: (j + 1).bit_length(), : left[j]]:
+        # no bits after the last word, where a run has fewer than eight left
+        bits = np.append(mixed(found[:, None] + seeds), np.zeros((1, words), np.uint64), axis=0)
+        for j in range(0, int(size.max()), 8):
+            n = left[j]
+            x = [bits[np.where(left_of[:n] > i, begin[:n] + i, len(found))] for i in range(j, j + 8)]
+            some = planes[:, :n]
+            twos = [added(some[0], x[i], x[i + 1]) for i in range(0, 8, 2)]
+            fours = [added(some[1], twos[i], twos[i + 1]) for i in (0, 2)]
+            carry = added(some[2], *fours)
+            for plane in some[3 : max(4, (j + 8).bit_length())]:
                 over = plane & carry
                 plane ^= carry
                 carry = over
@@ -209,6 +219,14 @@ class Lines:
         return out
 
 
+def added(plane: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Adds both to the plane, bit by bit; gives what is carried."""
+    unlike = plane ^ one
+    carry = plane & one | unlike & two
+    np.bitwise_xor(unlike, two, out=plane)
+    return carry
+
+
 def more_than(planes: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Bits that are 1 where the count, whose binary digits the planes (digits, lines, words) hold, is over the line's ``least``."""
     more, same = np.zeros(planes.shape[1:], np.uint64), np.full(planes.shape[1:], 2**64 - 1, np.uint64)
@@ -246,25 +264,56 @@ def more_bits(fp: np.ndarray, length: np.ndarray) -> np.ndarray:
     return (check_bits(fp)[:, -1] & ~np.uint64(0xFF) | steps(length).astype(np.uint64)).view(np.int64)
 
 
-def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether 1 - edit distance / longer length is at least ``least``."""
+def quickly_similar(a: str, b: str, least: float = SIMILARITY) -> bool | None:
+    """What edit_similar() says, where no table is needed to tell; else None."""
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
     if a == b:
         return True
     if abs(len(a) - len(b)) > most:
         return False
-    head = len(commonprefix((a, b)))
-    a, b = a[head:], b[head:]
-    tail = len(commonprefix((a[::-1], b[::-1])))
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    a, b = unlike_parts(a, b)
     if max(len(a), len(b)) <= most:
         return True
     # words that stand at the same places cost nothing
     one, two = a.split(" "), b.split(" ")
     if len(one) == len(two) and sum(max(len(x), len(y)) for x, y in zip(one, two, strict=True) if x != y) <= most:
         return True
-    return edit_distance_within(a, b, most)
+    return True if anchored_edits(one, two) <= most else None
+
+
+def anchored_edits(one: list[str], two: list[str]) -> int:
+    """Edits that turn one list's words into the other's, not always the fewest: words that each list has once and that
+    stand in one order cost nothing, and what lies between two of them as much as the longer of both parts."""
+    place: dict[str, int] = {}
+    at = 0
+    for word in two:
+        place[word] = -1 if word in place else at
+        at += len(word) + 1
+    size, times = at, Counter(one)
+    edits = at = first = second = 0
+    for word in one:
+        if place.get(word, -1) >= second and times[word] == 1:
+            edits += max(at - first, place[word] - second)
+            first, second = at + len(word) + 1, place[word] + len(word) + 1
+        at += len(word) + 1
+    return edits + max(at - first, size - second)
+
+
+def unlike_parts(a: str, b: str) -> tuple[str, str]:
+    """What is left of both without their common beginning, then without their common end."""
+    head = len(commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix((a[::-1], b[::-1])))
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
+def edit_similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """Whether 1 - edit distance / longer length is at least ``least``."""
+    found = quickly_similar(a, b, least)
+    if found is None:
+        found = edit_distance_within(*unlike_parts(a, b), int((1 - least) * max(len(a), len(b)) + 1e-9))
+    return found
 
 
 def edit_distance_within(a: str, b: str, most: int) -> bool:
@@ -280,8 +329,8 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
     up, down, distance = full, 0, len(a)
     for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         same = where.get(c, 0)
-        diagonal = (((same & up) + up) ^ up) | same | down
-        right_up, right_down = down | full & ~(diagonal | up), up & diagonal
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right_up, right_down = down | full ^ (diagonal | up), up & diagonal
         if right_up & top:
             distance += 1
         elif right_down & top:
@@ -289,10 +338,53 @@ def edit_distance_within(a: str, b: str, most: int) -> bool:
         if distance - left > most:
             return False
         right_up, right_down = (right_up << 1 | 1) & full, right_down << 1 & full
-        up, down = right_down | full & ~(diagonal | right_up), right_up & diagonal
+        up, down = right_down | full ^ (diagonal | right_up), right_up & diagonal
     return distance <= most
 
 
+def edit_distances(a: str, others: list[str]) -> np.ndarray:
+    """The edit distances of a to each of the others, whose columns stand side by side in the two integers, a free bit after each."""
+
+    def packed(bits: np.ndarray) -> int:
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    data = np.frombuffer("".join([f"{b}\n" for b in others]).encode("utf-32-le"), np.uint32)
+    end = np.cumsum([len(b) + 1 for b in others])
+    start = np.append(0, end[:-1])
+    inside, first = np.ones(len(data), bool), np.zeros(len(data), bool)
+    inside[end - 1] = False
+    first[start] = True
+    full, low = packed(inside), packed(first & inside)
+    where = {c: packed((data == ord(c)) & inside) for c in set(a)}
+    up, down = full, 0
+    for c in a:
+        same = where[c]
+        # a carry out of a column ends in the free bit
+        diagonal = ((((same & up) + up) ^ up) | same | down) & full
+        right_up, right_down = (down | full ^ (diagonal | up)) << 1, (up & diagonal) << 1
+        right_up, right_down = (right_up | low) & full, right_down & full
+        up, down = right_down | full ^ (diagonal | right_up), right_up & diagonal
+    more, less = (np.add.reduceat(np.unpackbits(np.frombuffer(x.to_bytes(-(-len(data) // 8), "little"), np.uint8), count=len(data), bitorder="little"), start, dtype=np.int64) for x in (up, down))
+    return len(a) + more - less
+
+
+def similar_to(a: str, others: list[str], least: float = SIMILARITY) -> list[bool]:
+    """edit_similar() of a and each of the others; those that need a table share it, COLUMNS characters at a time."""
+    if len(others) == 1:
+        return [edit_similar(a, others[0], least)]
+    found = [quickly_similar(a, b, least) for b in others]
+    left = [k for k, x in enumerate(found) if x is None]
+    size = np.cumsum([len(others[k]) + 1 for k in left])
+    for some in np.split(np.array(left, np.int64), np.flatnonzero(np.diff(size // COLUMNS)) + 1):
+        if len(some) < 4:
+            for k in some.tolist():
+                found[k] = edit_distance_within(*unlike_parts(a, others[k]), int((1 - least) * max(len(a), len(others[k])) + 1e-9))
+            continue
+        for k, d in zip(some.tolist(), edit_distances(a, [others[k] for k in some.tolist()]).tolist(), strict=True):
+            found[k] = d <= int((1 - least) * max(len(a), len(others[k])) + 1e-9)
+    return found
+
+
 def sketch(text: str, letters: int = 256, pairs: int = 512) -> np.ndarray:
     """Counts of the text's characters and of its pairs of characters, in bins."""
     x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -313,6 +405,7 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
     """Links of a spanning forest of the rows at RADIUS check bits or fewer whose texts are similar."""
     found, rest = [], np.arange(len(fp))
     length = np.array([len(t) for t in texts])
+    joined = np.zeros(len(fp), bool)
     counts: dict[int, np.ndarray] = {}
 
     def counted(i: int) -> np.ndarray:
@@ -332,11 +425,12 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
                 if len(some) > 4:
                     most = ((1 - least) * np.maximum(length[some], length[i]) + 1e-9).astype(np.int64)
                     some = some[maybe_similar(counted(i), np.stack([counted(j) for j in some.tolist()]), most)]
-                got += [j for j in some.tolist() if edit_similar(texts[i], texts[j], least)]
+                got += [j for j, alike in zip(some.tolist(), similar_to(texts[i], [texts[j] for j in some.tolist()], least), strict=True) if alike]
             if got:
                 found += [(i, j) for j in got]
                 queue += got
-                rest = rest[~np.isin(rest, got)]
+                joined[got] = True
+                rest = rest[~joined[rest]]
     return found
 
 
