@@ -95,7 +95,7 @@ def entity_year_spend(classified: DataFrame) -> DataFrame:
     amount = F.col("payment_amount")
 
     def total(flag: str) -> Column:
-        return F.sum(F.when(F.col(flag), amount).otherwise(0.0))
+        return steady(F.sum(F.when(F.col(flag), amount).otherwise(0.0)))
 
     return (
         classified.where("hcp_id is not null and payment_amount is not null")
@@ -112,8 +112,8 @@ def entity_spend(by_year: DataFrame, years: tuple[int, ...]) -> DataFrame:
     """Year rows to one row an entity: totals, spend by year (0 if there is none), active years."""
     per_year = [F.max(F.when(F.col("program_year") == y, F.col("year_spend")).otherwise(0.0)).alias(f"spend_{y}") for y in years]
     return by_year.groupBy("hcp_id").agg(
-        F.sum("year_spend").alias("lifetime_total_spend"), F.sum("year_payment_count").alias("lifetime_payment_count"), F.sum("year_food_beverage").alias("food_beverage_total"),
-        F.sum("year_speaking_fee").alias("speaking_fee_total"), F.sum("year_consulting").alias("consulting_fee_total"), F.sum("year_speaking_count").alias("speaking_fee_count"),
+        steady(F.sum("year_spend")).alias("lifetime_total_spend"), F.sum("year_payment_count").alias("lifetime_payment_count"), steady(F.sum("year_food_beverage")).alias("food_beverage_total"),
+        steady(F.sum("year_speaking_fee")).alias("speaking_fee_total"), steady(F.sum("year_consulting")).alias("consulting_fee_total"), F.sum("year_speaking_count").alias("speaking_fee_count"),
         *per_year, F.count_distinct("program_year").alias("active_payment_years"), F.sum("year_meals_over_limit").alias("meals_over_limit_count"),
         F.sum("year_meal_count").alias("total_meal_count"), F.max("year_max_meal_overage_pct").alias("max_meal_overage_pct"),
     )

@@ -25,3 +25,14 @@ def test_order_of_events_changes_no_combined_score(spark):
     scores = ((0.1 + 0.2) + 0.3, (0.3 + 0.2) + 0.1)
     df = spark.createDataFrame([(0.0, s, 0.0) for s in scores], "raw_spend_risk_score double, avg_event_risk_score double, interaction_frequency_score double")
     assert df.select(events.combined_risk([F.lit(False), F.lit(True), F.lit(False)]).alias("s")).distinct().count() == 1
+
+
+def test_payments_of_one_kind_only_are_all_of_an_entity(spark):
+    """Sums of one kind and of all, by year and over the years: where they are the same payments, the share is 1 whatever their order."""
+    amounts = {"a": [0.1, 0.2, 0.3, 1e5 + 0.7], "b": [1e5 + 0.7, 0.3, 0.2, 0.1]}
+    df = given(spark, amounts).withColumn("is_speaking_fee", F.lit(True))
+    rows = df.unionByName(df.withColumns({"program_year": F.lit(2023).cast("long"), "payment_amount": F.col("payment_amount") / 3}))
+    years = payments.entity_year_spend(rows)
+    spend = payments.entity_spend(years, (2023, 2024))
+    assert {r[0] for r in spend.select(payments.share(F.col("speaking_fee_total"), F.col("lifetime_total_spend"))).collect()} == {1.0}
+    assert spend.select("lifetime_total_spend", "food_beverage_total", "speaking_fee_total").distinct().count() == 1
