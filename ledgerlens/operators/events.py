@@ -54,9 +54,9 @@ def event_risk(cfg: Config) -> Column:
 def entity_events(features: DataFrame) -> DataFrame:
     over = F.count_if("speaker_fee_over_fmv_flag")
     return features.groupBy(F.col("speaker_hcp_id").alias("hcp_id")).agg(
-        F.count(F.lit(1)).alias("total_events_as_speaker"), F.avg("raw_event_risk_score").alias("avg_event_risk_score"), F.max("raw_event_risk_score").alias("max_event_risk_score"),
+        F.count(F.lit(1)).alias("total_events_as_speaker"), steady(F.avg("raw_event_risk_score")).alias("avg_event_risk_score"), F.max("raw_event_risk_score").alias("max_event_risk_score"),
         F.count_if("low_attendance_flag").alias("events_with_low_attendance"), over.alias("events_over_fmv"), F.count_if("missing_attestation_flag").alias("events_missing_attestation"),
-        F.count_if("rapid_repeat_flag").alias("events_rapid_repeat"), F.sum("speaker_fee").alias("total_speaker_fees_events"), (over.cast("double") / F.count(F.lit(1))).alias("pct_events_over_fmv"),
+        F.count_if("rapid_repeat_flag").alias("events_rapid_repeat"), steady(F.sum("speaker_fee")).alias("total_speaker_fees_events"), (over.cast("double") / F.count(F.lit(1))).alias("pct_events_over_fmv"),
     )
 
 
@@ -64,9 +64,9 @@ def events_of_matrix(matrix: DataFrame) -> DataFrame:
     """entity_events() from scoring.event_matrix(), which holds the same aggregates."""
     n = F.col("total_events_as_speaker")
     return matrix.select(
-        "hcp_id", n, F.col("raw_event_risk_score_mean").alias("avg_event_risk_score"), F.col("raw_event_risk_score_max").alias("max_event_risk_score"),
+        "hcp_id", n, steady(F.col("raw_event_risk_score_mean")).alias("avg_event_risk_score"), F.col("raw_event_risk_score_max").alias("max_event_risk_score"),
         F.col("low_attendance_flag_sum").alias("events_with_low_attendance"), F.col("speaker_fee_over_fmv_flag_sum").alias("events_over_fmv"), F.col("missing_attestation_flag_sum").alias("events_missing_attestation"),
-        F.col("rapid_repeat_flag_sum").alias("events_rapid_repeat"), F.col("speaker_fee_sum").alias("total_speaker_fees_events"), (F.col("speaker_fee_over_fmv_flag_sum").cast("double") / n).alias("pct_events_over_fmv"),
+        F.col("rapid_repeat_flag_sum").alias("events_rapid_repeat"), steady(F.col("speaker_fee_sum")).alias("total_speaker_fees_events"), (F.col("speaker_fee_over_fmv_flag_sum").cast("double") / n).alias("pct_events_over_fmv"),
     )
 
 
@@ -87,7 +87,7 @@ def merged_interactions(years: DataFrame, reps: DataFrame) -> DataFrame:
     n, vague = F.sum("n"), F.sum("vague")
     approved = F.sum("approved").cast("double") / n
     score = F.least(F.lit(100.0), F.least(F.lit(50.0), n.cast("double") / 100 * 50) + F.least(F.lit(30.0), (1 - approved) * 30) + F.least(F.lit(20.0), vague.cast("double") / n * 20))
-    rows = years.groupBy("hcp_id").agg(n.alias("total_interactions"), F.sum("meals").alias("total_meals"), (F.sum("meal_cost") / F.nullif(F.sum("meal_costs"), F.lit(0))).alias("avg_meal_cost"), vague.alias("interactions_with_vague_rationale"), approved.alias("fmv_compliance_rate"), score.alias("interaction_frequency_score"))
+    rows = years.groupBy("hcp_id").agg(n.alias("total_interactions"), F.sum("meals").alias("total_meals"), steady(F.sum("meal_cost") / F.nullif(F.sum("meal_costs"), F.lit(0))).alias("avg_meal_cost"), vague.alias("interactions_with_vague_rationale"), approved.alias("fmv_compliance_rate"), score.alias("interaction_frequency_score"))
     met = reps.groupBy(F.col("hcp_id").alias("_hcp")).agg(F.count_distinct("rep_id").alias("unique_reps_interacted"))
     rows = rows.join(met, F.col("hcp_id").eqNullSafe(F.col("_hcp")), "left").drop("_hcp").fillna(0, ["unique_reps_interacted"])
     return rows.select("hcp_id", "total_interactions", "total_meals", "avg_meal_cost", "interactions_with_vague_rationale", "fmv_compliance_rate", "unique_reps_interacted", "interaction_frequency_score")

@@ -36,3 +36,10 @@ def test_payments_of_one_kind_only_are_all_of_an_entity(spark):
     spend = payments.entity_spend(years, (2023, 2024))
     assert {r[0] for r in spend.select(payments.share(F.col("speaking_fee_total"), F.col("lifetime_total_spend"))).collect()} == {1.0}
     assert spend.select("lifetime_total_spend", "food_beverage_total", "speaking_fee_total").distinct().count() == 1
+
+
+def test_order_of_events_changes_no_mean(spark):
+    rows = [(h, x, x) for h, xs in {"a": [0.1, 0.2, 0.3], "b": [0.3, 0.2, 0.1]}.items() for x in xs]
+    df = spark.createDataFrame(rows, "speaker_hcp_id string, raw_event_risk_score double, speaker_fee double").coalesce(1)
+    df = df.withColumns({c: F.lit(False) for c in ("speaker_fee_over_fmv_flag", "low_attendance_flag", "missing_attestation_flag", "rapid_repeat_flag")})
+    assert events.entity_events(df).select("avg_event_risk_score", "total_speaker_fees_events").distinct().count() == 1
