@@ -9,10 +9,12 @@ check bits are the majority of the hashes of all words, each counted twice at mo
 differ in few check bits and aren't too unlike in length are candidates; the edit similarity of their normal forms (0.8
 or more) decides. Of each connected group one occurrence stays: the one of the least (doc_id, text's hash, place).
 
-Texts travel only for classes that have a candidate. The classes that candidates connect are verified together; where
-they are more than TOGETHER, they are dealt into parts, and every two parts are verified together, so no task holds
-more than two parts. Within them only a spanning forest of verified links is given. A block value of many more than
-TOGETHER classes is not searched for candidates: all its classes are verified together.
+Texts travel only for classes that have a candidate. The classes that candidates connect are verified together. Where
+they are more than TOGETHER, which in large corpora are mostly unlike lines in chains, only those are verified together
+that candidates connect within one block value: each pair of candidates is in one of those groups, a class is in one for
+each of its blocks at most, and groups of the same classes count once. A group of more than TOGETHER is dealt into parts,
+and every two parts are verified together, so no task holds more than two parts. Within them only a spanning forest of
+verified links is given. A block value of more than MANY classes is not searched for candidates: it is one group.
 
 Defined results: lines end at \\n; a line without words isn't compared and stays; a null text stays null; a text whose
 lines all go becomes empty; of rows that are equal in doc_id and text one keeps what is left, and all lines of the
@@ -34,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import byte_values, chunks, is_word, lowered, mixed, only, prefix_hash, span_hash, spans, table, utf8, written
-from .components import components
+from .common import byte_values, chunks, deleted, is_word, lowered, mixed, only, prefix_hash, span_hash, spans, table, utf8, written
+from .components import components, least_reachable
 from .simhash import whole_groups
 
 SIMILARITY = 0.8
@@ -49,8 +51,8 @@ BLOCK_BYTES = SLOTS * BLOCK_BITS // 8
 SHORT = 20
 #: Bits in which candidates may differ, of the 88 check bits beside a block, and linked lines, of 128; each for long lines, and where one is short.
 CHECKED, RADIUS = (18, 20), (34, 48)
-#: Classes that are verified together, or that a block value may hold, at most; and rows of two numbers to broadcast.
-TOGETHER, FEW = 2048, 1_000_000
+#: Classes that are verified together at most; those of a block value that are compared with each other; and rows of two numbers to broadcast.
+TOGETHER, MANY, FEW = 2048, 1 << 16, 1_000_000
 #: Text whose lines are fingerprinted at a time: a byte takes some hundred bytes of numbers.
 SCAN_BYTES = 1 << 18
 #: Bytes of an Arrow batch, which stands in the executor's memory and in its Python process's.
@@ -434,45 +436,78 @@ def verified_forest(fp: np.ndarray, texts: list[str], least: float) -> list[tupl
     return found
 
 
+def agreeing(key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the places of rows, sorted by key: what connects each block value's candidates; of more than MANY rows of a value all."""
+    check, bits, step = (key & 0xFFFFFFFF).astype(np.uint32), more.view(np.uint64) >> np.uint64(8), more & 0xFF
+
+    def near(i, j):
+        most = np.where(np.minimum(step[i], step[j]) <= SHORT, CHECKED[1], CHECKED[0])
+        return (np.bitwise_count(check[i] ^ check[j]) + np.bitwise_count(bits[i] ^ bits[j]) <= most) & (np.abs(step[i] - step[j]) <= 1)
+
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(key >> 32)) + 1])
+    size = np.diff(np.append(starts, len(key)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.repeat(np.where(size <= 16, starts + size, 0), size)
+    for lag in range(1, 16):
+        i = np.flatnonzero(small > np.arange(lag, len(key) + lag))
+        if not len(i):
+            break
+        i = i[near(i, i + lag)]
+        left.append(i)
+        right.append(i + lag)
+    for a, n in zip(starts[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        if n > MANY:
+            left.append(np.arange(a, a + n - 1))
+            right.append(np.arange(a + 1, a + n))
+            continue
+        # by length: rows that may be near one stand together
+        rest = a + np.argsort(step[a : a + n], kind="stable")
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                i = queue.pop()
+                low, high = np.searchsorted(step[rest], [step[i] - 1, step[i] + 2]) if n > 256 else (0, len(rest))
+                found = near(i, rest[low:high])
+                if found.any():
+                    got, rest = rest[low:high][found], np.concatenate([rest[:low], rest[low:high][~found], rest[high:]])
+                    left.append(np.full(len(got), i))
+                    right.append(got)
+                    queue += got.tolist()
+    return np.concatenate(left), np.concatenate(right)
+
+
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (u, v) from rows (key of block_keys(), more_bits(), node) that come sorted by key: what connects each block value's candidates.
 
-    Holds a batch and the rows of a block value; of more than 8 * TOGETHER rows only the last, as all of them are linked.
+    Holds a batch and the rows of a block value; of more than 8 * MANY rows only the last, as all of them are linked.
     """
-    for key, more, node in whole_groups(batches, ("key", "more", "node"), TOGETHER, 32):
-        check, bits, step = (key & 0xFFFFFFFF).astype(np.uint32), more.view(np.uint64) >> np.uint64(8), more & 0xFF
-
-        def near(i, j, check=check, bits=bits, step=step):
-            most = np.where(np.minimum(step[i], step[j]) <= SHORT, CHECKED[1], CHECKED[0])
-            return (np.bitwise_count(check[i] ^ check[j]) + np.bitwise_count(bits[i] ^ bits[j]) <= most) & (np.abs(step[i] - step[j]) <= 1)
-
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key >> 32)) + 1])
-        size = np.diff(np.append(starts, len(key)))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        small = np.repeat(np.where(size <= 16, starts + size, 0), size)
-        for lag in range(1, 16):
-            i = np.flatnonzero(small > np.arange(lag, len(key) + lag))
-            if not len(i):
-                break
-            i = i[near(i, i + lag)]
-            left.append(i)
-            right.append(i + lag)
-        for a, n in zip(starts[size > 16].tolist(), size[size > 16].tolist(), strict=True):
-            if n > TOGETHER:
-                left.append(np.arange(a, a + n - 1))
-                right.append(np.arange(a + 1, a + n))
-                continue
-            rest = np.arange(a, a + n)
-            while len(rest):
-                queue, rest = [rest[0]], rest[1:]
-                while queue and len(rest):
-                    i = queue.pop()
-                    found = near(i, rest)
-                    got, rest = rest[found], rest[~found]
-                    left.append(np.full(len(got), i))
-                    right.append(got)
-                    queue += got.tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(left)]), pa.array(node[np.concatenate(right)])], names=["u", "v"])
+    for key, more, node in whole_groups(batches, ("key", "more", "node"), MANY, 32):
+        i, j = agreeing(key, more)
+        yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["u", "v"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, together) from the rows that candidates() gets: those that it connects within one block value have one number, which
+    the same nodes have in every value (in a value of more than MANY rows, which comes in several runs, it is the value's)."""
+    for key, more, node in whole_groups(batches, ("key", "more", "node"), MANY, 32):
+        i, j = agreeing(key, more)
+        label = np.arange(len(key))
+        moved, root = least_reachable(i, j)
+        label[moved] = root
+        at = np.unique(np.concatenate([i, j]))
+        number = np.zeros(len(key), np.uint64)
+        np.add.at(number, label[at], mixed(node[at].view(np.uint64)))
+        value, place, size = np.unique(key >> 32, return_inverse=True, return_counts=True)
+        number = np.where(size[place[at]] > MANY, mixed(value[place[at]].view(np.uint64)), number[label[at]])
+        yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(number.view(np.int64))], names=["node", "together"])
+
+
+def in_groups(near: DataFrame) -> DataFrame:
+    """(node, groups): the groups in which each node is verified. near: rows (node, together), each once; more than TOGETHER nodes go by two parts."""
+    sizes = near.groupBy("together").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("together", F.least(own, other), F.greatest(own, other)))
+    return near.join(sizes, "together").withColumn("groups", groups).groupBy("node").agg(F.flatten(F.collect_list("groups")).alias("groups"))  # for each block a few
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -517,20 +552,28 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     occurrences = written(only(docs, "id", "th", "text").mapInArrow(scan, "id long, th long, place int, k1 long, k2 long, length int, fp binary"), BATCH_BYTES)
     classes = occurrences.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "place")).alias("first"), F.min("length").alias("length"), F.min("fp").alias("fp"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()))
-    dealt = classes.select("fp", "length", "node").mapInArrow(keys, "key long, more long, node long").repartition(parts, F.shiftright("key", 32)).sortWithinPartitions("key")
-    near = components(dealt.mapInArrow(candidates, "u long, v long"))
-    sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    groups = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("root", F.least(own, other), F.greatest(own, other)))
-    members = near.join(sizes, "root").select("node", groups.alias("groups"))
-    wanted = classes.join(members, "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "groups")).alias("wanted"))  # one document's own
+
+    def by_block(some: DataFrame) -> DataFrame:
+        rows = some.select("fp", "length", "node").mapInArrow(keys, "key long, more long, node long")
+        return rows.repartition(parts, F.shiftright("key", 32)).sortWithinPartitions("key")
+
+    near = components(by_block(classes).mapInArrow(candidates, "u long, v long")).withColumnRenamed("root", "together")
+    large = written(near.groupBy("together").count().where(F.col("count") > TOGETHER).select("together"))
+    if not large.isEmpty():
+        chained = classes.join(near.join(large, "together", "left_semi"), "node", "left_semi")
+        closer = written(by_block(chained).mapInArrow(gathered, "node long, together long").distinct())
+        near = near.join(large, "together", "left_anti").unionByName(closer)
+    wanted = classes.join(in_groups(near), "node").groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.place", "node", "groups")).alias("wanted"))  # one document's own
     lines = only(docs, "id", "th", "text").join(wanted, ["id", "th"]).select("text", "wanted").mapInArrow(texts, "key long, fp binary, node long, line string")
     links = lines.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(verify, "u long, v long")
     named = classes.select("k1", "k2", "first", "node").join(components(links, batch_bytes=BATCH_BYTES), "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min("first").alias("stays"))
     stays = named.join(first, "root").select("k1", "k2", "stays")
     gone = occurrences.select("id", "th", "place", "k1", "k2").join(stays, ["k1", "k2"]).where(F.struct("id", "th", "place") != F.col("stays"))
-    return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("place")).alias("gone"))  # one document's own
+    found = written(gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("place")).alias("gone")))  # one document's own
+    for no_longer_read in (occurrences, classes):
+        deleted(no_longer_read)
+    return found
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
