@@ -74,3 +74,18 @@ def test_results_are_those_of_whole_components(spark, monkeypatch):
     assert sum("w" in (t or "") for t in whole.values()) < 30
     monkeypatch.setattr(lines, "TOGETHER", 2)
     assert {r.doc_id: r.text for r in lines.without_lines(docs).collect()} == whole
+
+
+def test_line_dedup_leaves_no_table_of_lines(spark):
+    """Stage 2 of the pipeline, before its documents are written: what held a row for each line or class is deleted."""
+    from pathlib import Path
+
+    import corpus_pipeline
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("table-*"))
+    docs = spark.createDataFrame([(k, f"A line of words number {k // 2}\nand another one", 40) for k in range(8)], "doc_id long, text string, n_chars int")
+    left = corpus_pipeline.line_dedup(spark, docs, "")
+    made = [spark.read.parquet(str(p)).columns for p in set(shared.glob("table-*")) - before if list(p.glob("*.parquet"))]
+    assert made and not [c for c in made if "fp" in c]
+    assert left.count() == 8
